@@ -256,6 +256,94 @@ select concat('branch-', cast(c.c_custkey as string), '-', cast(n.n_nationkey as
 from {customer} c join {nation} n on n.n_nationkey = c.c_nationkey
 """
 
+# Chat sessions of the senders, several per sender, some waiting for a choice.
+DERIVED["chat_sessions"] = """
+select concat('s', cast(conv_id as string)) as id, 'whatsapp' as channel,
+  concat('+97', cast(conv_id % 50 as string), '@c.us') as participant_id,
+  case conv_id % 4 when 0 then 'needs_user_selection' when 1 then 'complete'
+    when 2 then 'active' else 'needs_user_selection' end as status,
+  case when conv_id % 8 = 3 then null else concat('c', cast(conv_id % 5 as string), ',c2') end
+    as candidates_text,
+  cast(conv_id * 1000 as bigint) as last_activity_us
+from {conversations} where turn = 0
+"""
+
+# Review queue in the middle of its life.
+DERIVED["queue"] = """
+select concat('cand-', id) as id, id as run_id, session_id, source, image_ref, status,
+  scanner_count, vision_count, recovery_attempted, recovery_labels_resolved,
+  cast(k * 1000 as bigint) as created_us,
+  case when k % 3 = 0 then cast(k * 1000 + 500 as bigint) end as reviewed_us,
+  case when k % 3 = 0 then concat('user', cast(k % 4 as string)) end as reviewed_by,
+  case when k % 3 = 0 then 'complete' end as expected_outcome,
+  k % 9 = 0 as added_to_dataset
+from (select r.*, cast(id as bigint) as k from {runs} r where status <> 'complete') q
+"""
+
+DERIVED["reviews"] = """
+select concat('cand-', cast(k as string)) as id, cast(k as string) as run_id,
+  cast(k * 1000 + 700 + n as bigint) as reviewed_us, concat('late', cast(n as string)) as reviewed_by,
+  case when n = 0 then 'complete' else 'failed' end as expected_outcome
+from (select o_orderkey as k, 0 as n from {orders} where o_orderkey % 2 = 0
+  union all select o_orderkey as k, 1 as n from {orders} where o_orderkey % 4 = 0) v
+"""
+
+# Uploaded images that are still in storage.
+DERIVED["inventory"] = """
+select concat('/uploads/', cast(o_orderkey as string), '.jpg') as path from {orders}
+where o_orderkey % 7 <> 0
+"""
+
+# Codes a reviewer expects on the photo of a run.
+DERIVED["expected_codes"] = """
+select cast(l_orderkey as string) as run_id, l_linenumber as box_no,
+  case when l_partkey % 11 = 0 then null else cast(7290000000000 + l_partkey as string) end as value,
+  case when l_partkey % 3 = 0 then null else 'EAN13' end as format
+from {lineitem} where l_suppkey % 4 <> 0
+"""
+
+# Stored sessions with their items and missing labels.
+DERIVED["sessions"] = """
+select concat('s', cast(o_orderkey as string)) as id,
+  case o_orderkey % 5 when 0 then 'active' when 1 then 'complete' when 2 then 'needs_user_selection'
+    when 3 then 'expired' else 'closed' end as status,
+  cast(o_orderkey % 9 as int) as expected_count, cast(o_orderkey % 7 as int) as found_count,
+  cast(o_orderkey % 3 as int) as missing_count, cast(o_orderkey % 4 as int) as image_count,
+  case when o_custkey % 2 = 0 then 'web' else 'whatsapp' end as channel,
+  cast(o_custkey as string) as participant_id,
+  concat('cust-', cast(o_custkey as string)) as customer_id,
+  concat('branch-', cast(o_custkey as string), '-', cast(o_custkey % 25 as string)) as branch_id,
+  case when o_orderkey % 3 = 0 then 'verify_order_before_shipment' else 'create_order' end as action,
+  case when o_orderkey % 4 = 0 then null else concat('msg', cast(o_orderkey as string)) end as message,
+  cast(o_orderkey * 10 as bigint) as updated_at, cast(o_orderkey * 10 + 1 as bigint) as last_activity_at,
+  cast(null as bigint) as completed_at, cast(null as bigint) as closed_at
+from {orders}
+"""
+
+DERIVED["session_items"] = """
+select concat('s', cast(l_orderkey as string)) as session_id,
+  cast(l_partkey * 100000 + l_suppkey as bigint) as line_id,
+  cast(l_partkey % 40 as string) as barcode_value,
+  case when l_partkey % 6 = 0 then null else l_linenumber end as label_index,
+  cast(l_suppkey % 3 as int) as source_image, l_extendedprice as tie
+from {lineitem} where l_suppkey % 7 <> 0
+"""
+
+DERIVED["session_missing"] = """
+select concat('s', cast(l_orderkey as string)) as session_id,
+  cast(l_partkey * 100000 + l_suppkey as bigint) as line_id, l_linenumber as label_index,
+  cast(l_suppkey % 3 as int) as source_image, l_partkey % 2 = 0 as resolved
+from {lineitem} where l_suppkey % 7 = 0
+"""
+
+# Ground truth of the symbol benchmark: the labels, some known to be unreadable.
+DERIVED["expected_symbols"] = """
+select image_id, label_index, lx1 + 60 as x1, ly1 + 40 as y1, lx1 + 150 as x2, ly1 + 90 as y2,
+  case when part % 6 = 0 then 'unreadable' else 'decoded' end as state,
+  cast(7290000000000 + case when part % 10 = 0 then part + 1 else part end as string) as value
+from {label_boxes}
+"""
+
 
 _REF = re.compile(r"\{(\w+)\}")
 
