@@ -686,14 +686,13 @@ def stored_queue(spark, d):
 @query("S1 P45", """
 select id, source, status from runs where created_at >= timestamp '2001-07-25 00:00:00'""", "runs")
 def stored_runs_window(spark, d):
-    """Runs written in date folders, read back through a time window."""
+    """Runs written to the store, read back through a time window."""
     from boxtally.session import scratch_path
-    from boxtally.sources.tables import read_table, write_table
+    from boxtally.sources.tables import runs_since, write_table
 
     root = scratch_path(spark, "store")
     write_table(build(spark, d, "runs"), root, "runs")
-    since = F.lit("2001-07-25").cast("date")
-    return read_table(spark, root, "runs").filter(F.col("created_date") >= since).select("id", "source", "status")
+    return runs_since(spark, root, "2001-07-25 00:00:00").select("id", "source", "status")
 
 
 # --- quality -----------------------------------------------------------------

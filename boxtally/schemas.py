@@ -17,7 +17,7 @@ TABLES: dict[str, str] = {
         issues {ISSUES}, error_code string, error_message string, pipeline_version string,
         scanner_version string, vision_prompt_version string, vision_model string,
         recovery_version string, provider_message_id string, sender string,
-        created_at timestamp, processed_at timestamp, created_date date""",
+        created_at timestamp, processed_at timestamp, created_month string""",
     "run_items": f"""
         run_id string, label_index int, barcode_value string, barcode_format string,
         barcode_bbox {BOX}, label_bbox {BOX}, match_basis string, status string, created_at timestamp""",
@@ -51,8 +51,8 @@ TABLES: dict[str, str] = {
         status string, source_image int, resolved boolean, resolved_by_image int, created_at timestamp""",
 }
 
-#: tables stored in date folders, so a time window reads only its days
-PARTITIONS = {"runs": ["created_date"]}
+#: tables stored in folders; files inside are clustered by time, see write_table
+PARTITIONS = {"runs": ["created_month"]}
 
 EVENT_PAYLOAD = f"""struct<status:string,source:string,image_ref:string,found_count:int,missing_count:int,
     scanner_count:int,vision_count:int,recovery_attempted:boolean,recovery_labels_resolved:int,
