@@ -1,7 +1,9 @@
 """Box geometry as native column expressions.
 
 A box is a struct column ``<x1, y1, x2, y2>`` of integers. Everything stays in
-generated code; no expression here reads another row.
+generated code; no expression here reads another row. A struct built here is
+taken apart again by the optimizer, so nested calls cost one expression per
+coordinate. Callers that may hold a null box guard the outermost call.
 """
 
 from __future__ import annotations
@@ -16,10 +18,6 @@ def box(x1, y1, x2, y2) -> Column:
     return F.struct(*[(F.col(v) if isinstance(v, str) else v).cast("int").alias(n) for v, n in named])
 
 
-def _map(b: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.when(b.isNotNull(), box(x1, y1, x2, y2))
-
-
 def width(b: Column) -> Column:
     return b["x2"] - b["x1"]
 
@@ -45,13 +43,12 @@ def normalized_to_pixels(top: Column, left: Column, bottom: Column, right: Colum
                          image_width: Column, image_height: Column) -> Column:
     """0..1000 coordinates to pixels, half to even; a non-positive image is an error."""
     def scale(v: Column, side: Column) -> Column:
-        return F.rint(v * side / F.lit(1000.0)).cast("int")
+        checked = F.when(side > 0, side).otherwise(
+            F.raise_error(F.lit("image size must be positive")).cast("int"))
+        return F.rint(v * checked / F.lit(1000.0))
 
-    bad = (image_width <= 0) | (image_height <= 0)
-    scaled = box(scale(left, image_width), scale(top, image_height),
-                 scale(right, image_width), scale(bottom, image_height))
-    return F.when(bad, F.raise_error(F.lit("image size must be positive")).cast(
-        "struct<x1:int,y1:int,x2:int,y2:int>")).otherwise(scaled)
+    return box(scale(left, image_width), scale(top, image_height),
+               scale(right, image_width), scale(bottom, image_height))
 
 
 def contains_point(b: Column, px: Column, py: Column) -> Column:
@@ -61,7 +58,7 @@ def contains_point(b: Column, px: Column, py: Column) -> Column:
 
 def pad(b: Column, px: Column, py: Column) -> Column:
     """Grow by ``px``/``py`` on each side; may leave the image."""
-    return _map(b, b["x1"] - px, b["y1"] - py, b["x2"] + px, b["y2"] + py)
+    return box(b["x1"] - px, b["y1"] - py, b["x2"] + px, b["y2"] + py)
 
 
 def clamp(b: Column, image_width: Column, image_height: Column) -> Column:
@@ -69,16 +66,16 @@ def clamp(b: Column, image_width: Column, image_height: Column) -> Column:
     def into(v: Column, top: Column) -> Column:
         return F.least(F.greatest(v, F.lit(0)), top)
 
-    return _map(b, into(b["x1"], image_width), into(b["y1"], image_height),
-                into(b["x2"], image_width), into(b["y2"], image_height))
+    return box(into(b["x1"], image_width), into(b["y1"], image_height),
+               into(b["x2"], image_width), into(b["y2"], image_height))
 
 
 def pad_ratio(b: Column, ratio: float, image_width: Column, image_height: Column) -> Column:
     """Grow by a share of each side, cut at the image frame."""
     px, py = F.rint(width(b) * F.lit(ratio)), F.rint(height(b) * F.lit(ratio))
     grown = pad(b, px.cast("int"), py.cast("int"))
-    return _map(b, F.greatest(F.lit(0), grown["x1"]), F.greatest(F.lit(0), grown["y1"]),
-                F.least(image_width, grown["x2"]), F.least(image_height, grown["y2"]))
+    return box(F.greatest(F.lit(0), grown["x1"]), F.greatest(F.lit(0), grown["y1"]),
+               F.least(image_width, grown["x2"]), F.least(image_height, grown["y2"]))
 
 
 def normalized_distance(ax: Column, ay: Column, bx: Column, by: Column,
@@ -137,7 +134,7 @@ def same_physical(a: Column, b: Column) -> Column:
 def polygon_to_box(points: Column) -> Column:
     """Bounding box of an array of ``<x, y>`` corners."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return _map(points, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
 def _point(x: Column, y: Column) -> Column:

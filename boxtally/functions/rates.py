@@ -3,7 +3,8 @@
 One-decimal rounding must follow the *binary* value of the double (0.05 is a
 little above five hundredths, 0.35 a little below thirty-five). ``bround`` works
 on the printed digits instead, so the half-way cases are decided here by an
-exact remainder.
+exact remainder. The arguments are SQL expressions, so a rate is parsed in one
+go and not assembled call by call.
 """
 
 from __future__ import annotations
@@ -12,40 +13,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _tenths(x: Column, tie_to_even: bool) -> Column:
-    """Nearest whole number of tenths of a double, as a double."""
-    k = F.rint(x * 20)
-    # 20x - k without rounding error: both steps combine values of like size.
-    rest = (x * 16 - k) + x * 4
-    up = (k + 1) / 2
-    tie = F.when(F.pmod(up, F.lit(2.0)) == 0, up).otherwise(up - 1) if tie_to_even else up
-    half = F.when(rest > 0, up).when(rest < 0, up - 1).otherwise(tie)
-    return F.when(F.pmod(k, F.lit(2.0)) == 0, k / 2).otherwise(half)
+def _tenths(x: str, tie: str) -> str:
+    """Nearest whole number of tenths of a double, as a double.
 
+    With k the nearest whole number of twentieths, an even k names the tenth.
+    Else 20x - k decides; both of its steps combine values of like size and so
+    leave no rounding error. ``tie`` is the tenth for an exact half.
+    """
+    k = f"rint(({x}) * 20)"
+    rest = f"((({x}) * 16 - {k}) + ({x}) * 4)"
+    up = f"(({k} + 1) / 2)"
+    return (f"case when pmod({k}, 2D) = 0 then {k} / 2 when {rest} > 0 then {up} "
+            f"when {rest} < 0 then {up} - 1 else {tie.format(up=up)} end")
 
-def round1(x: Column) -> Column:
+
+_TO_EVEN = "case when pmod({up}, 2D) = 0 then {up} else {up} - 1 end"
+
+
+def _round1(x: str) -> str:
+    return f"({_tenths(x, _TO_EVEN)}) / 10"
+
+
+def round1(x: str) -> Column:
     """Round a double to one decimal by its binary value, true ties to even."""
-    return _tenths(x, tie_to_even=True) / 10
+    return F.expr(_round1(x))
 
 
-def pct(numerator: Column, denominator: Column) -> Column:
+def pct(numerator: str, denominator: str) -> Column:
     """Percentage with one decimal; 0.0 for an empty denominator."""
-    return F.when(denominator == 0, F.lit(0.0)).otherwise(
-        round1(F.lit(100.0) * numerator / F.nullif(denominator, F.lit(0)))
-    )
+    share = f"(100D * ({numerator}) / nullif(({denominator}), 0))"
+    return F.expr(f"case when ({denominator}) = 0 then 0D else {_round1(share)} end")
 
 
-def avg1(total: Column, n: Column) -> Column:
+def avg1(total: str, n: str) -> Column:
     """Average with one decimal; 0.0 for no values."""
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        round1(total.cast("double") / F.nullif(n, F.lit(0)))
-    )
+    mean = f"(cast(({total}) as double) / nullif(({n}), 0))"
+    return F.expr(f"case when ({n}) = 0 then 0D else {_round1(mean)} end")
 
 
-def format_latency(ms: Column) -> Column:
+def format_latency(ms: str) -> Column:
     """``1.2s`` from a second upwards, else ``850ms``."""
-    q = _tenths(ms / F.lit(1000.0), tie_to_even=False).cast("long")
-    seconds = F.concat(F.floor(q / 10).cast("string"),
-                       F.lit("."), (q % 10).cast("string"), F.lit("s"))
-    return F.when(ms >= 1000, seconds).otherwise(
-        F.concat(F.floor(ms + F.lit(0.5)).cast("string"), F.lit("ms")))
+    q = f"cast({_tenths(f'(({ms}) / 1000D)', '{up}')} as bigint)"
+    return F.expr(
+        f"case when ({ms}) >= 1000 then concat(cast({q} div 10 as string), '.', cast({q} % 10 as string), 's') "
+        f"else concat(cast(cast(floor(({ms}) + 0.5D) as bigint) as string), 'ms') end")

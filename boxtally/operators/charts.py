@@ -74,50 +74,62 @@ SERIES: tuple[Series, ...] = (
 _LATENCY = ("p50", "p99")
 
 
-def _member(s: Series, value: Column) -> Column:
+def _member(number: int, s: Series, value: Column) -> Column:
+    """The small row of a run for one series; null where the series leaves it out."""
     key = F.col(s.by).cast("string") if s.by else F.lit("all")
-    row = F.struct(F.lit(s.chart).alias("chart_key"), F.lit(s.name).alias("series"),
-                   F.coalesce(key, F.lit("unknown")).alias("group_value"), value.alias("v"))
+    row = F.struct(F.lit(number).alias("s"), F.coalesce(key, F.lit("unknown")).alias("group_value"),
+                   value.alias("v"))
     return row if s.where == "true" else F.when(F.expr(s.where), row)
 
 
 def _expand(runs: DataFrame, members: list[Column], stride: str) -> DataFrame:
     bucket = F.window("created_at", stride)["start"]
-    return runs.select(bucket.alias("bucket"), F.array_compact(F.array(*members)).alias("m")).select(
-        "bucket", F.inline("m"))
+    # Null members become null rows of the generator; the filter follows in the same stage.
+    rows = runs.select(bucket.alias("bucket"), F.inline(F.array(*members)))
+    return rows.filter(F.col("s").isNotNull())
+
+
+_KEY = ["s", "bucket", "group_value"]
 
 
 def chart_series(runs: DataFrame, feedback: DataFrame, *, stride: str = "1 hour",
                  series: tuple[Series, ...] = SERIES) -> DataFrame:
     """Every point of every series: ``chart_key, series, bucket, group_value, n, value``."""
     root = runs.filter(F.col("name").isin(*ROOT_NAMES))
-    key = ["chart_key", "series", "bucket", "group_value"]
     n = F.count(F.lit(1)).alias("n")
-    parts = []
 
-    counted = [_member(s, F.lit(None).cast("int") if s.measure == "count"
+    def of(*measures: str) -> list[tuple[int, Series]]:
+        return [(i, s) for i, s in enumerate(series) if s.measure in measures]
+
+    parts = []
+    counted = [_member(i, s, F.lit(None).cast("int") if s.measure == "count"
                        else F.when(F.col("status") == "failed", 1).otherwise(0))
-               for s in series if s.measure in ("count", "error_rate")]
+               for i, s in of("count", "error_rate")]
     if counted:
-        rows = _expand(root, counted, stride).groupBy(*key).agg(n, F.avg("v").alias("mean"))
-        parts.append(rows.select(*key, "n", F.coalesce("mean", F.col("n").cast("double")).alias("value")))
+        rows = _expand(root, counted, stride).groupBy(*_KEY).agg(n, F.avg("v").alias("mean"))
+        parts.append(rows.select(*_KEY, "n", F.coalesce("mean", F.col("n").cast("double")).alias("value")))
 
-    timed = [s for s in series if s.measure in _LATENCY]
+    timed = of(*_LATENCY)
     if timed:
-        rows = _expand(root, [_member(s, F.col("latency_ms")) for s in timed], stride)
-        at = F.percentile("v", F.array(F.lit(0.5), F.lit(0.99)))
-        rows = rows.groupBy(*key).agg(n, at.alias("p"))
-        median = F.col("chart_key").isin(*[s.chart for s in timed if s.measure == "p50"])
-        parts.append(rows.select(*key, "n", F.round(
+        rows = _expand(root, [_member(i, s, F.col("latency_ms")) for i, s in timed], stride)
+        rows = rows.groupBy(*_KEY).agg(n, F.percentile("v", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
+        median = F.col("s").isin(*[i for i, s in timed if s.measure == "p50"])
+        parts.append(rows.select(*_KEY, "n", F.round(
             F.when(median, F.col("p")[0]).otherwise(F.col("p")[1]), 3).alias("value")))
 
-    rated = [s for s in series if s.measure == "user_correct"]
+    rated = of("user_correct")
     if rated:
         scored = feedback.select("trace_id", F.col("correct").cast("int").alias("score")).join(root, "trace_id")
-        rows = _expand(scored, [_member(s, F.col("score")) for s in rated], stride)
-        parts.append(rows.groupBy(*key).agg(n, F.avg("v").alias("value")))
+        rows = _expand(scored, [_member(i, s, F.col("score")) for i, s in rated], stride)
+        parts.append(rows.groupBy(*_KEY).agg(n, F.avg("v").alias("value")))
 
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+
+    def name(of_series: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in of_series]), F.col("s"))
+
+    return out.select(name([x.chart for x in series]).alias("chart_key"),
+                      name([x.name for x in series]).alias("series"),
+                      "bucket", "group_value", "n", "value")

@@ -29,7 +29,7 @@ def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFr
     box = F.col("box")
     once = detections.groupBy("image_id", "value", "format", "box").agg(F.min("ord").alias("ord"))
     order = {"area": -g.area(box), "ord": F.col("ord")}
-    return ordered_greedy(once, "image_id", order, same_reading, limit)
+    return ordered_greedy(once, "image_id", order, same_reading, sized_by=detections, limit=limit)
 
 
 def reading_order(df: DataFrame, box: str = "box") -> DataFrame:

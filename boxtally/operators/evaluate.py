@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
 from boxtally.functions.outcome import LATENCY_LIMIT_MS
+from boxtally.operators.matching import centers, crowded_images, match_pairs, points_in_regions
 from boxtally.operators.metrics import p95_nearest_rank
 
 RECALL_GATE, PRECISION_GATE, OUTCOME_GATE = 0.90, 0.95, 0.80
@@ -78,28 +79,22 @@ def aggregate_thresholds(scores: DataFrame) -> DataFrame:
     return means.withColumn("score", F.when(passed, 1.0).otherwise(0.0))
 
 
-def benchmark_pairs(expected: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:
-    """Readings whose centre lies in a padded expected box, with their distance.
-
-    Plain pixel distance. Same grid key as the label candidates.
-    """
-    from boxtally.operators.matching import CELL, _cells
-
-    pad = F.lit(BENCHMARK_PADDING)
-    b, d = F.col("box"), F.col("box")
-    targets = expected.select("image_id", "label_index", g.center_x(b).alias("tx"), g.center_y(b).alias("ty"),
+def benchmark_pairs(expected: DataFrame, detections: DataFrame, *, by_cell: bool = True) -> DataFrame:
+    """Readings whose centre lies in a padded expected box, with their pixel distance."""
+    pad, b = F.lit(BENCHMARK_PADDING), F.col("box")
+    regions = expected.select("image_id", "label_index", g.center_x(b).alias("tx"), g.center_y(b).alias("ty"),
                               g.pad(b, pad, pad).alias("region"))
-    r = F.col("region")
-    targets = targets.withColumn("cell_x", _cells(r["x1"], r["x2"])).withColumn("cell_y", _cells(r["y1"], r["y2"]))
-    points = detections.select("image_id", "det_index", "value", g.center_x(d).alias("px"), g.center_y(d).alias("py"))
-    points = points.withColumns({"cell_x": F.floor(F.col("px") / CELL), "cell_y": F.floor(F.col("py") / CELL)})
-    near = targets.join(points, ["image_id", "cell_x", "cell_y"]).filter(
-        g.contains_point(r, F.col("px"), F.col("py")))
+    near = points_in_regions(regions, centers(detections), by_cell=by_cell)
     dx, dy = F.col("tx") - F.col("px"), F.col("ty") - F.col("py")
     return near.select("image_id", F.sqrt(dx * dx + dy * dy).alias("distance"), "label_index", "det_index",
                        F.lit("expected").alias("basis"), "value")
 
 
+def benchmark_matches(expected: DataFrame, detections: DataFrame) -> DataFrame:
+    """Readings assigned to expected boxes, nearest first."""
+    return match_pairs(benchmark_pairs, expected, detections, crowded_images(expected, detections))
+
+
 def symbol_benchmark(expected: DataFrame, detections: DataFrame, matches: DataFrame, images: DataFrame) -> DataFrame:
     """Per image: symbols, exact reads, false positives, mismatches, bonus reads.
 

@@ -85,9 +85,14 @@ def peel_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Con
     return (left if done is None else done).select(*columns)
 
 
-def ordered_greedy(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict,
-                   limit: int = GATHER_LIMIT) -> DataFrame:
-    big = large_groups([df], key, limit)
+def ordered_greedy(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict, *,
+                   sized_by: DataFrame | None = None, limit: int = GATHER_LIMIT) -> DataFrame:
+    """Keep greedily, each group by the plan that fits its size.
+
+    ``sized_by`` holds at least the rows of ``df``: counting its key column is
+    cheaper than running what leads to ``df`` twice.
+    """
+    big = large_groups([df if sized_by is None else sized_by], key, limit)
     if big is None:
         return fold_groups(df, key, order, conflict).select(*df.columns)
     small = fold_groups(df.join(big, key, "left_anti"), key, order, conflict).select(*df.columns)

@@ -8,10 +8,13 @@ Inputs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
+from boxtally.functions.text import is_primary_code
 from boxtally.operators.greedy import GATHER_LIMIT, fold_groups, large_groups
 from boxtally.session import cut_lineage
 
@@ -43,30 +46,36 @@ def _cells(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
 
 
-def candidate_pairs(labels: DataFrame, detections: DataFrame, images: DataFrame,
-                    *, by_cell: bool = True) -> DataFrame:
-    """Every label and reading whose centre lies in the padded target of the label.
+def points_in_regions(regions: DataFrame, points: DataFrame, *, by_cell: bool) -> DataFrame:
+    """Join ``region`` boxes with the points ``px, py`` they contain, per image.
 
     With ``by_cell`` the join key is the image and a grid cell, so a crowded
-    image is spread over many tasks and labels meet only readings nearby. A
-    reading has one centre and so one cell: no pair appears twice. Without it
-    the key is the image, which keeps small images in the partition in which
-    the assignment needs them anyway.
+    image is spread over many tasks and regions meet only points nearby. A
+    point has one cell, so no pair appears twice. Without it the key is the
+    image alone, which leaves small images in the partition in which the
+    assignment needs them anyway.
     """
-    targets = label_targets(labels, images)
-    box = F.col("box")
-    points = detections.select("image_id", "det_index", "value",
-                               g.center_x(box).alias("px"), g.center_y(box).alias("py"))
     key = ["image_id"]
     if by_cell:
         r = F.col("region")
-        targets = targets.withColumn("cell_x", _cells(r["x1"], r["x2"])).withColumn(
+        regions = regions.withColumn("cell_x", _cells(r["x1"], r["x2"])).withColumn(
             "cell_y", _cells(r["y1"], r["y2"]))
         points = points.withColumns({"cell_x": F.floor(F.col("px") / CELL),
                                      "cell_y": F.floor(F.col("py") / CELL)})
         key += ["cell_x", "cell_y"]
-    pairs = targets.join(points, key).filter(
-        g.contains_point(F.col("region"), F.col("px"), F.col("py")))
+    return regions.join(points, key).filter(g.contains_point(F.col("region"), F.col("px"), F.col("py")))
+
+
+def centers(detections: DataFrame) -> DataFrame:
+    box = F.col("box")
+    return detections.select("image_id", "det_index", "value",
+                             g.center_x(box).alias("px"), g.center_y(box).alias("py"))
+
+
+def candidate_pairs(labels: DataFrame, detections: DataFrame, images: DataFrame,
+                    *, by_cell: bool = True) -> DataFrame:
+    """Every label and reading whose centre lies in the padded target of the label."""
+    pairs = points_in_regions(label_targets(labels, images), centers(detections), by_cell=by_cell)
     distance = g.normalized_distance(F.col("tx"), F.col("ty"), F.col("px"), F.col("py"),
                                      F.col("image_width"), F.col("image_height"))
     return pairs.select("image_id", distance.alias("distance"), "label_index", "det_index",
@@ -109,31 +118,45 @@ def assign_matches(pairs: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
 
     Ties go to the lower label, then the lower reading.
     """
-    big = large_groups([pairs], "image_id", limit)
-    if big is None:
-        return _assign_by_fold(pairs)
-    return _assign_by_fold(pairs.join(big, "image_id", "left_anti")).unionByName(
-        _assign_by_rounds(pairs.join(big, "image_id", "left_semi")))
+    pairs = cut_lineage(pairs)
+    return match_pairs(lambda left, _, by_cell: left, pairs, pairs, large_groups([pairs], "image_id", limit))
 
 
-def match_labels(labels: DataFrame, detections: DataFrame, images: DataFrame,
-                 limit: int = GATHER_LIMIT) -> DataFrame:
-    """Candidate pairs and assignment in one plan.
+def match_pairs(pairs_of: Callable[..., DataFrame], left: DataFrame, right: DataFrame,
+                large: DataFrame | None) -> DataFrame:
+    """Assign the pairs of two sides; ``large`` names the crowded images.
 
-    The size check counts labels and readings, not pairs, so the range join
-    runs once. Small images join and fold on the same key: one shuffle a side.
+    Small images join and fold on the same key, one shuffle a side. Crowded
+    ones join by grid cell and are assigned in rounds.
     """
-    big = large_groups([labels, detections], "image_id", limit)
-    if big is None:
-        return _assign_by_fold(candidate_pairs(labels, detections, images, by_cell=False))
+    if large is None:
+        return _assign_by_fold(pairs_of(left, right, by_cell=False))
 
     def part(df: DataFrame, how: str) -> DataFrame:
-        return df.join(big, "image_id", how)
+        return df.join(large, "image_id", how)
+
+    small = pairs_of(part(left, "left_anti"), part(right, "left_anti"), by_cell=False)
+    crowded = pairs_of(part(left, "left_semi"), part(right, "left_semi"), by_cell=True)
+    return _assign_by_fold(small).unionByName(_assign_by_rounds(crowded))
+
+
+def crowded_images(*frames: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame | None:
+    """Images with more rows over all frames than one array should hold.
+
+    Counts labels and readings, not pairs, so the range join runs once.
+    """
+    return large_groups(frames, "image_id", limit)
+
+
+def match_labels(labels: DataFrame, detections: DataFrame, images: DataFrame,
+                 limit: int = GATHER_LIMIT) -> DataFrame:
+    """Candidate pairs and assignment in one plan."""
+    return _match(labels, detections, images, crowded_images(labels, detections, limit=limit))
+
 
-    small = candidate_pairs(part(labels, "left_anti"), part(detections, "left_anti"), images,
-                            by_cell=False)
-    large = candidate_pairs(part(labels, "left_semi"), part(detections, "left_semi"), images)
-    return _assign_by_fold(small).unionByName(_assign_by_rounds(large))
+def _match(labels: DataFrame, detections: DataFrame, images: DataFrame, large: DataFrame | None) -> DataFrame:
+    return match_pairs(lambda a, b, by_cell: candidate_pairs(a, b, images, by_cell=by_cell),
+                       labels, detections, large)
 
 
 def unmatched_labels(labels: DataFrame, matches: DataFrame) -> DataFrame:
@@ -164,14 +187,15 @@ def reconcile(labels: DataFrame, detections: DataFrame, images: DataFrame) -> Da
 
 
 def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
-                  images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  images: DataFrame, limit: int = GATHER_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Match, rescan what stayed unmatched, match once more.
 
     Returns the detections that took part, the final matches and per image the
     recovery counters. Readings of the rescan are appended without
     de-duplication; images without unmatched labels keep their first result.
     """
-    first = cut_lineage(match_labels(labels, detections, images))
+    large = crowded_images(labels, detections, recovery, limit=limit)
+    first = cut_lineage(_match(labels, detections, images, large))
     open_labels = unmatched_labels(labels, first)
     tried = cut_lineage(open_labels.groupBy("image_id").agg(F.count(F.lit(1)).alias("labels_tried")))
     again = tried.select("image_id")
@@ -179,8 +203,8 @@ def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
     second_scan = recovery.join(again, "image_id", "left_semi").withColumn(
         "det_index", (F.col("det_index") + SECOND_SCAN).cast("int"))
     all_detections = detections.unionByName(second_scan.select(*detections.columns))
-    redo = match_labels(labels.join(again, "image_id", "left_semi"),
-                        all_detections.join(again, "image_id", "left_semi"), images)
+    redo = cut_lineage(_match(labels.join(again, "image_id", "left_semi"),
+                              all_detections.join(again, "image_id", "left_semi"), images, large))
     final = first.join(again, "image_id", "left_anti").unionByName(redo)
 
     def count(df: DataFrame, name: str) -> DataFrame:
@@ -219,20 +243,10 @@ def match_conflicts(matches: DataFrame) -> DataFrame:
 def uncovered_boxes(boxes: DataFrame, detections: DataFrame) -> DataFrame:
     """Boxes that do not yet hold the centre of a readable primary code.
 
-    The covered boxes are found on a grid key like the candidate pairs, and
-    taken out by identity.
+    The covered boxes are found by grid cell, where equal centres count once,
+    and taken out by identity.
     """
-    from boxtally.functions.text import is_primary_code
-
-    b, d = F.col("box"), F.col("box")
-    points = detections.filter(is_primary_code(F.col("value"))).select(
-        "image_id", g.center_x(d).alias("px"), g.center_y(d).alias("py"))
-    points = points.withColumns({"cell_x": F.floor(F.col("px") / CELL),
-                                 "cell_y": F.floor(F.col("py") / CELL)}).dropDuplicates()
-    spread = boxes.select("image_id", "proposal_id", "box", _cells(b["x1"], b["x2"]).alias("cell_x"),
-                          ).withColumn("cell_y", _cells(b["y1"], b["y2"]))
-    covered = spread.alias("s").join(points.alias("p"), (
-        (F.col("s.image_id") == F.col("p.image_id")) & (F.col("s.cell_x") == F.col("p.cell_x"))
-        & (F.col("s.cell_y") == F.col("p.cell_y"))
-        & g.contains_point(F.col("s.box"), F.col("p.px"), F.col("p.py"))), "left_semi")
+    primary = centers(detections.filter(is_primary_code(F.col("value"))))
+    regions = boxes.select("image_id", "proposal_id", F.col("box").alias("region"))
+    covered = points_in_regions(regions, primary.select("image_id", "px", "py").distinct(), by_cell=True)
     return boxes.join(covered.select("image_id", "proposal_id"), ["image_id", "proposal_id"], "left_anti")

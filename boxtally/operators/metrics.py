@@ -98,8 +98,8 @@ def _counters() -> list[Column]:
 
 def _with_rates(counted: DataFrame) -> DataFrame:
     """Add the rates; the exact counts stay beside them."""
-    rates = {n: pct(F.col(a), F.col(b)) for n, (a, b) in _RATES.items()}
-    averages = {n: avg1(F.col(a), F.col(b)) for n, (a, b) in _AVERAGES.items()}
+    rates = {n: pct(a, b) for n, (a, b) in _RATES.items()}
+    averages = {n: avg1(a, b) for n, (a, b) in _AVERAGES.items()}
     return counted.withColumns(rates | averages)
 
 
@@ -137,10 +137,10 @@ def version_rates(runs: DataFrame, names: Iterable[str] = VERSION_RATES) -> Data
                        F.coalesce(F.col(field), F.lit("unknown")).alias("version"),
                        F.expr(matches).alias("hit"))
         rows.append(row if counts is None else F.when(F.expr(counts), row))
-    expanded = runs.select(F.inline(F.array_compact(F.array(*rows))))
+    expanded = runs.select(F.inline(F.array(*rows))).filter(F.col("rate").isNotNull())
     counted = expanded.groupBy("rate", "version").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("matched"))
-    return counted.withColumn("rate_pct", pct(F.col("matched"), F.col("total")))
+    return counted.withColumn("rate_pct", pct("matched", "total"))
 
 
 def stored_grouped_metrics(runs: DataFrame, group_by: str) -> DataFrame:
@@ -186,7 +186,7 @@ def recovery_funnel(runs: DataFrame) -> DataFrame:
     step = "stack(4, 1, 'total', total, total, 2, 'attempted', attempted, total, " \
            "3, 'succeeded', succeeded, attempted, 4, 'completed', completed, total) " \
            "as (step_no, step, runs, denominator)"
-    return counted.selectExpr(step).withColumn("share_pct", pct(F.col("runs"), F.col("denominator")))
+    return counted.selectExpr(step).withColumn("share_pct", pct("runs", "denominator"))
 
 
 COMPARED_METRICS = (
@@ -199,7 +199,7 @@ def version_comparison(runs: DataFrame, group_by: str) -> DataFrame:
     """One printed row per version: runs, four rates and the tail latency."""
     m = compute_grouped_metrics(runs, group_by)
     return m.select("group_key", "images_processed", *COMPARED_METRICS,
-                    format_latency(F.col("p95_latency_ms")).alias("p95")).orderBy("group_key")
+                    format_latency("p95_latency_ms").alias("p95")).orderBy("group_key")
 
 
 def version_metric(runs: DataFrame, group_by: str, metric: str) -> DataFrame:

@@ -17,10 +17,11 @@ def overlaps(a: Column, b: Column) -> Column:
     return (g.iou(x, y) >= 0.35) | (g.containment(x, y) >= 0.75) | (g.containment(y, x) >= 0.75)
 
 
-def suppress_overlaps(scored: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
+def suppress_overlaps(scored: DataFrame, *, sized_by: DataFrame | None = None,
+                      limit: int = GATHER_LIMIT) -> DataFrame:
     """Keep the best-scored of overlapping boxes; equal scores keep input order."""
     order = {"score": -F.col("score"), "ord": F.col("proposal_id")}
-    return ordered_greedy(scored, "image_id", order, overlaps, limit)
+    return ordered_greedy(scored, "image_id", order, overlaps, sized_by=sized_by, limit=limit)
 
 
 def score_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def rank_label_proposals(proposals: DataFrame, images: DataFrame, k: int = TOP_P
     """Filter, score, suppress, cut to ``k``, pad, number in reading order."""
     scored = score_proposals(proposals, images)
     size = scored.select("image_id", "proposal_id", "box", "score")
-    kept = top_proposals(suppress_overlaps(size), k).join(
+    kept = top_proposals(suppress_overlaps(size, sized_by=proposals), k).join(
         images.select("image_id", "image_width", "image_height"), "image_id")
     padded = kept.select("image_id", "proposal_id", "score", g.pad_ratio(
         F.col("box"), PADDING_RATIO, F.col("image_width"), F.col("image_height")).alias("box"))

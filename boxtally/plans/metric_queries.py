@@ -222,7 +222,7 @@ select latency_ms, count(*) as runs,
 from runs group by 1""", "runs")
 def format_latency(spark, d):
     return build(spark, d, "runs").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("runs")).withColumn(
-        "shown", rates.format_latency(F.col("latency_ms")))
+        "shown", rates.format_latency("latency_ms"))
 
 
 @query("P24 P25", """

@@ -12,6 +12,7 @@ from boxtally.plans.catalog import query
 from boxtally.plans.fixtures import build
 from boxtally.plans.geometry_queries import MATCHES, RECOVERY
 from boxtally.plans.inputs import flat
+from boxtally.session import cut_lineage
 
 _BASE = "images label_boxes detection_boxes"
 _ALL = "images label_boxes detection_boxes recovery_detections"
@@ -29,9 +30,14 @@ def _items(spark, d):
 
 
 def _photo(spark, d):
-    """Summary of every photo after recovery."""
+    """Summary of every photo after recovery.
+
+    Labels and readings are derived here and used in both passes, so they are
+    written once; stored tables would be read as they are.
+    """
     images = inputs.images(spark, d)
-    labels, dets = results.usable_inputs(inputs.labels(spark, d), inputs.detections(spark, d), images)
+    labels, dets = map(cut_lineage, results.usable_inputs(
+        inputs.labels(spark, d), inputs.detections(spark, d), images))
     all_dets, final, counters = matching.with_recovery(
         labels, dets, inputs.recovery_detections(spark, d), images)
     items = results.assemble_items(labels, all_dets, final)

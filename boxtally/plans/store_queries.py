@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import messages as msg
 from boxtally.functions import text
-from boxtally.operators import chat, evaluate, matching, metrics, quality, review, tables
+from boxtally.operators import chat, evaluate, quality, review, tables
 from boxtally.plans import inputs
 from boxtally.plans.catalog import query
 from boxtally.plans.fixtures import build
-from boxtally.plans.geometry_queries import MATCHES, greedy_cte
-from boxtally.plans.inputs import flat
+from boxtally.plans.geometry_queries import greedy_cte
+from boxtally.session import cut_lineage, scratch_path
 
 C = "cast({} as varchar)"
 
@@ -436,10 +436,11 @@ per_image as (select i.image_id, coalesce(w.symbols, 0) as symbols, coalesce(w.d
 def _bench(spark, d):
     t = build(spark, d, "expected_symbols")
     from boxtally.functions.geometry import box
-    expected = t.select("image_id", "label_index", box("x1", "y1", "x2", "y2").alias("box"), "state", "value")
-    dets, images = inputs.detections(spark, d), inputs.images(spark, d)
-    matches = matching.assign_matches(evaluate.benchmark_pairs(expected, dets, images))
-    return evaluate.symbol_benchmark(expected, dets, matches, images)
+    # Derived here and read several times below, so written once.
+    expected = cut_lineage(t.select(
+        "image_id", "label_index", box("x1", "y1", "x2", "y2").alias("box"), "state", "value"))
+    dets, images = cut_lineage(inputs.detections(spark, d)), inputs.images(spark, d)
+    return evaluate.symbol_benchmark(expected, dets, evaluate.benchmark_matches(expected, dets), images)
 
 
 @query("A15", f"with {_BENCH} select * from per_image", "images detection_boxes expected_symbols", recursive=True)
@@ -673,7 +674,6 @@ def session_by_id(spark, d):
 select id, run_id, case when recovery_attempted then 1 else 0 end = 1 as recovery_attempted, added_to_dataset from queue""", "queue")
 def stored_queue(spark, d):
     """The queue as its store keeps it, read back through the casts."""
-    from boxtally.session import scratch_path
     from boxtally.sources.tables import append_table, read_queue
 
     root = scratch_path(spark, "queue")
@@ -687,7 +687,6 @@ def stored_queue(spark, d):
 select id, source, status from runs where created_at >= timestamp '2001-07-25 00:00:00'""", "runs")
 def stored_runs_window(spark, d):
     """Runs written to the store, read back through a time window."""
-    from boxtally.session import scratch_path
     from boxtally.sources.tables import runs_since, write_table
 
     root = scratch_path(spark, "store")
