@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxtally.functions.rates import avg1, format_latency, pct
+from boxtally.functions.text import meta_bool, meta_int, meta_str
 
 GROUP_FIELDS = (
     "pipeline_version", "scanner_version", "recovery_version",
@@ -39,6 +40,23 @@ _AVERAGES = {
 }
 
 
+_TEXT_FIELDS = ("source", "primary_issue", "pipeline_version", "scanner_version", "recovery_version",
+                "vision_prompt_version", "vision_model")
+_INT_FIELDS = ("found_count", "missing_count", "unassigned_count", "count_delta", "latency_ms",
+               "recovery_labels_tried", "recovery_labels_resolved")
+_BOOL_FIELDS = ("scanner_vision_match", "recovery_attempted", "recovery_succeeded")
+
+
+def runs_from_metadata(traces: DataFrame, column: str = "metadata") -> DataFrame:
+    """Typed run columns from a map of loosely typed metadata strings."""
+    m = F.col(column)
+    put = {"status": meta_str(m, "final_status")}
+    put |= {c: meta_str(m, c) for c in _TEXT_FIELDS}
+    put |= {c: meta_int(meta_str(m, c)) for c in _INT_FIELDS}
+    put |= {c: meta_bool(meta_str(m, c)) for c in _BOOL_FIELDS}
+    return traces.select("*", *[v.alias(k) for k, v in put.items()])
+
+
 def check_group_by(field: str) -> str:
     """Refuse a grouping field before any plan is built."""
     if field not in GROUP_FIELDS:

@@ -245,3 +245,17 @@ def metadata_strings(spark, d):
         F.lit("primary_issue"), "primary_issue", F.lit("found_count"), "found_count").alias("m"))
     return packed.select("run_id", text.meta_str(F.col("m"), "primary_issue").alias("primary_issue"),
                          text.meta_str(F.col("m"), "found_count").alias("found_text"))
+
+
+@query("A1 P24 P25 P26", """
+select count(*) as images_processed, cast(sum(case when trim(found_count) = 'true' then 1
+    else coalesce(try_cast(case when regexp_full_match(trim(found_count), '[+-]?[0-9]+')
+      then trim(found_count) end as bigint), 0) end) as bigint) as boxes_processed,
+  count(*) filter (lower(recovery_attempted) in ('true', '1', 'yes')) as recovery_attempted
+from run_metadata""", "run_metadata")
+def metrics_from_metadata(spark, d):
+    names = ("found_count", "recovery_attempted", "primary_issue")
+    entries = [x for n in names for x in (F.lit(n), F.col(n))]
+    traces = build(spark, d, "run_metadata").select("run_id", F.create_map(*entries).alias("metadata"))
+    return metrics.compute_metrics(metrics.runs_from_metadata(traces)).select(
+        "images_processed", "boxes_processed", "recovery_attempted")
