@@ -58,19 +58,31 @@ def fold_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Con
     return kept.select(key, F.inline(_keep(F.col("rows"), conflict)))
 
 
+def first_rows(df: DataFrame, key: str, names: list[str], n: int, spread: int = 64) -> DataFrame:
+    """First ``n`` rows of every group by the order columns ``names``.
+
+    ``row_number() <= n`` is limited in each task before the shuffle. The first
+    of the two steps spreads a group over ``spread`` tasks, so the last one sees
+    at most ``n * spread`` rows of it, whatever the number of tasks before.
+    """
+    salt = F.pmod(F.xxhash64(*names), F.lit(spread))
+    for part in ([key, "_salt"], [key]):
+        w = Window.partitionBy(*part).orderBy(*names)
+        df = df.withColumn("_salt", salt).withColumn("_n", F.row_number().over(w)).filter(
+            F.col("_n") <= n).drop("_n", "_salt")
+    return df
+
+
 def peel_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict,
                 batch: int = GATHER_LIMIT) -> DataFrame:
     """Decide ``batch`` rows of every group per round until no row is open."""
     columns = df.columns
     names = [f"_o{i}" for i in range(len(order))]
     left = cut_lineage(df.withColumns(dict(zip(names, order.values()))))
-    first = Window.partitionBy(key).orderBy(*names)
     done = None
     while not left.isEmpty():
-        # row_number() <= k is limited per task before the shuffle.
-        head = left.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= batch)
-        kept = fold_groups(head.drop("_n"), key, {n: F.col(n) for n in names}, conflict)
-        kept = cut_lineage(kept)
+        head = cut_lineage(first_rows(left, key, names, batch))
+        kept = cut_lineage(fold_groups(head, key, {n: F.col(n) for n in names}, conflict))
         done = kept if done is None else done.unionByName(kept)
         last = head.groupBy(key).agg(F.max(F.struct(*names)).alias("_last"))
         mask = kept.groupBy(key).agg(F.collect_list(

@@ -25,7 +25,7 @@ PAIR = ["image_id", "distance", "label_index", "det_index", "basis", "value"]
 _ORDER = ["distance", "label_index", "det_index", "basis"]
 
 #: readings of a second scan come after those of the first
-SECOND_SCAN = 1 << 30
+SECOND_SCAN = 1 << 62
 
 
 def label_targets(labels: DataFrame, images: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
     again = tried.select("image_id")
 
     second_scan = recovery.join(again, "image_id", "left_semi").withColumn(
-        "det_index", (F.col("det_index") + SECOND_SCAN).cast("int"))
+        "det_index", F.col("det_index") + F.lit(SECOND_SCAN))
     all_detections = detections.unionByName(second_scan.select(*detections.columns))
     redo = cut_lineage(_match(labels.join(again, "image_id", "left_semi"),
                               all_detections.join(again, "image_id", "left_semi"), images, large))
@@ -233,7 +233,7 @@ def reconcile_with_recovery(labels: DataFrame, detections: DataFrame, recovery:
 def match_conflicts(matches: DataFrame) -> DataFrame:
     """Labels or readings used more than once; empty unless something is wrong."""
     def twice(side: str) -> DataFrame:
-        used = matches.groupBy("image_id", F.col(side).cast("int").alias("index")).agg(
+        used = matches.groupBy("image_id", F.col(side).alias("index")).agg(
             F.count(F.lit(1)).alias("uses")).filter(F.col("uses") > 1)
         return used.withColumn("side", F.lit(side))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
 from boxtally.functions import outcome as o
+from boxtally.session import cut_lineage
 
 _ITEM = ["image_id", "kind", "label_index", "det_index", "barcode_value", "barcode_format",
          "barcode_box", "label_box", "match_basis", "label_status"]
@@ -130,18 +131,31 @@ def explode_items(results: DataFrame) -> DataFrame:
     return found.unionByName(missing)
 
 
-def nest_items(items: DataFrame) -> DataFrame:
-    """Arrays of items per photo, in label and reading order, for reply texts.
+#: items of one nested row; a photo with more becomes several pages
+PAGE_ITEMS = 512
 
-    A reply holds every item of its photo, so its array is as long as the
-    message to be sent; reports and storage use the item rows instead.
+
+def nest_items(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Arrays of items per photo and page, in label and reading order.
+
+    A photo is one page, page 0, unless it holds more than ``page_items``;
+    those are spread over pages by the hash of their items, so no array grows
+    with the photo. Every item is on exactly one page.
     """
     entry = F.struct("label_index", "det_index", "barcode_value", "barcode_format", "match_basis")
 
     def of(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(kind)
 
-    return items.groupBy("image_id").agg(of("found"), of("missing"), of("unassigned"))
+    items = cut_lineage(items)
+    big = cut_lineage(items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page_items))
+    if big.isEmpty():
+        paged = items.withColumn("page", F.lit(0).cast("long"))
+    else:
+        pages = F.ceil(F.col("n") / (page_items / 2))
+        spread = F.pmod(F.xxhash64("label_index", "det_index"), pages)
+        paged = items.join(big, "image_id", "left").withColumn("page", F.coalesce(spread, F.lit(0))).drop("n")
+    return paged.groupBy("image_id", "page").agg(of("found"), of("missing"), of("unassigned"))
 
 
 def scanner_status(images: DataFrame, detections: DataFrame) -> DataFrame:

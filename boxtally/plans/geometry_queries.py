@@ -197,7 +197,7 @@ def greedy_cte(name: str, cand: str) -> str:
 {name}_seq as (select *, row_number() over (partition by image_id
     order by distance, label_index, det_index, basis) as n from {cand}),
 {name}_walk as (
-  select image_id, 0::bigint as n, []::int[] as ls, []::int[] as ds, false as hit from (select distinct image_id from {cand}) i
+  select image_id, 0::bigint as n, []::bigint[] as ls, []::bigint[] as ds, false as hit from (select distinct image_id from {cand}) i
   union all
   select s.image_id, s.n,
     case when list_contains(w.ls, s.label_index) or list_contains(w.ds, s.det_index) then w.ls else list_append(w.ls, s.label_index) end,
@@ -264,7 +264,7 @@ def unassigned_detections(spark, d):
 RECOVERY = f"""{MATCHES},
 tried as (select image_id, count(*) as labels_tried from label_boxes l where not exists (
   select 1 from matches m where m.image_id = l.image_id and m.label_index = l.label_index) group by 1),
-second as (select image_id, det_index + 1073741824 as det_index, value, format, x1, y1, x2, y2
+second as (select image_id, det_index + 4611686018427387904 as det_index, value, format, x1, y1, x2, y2
   from recovery_detections where image_id in (select image_id from tried)),
 all_dets as (select image_id, det_index, value, format, x1, y1, x2, y2 from detection_boxes
   union all select * from second),

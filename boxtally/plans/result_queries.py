@@ -99,7 +99,7 @@ counted as (select i.image_id, i.elapsed_ms, i.scan_state <> 'error' as ok,
   i.scan_state <> 'error' and i.audit_state = 'ok' as audit_available,
   count(*) filter (kind = 'found') as found_count, count(*) filter (kind = 'missing') as missing_count,
   count(*) filter (kind = 'unassigned') as unassigned_count
-  from images i left join (select * from items where not (kind = 'unassigned' and det_index >= 1073741824
+  from images i left join (select * from items where not (kind = 'unassigned' and det_index >= 4611686018427387904
     and image_id not in (select image_id from audited))) x using (image_id) group by all),
 summary as (select c.*, found_count + missing_count as visible_label_count,
   t.labels_tried is not null as recovery_attempted, coalesce(t.labels_tried, 0) as labels_tried,
@@ -271,24 +271,23 @@ def online_feedback(spark, d):
 
 
 @query("P36", """
-select image_id, case
-  when n > 4 then concat('Found ', n, ' new barcodes but only 1 missing. Which one(s) to add? [''', array_to_string(codes, ''', '''), ''']')
-  when n = 4 then null
-  when len(lost) > 0 then concat('Found ', n, '/9. Send a photo of box(es): [', array_to_string(lost, ', '), ']')
-  else concat('Found ', n, '/9. Send another photo.') end as message
-from (select image_id, count(*) as n, list(cast(part as varchar) order by label_index) as codes,
-  coalesce(list(label_index order by label_index) filter (supp % 7 = 0), []) as lost from label_boxes group by 1) s""",
-       "label_boxes")
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_partkey % 3
+  when 0 then concat('Found ', l_linenumber, ' new barcodes but only ', l_suppkey % 5, ' missing. Which one(s) to add? [',
+    array_to_string(list_transform(range(1, l_linenumber + 1), lambda i: concat(chr(39), 'c', i, chr(39))), ', '), ']')
+  when 1 then case when l_suppkey % 4 > 0
+    then concat('Found ', l_suppkey % 5, '/9. Send a photo of box(es): [', array_to_string(range(1, l_suppkey % 4 + 1), ', '), ']')
+    else concat('Found ', l_suppkey % 5, '/9. Send another photo.') end end as message
+from lineitem""")
 def session_messages(spark, d):
-    t = build(spark, d, "label_boxes")
-    entry = F.struct("label_index", F.col("part").cast("string").alias("code"))
-    s = t.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("all"),
-        F.array_sort(F.collect_list(F.when(F.col("supp") % 7 == 0, F.col("label_index")))).alias("lost"))
-    n = F.size("all")
-    status = F.when(n > 4, "needs_user_selection").when(n == 4, "complete").otherwise("active")
-    return s.select("image_id", msg.session_message(
-        status, n, F.lit(9), F.col("lost"), F.transform("all", lambda x: x["code"]), F.lit(1)).alias("message"))
+    c = F.col
+    n = c("l_suppkey") % 4
+    lost = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
+    codes = F.transform(F.sequence(F.lit(1), c("l_linenumber")), lambda i: F.concat(F.lit("c"), i.cast("string")))
+    status = F.when(c("l_partkey") % 3 == 0, "needs_user_selection").when(c("l_partkey") % 3 == 1, "active").otherwise("complete")
+    some = c("l_suppkey") % 5
+    return build(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        msg.session_message(status, some, F.lit(9), lost, codes, some).alias("message"))
 
 
 @query("P37", f"""with {_FIRST_ITEMS},
@@ -301,6 +300,7 @@ from lines group by 1""", _BASE, recursive=True)
 def reply_text(spark, d):
     n = results.nest_items(_items(spark, d).filter(F.col("kind") != "missing"))
     none = F.lit(None).cast("string")
+    # One page per photo, save for photos with more items than a page holds.
     return n.select("image_id", msg.reply_text(
         F.col("found"), F.col("unassigned"), F.col("image_id").cast("string"), none).alias("reply"))
 

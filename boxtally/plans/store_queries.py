@@ -19,7 +19,7 @@ C = "cast({} as varchar)"
 # --- chat --------------------------------------------------------------------
 
 def callback_bodies(messages):
-    """Messages packed into callback bodies, a few turns of a conversation each."""
+    """One callback body per message."""
     c = F.col
 
     def when(kind: str, *fields):
@@ -42,11 +42,11 @@ def callback_bodies(messages):
             F.when(c("turn") % 4 == 2, choice).alias("list_reply"),
             F.when(c("turn") % 4 != 2, choice).alias("button_reply"))).alias("interactive"))
     contact = F.struct(c("sender").alias("wa_id"), F.struct(c("contact").alias("name")).alias("profile"))
-    packed = messages.groupBy("conv_id", F.floor(c("turn") / 4).alias("part")).agg(
-        F.collect_list(body).alias("messages"), F.collect_list(contact).alias("contacts"))
-    value = F.struct(F.struct("contacts", "messages").alias("value"))
+    # Each callback also carries a message of a type that is not handled.
+    other = body.withField("type", F.lit("reaction")).withField("id", F.concat(F.lit("x"), c("id")))
+    value = F.struct(F.struct(F.array(contact).alias("contacts"), F.array(body, other).alias("messages")).alias("value"))
     entry = F.array(F.struct(F.array(value).alias("changes")))
-    return packed.select("conv_id", F.to_json(F.struct(entry.alias("entry"))).alias("value"))
+    return messages.select("conv_id", F.to_json(F.struct(entry.alias("entry"))).alias("value"))
 
 
 FLAT_CHAT = """
@@ -326,23 +326,29 @@ def candidate_by_id(spark, d):
 
 
 @query("S8 D2", """
-select image, count(*) as expected_barcode_symbol_count, count(*) filter (decoded) as expected_decoded_count,
-  coalesce(string_agg(distinct value, ',' order by value) filter (decoded and value <> ''), '') as expected_unique_values
-from (select concat('annotation_', run_id, '.jpg') as image, run_id, box_no % 3 <> 0 as decoded, coalesce(value, '') as value from expected_codes) b
-where run_id in (select run_id from queue where image_ref in (select path from inventory)) group by 1""",
-       "queue expected_codes inventory")
+select run_id, box_no, expected_barcode_symbol_count, expected_decoded_count, expected_unique_values
+from (select run_id, box_no, 4 as expected_barcode_symbol_count,
+  2 + case when box_no % 3 <> 0 then 1 else 0 end as expected_decoded_count,
+  array_to_string(list_sort(list_distinct(list_filter(
+    [value, 'b', case when box_no % 3 <> 0 then concat('a', box_no) end], lambda x: x is not null))), ',') as expected_unique_values
+  from expected_codes) b""", "expected_codes")
 def ground_truth_examples(spark, d):
-    """Documents of the exported form, read back as one row per image."""
+    """Documents of one image each, read as expected values and counts."""
     from boxtally.sources.ground_truth import examples
 
-    kept = review.with_existing_image(build(spark, d, "queue"), build(spark, d, "inventory")).select("run_id")
-    codes = build(spark, d, "expected_codes").join(kept, "run_id", "left_semi")
-    box = F.struct(F.when(F.col("box_no") % 3 != 0, "decoded").otherwise("unreadable").alias("status"), "value", "format")
-    entry = codes.groupBy("run_id").agg(F.collect_list(box).alias("boxes"))
-    image = F.struct(F.concat(F.lit("annotation_"), "run_id", F.lit(".jpg")).alias("image"),
-                     F.size("boxes").cast("long").alias("expected_barcode_symbol_count"), "boxes")
-    out = examples(entry.select(F.array(image).alias("images")))
-    return out.select("image", "expected_barcode_symbol_count", F.col("expected_decoded_count").cast("long").alias("expected_decoded_count"),
+    def box(status, value):
+        return F.struct(F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"),
+                        value.alias("value"), F.lit("Code128").alias("format"))
+
+    third = F.when(F.col("box_no") % 3 != 0, "decoded").otherwise("unreadable")
+    boxes = F.array(box("decoded", F.col("value")), box("decoded", F.lit("b")),
+                    box(third, F.concat(F.lit("a"), F.col("box_no").cast("string"))), box("unreadable", F.lit("z")))
+    image = F.struct(F.concat_ws("/", "run_id", F.col("box_no").cast("string")).alias("image"),
+                     F.size(boxes).alias("expected_barcode_symbol_count"), boxes.alias("boxes"))
+    out = examples(build(spark, d, "expected_codes").select(F.array(image).alias("images")))
+    return out.select(F.split_part("image", F.lit("/"), F.lit(1)).alias("run_id"),
+                      F.split_part("image", F.lit("/"), F.lit(2)).cast("int").alias("box_no"),
+                      "expected_barcode_symbol_count", "expected_decoded_count",
                       F.array_join("expected_unique_values", ",").alias("expected_unique_values"))
 
 

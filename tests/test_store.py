@@ -184,6 +184,11 @@ def test_results_nest_and_explode(spark):
     rows = sorted(tuple(r) for r in results.explode_items(nested).select("label_index", "status").collect())
     assert rows == [(1, "missing"), (2, "found")]
     r = one(nested.select(msg.reply_text(F.col("found"), F.col("unassigned"), F.lit("u"), F.lit("t")).alias("t")))
+    assert nested.select("page").first()[0] == 0
+    many = spark.range(900).selectExpr("1 as image_id", "'found' as kind", "cast(id as int) as label_index", "cast(id as int) as det_index",
+                                       "'v' as barcode_value", "'f' as barcode_format", "'x' as match_basis")
+    pages = results.nest_items(many, 100).select(F.size("found").alias("n")).collect()
+    assert sum(p.n for p in pages) == 900 and max(p.n for p in pages) <= 100
     assert r.t == "Found 2 barcodes:\n2. v (f)\n-. w (f)\n\nID: u\nTrace: t"
 
 
