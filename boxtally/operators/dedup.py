@@ -23,13 +23,14 @@ def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFr
 
     Order: area descending, then input order (``ord``). A later reading is never
     larger than a kept one, so whichever value is more plausible, the later one
-    goes. Identical readings collapse first, before the shuffle: whatever
-    decides one of them decides them all.
+    goes. Identical readings collapse first: whatever decides one of them
+    decides them all.
     """
-    box = F.col("box")
-    once = detections.groupBy("image_id", "value", "format", "box").agg(F.min("ord").alias("ord"))
-    order = {"area": -g.area(box), "ord": F.col("ord")}
-    return ordered_greedy(once, "image_id", order, same_reading, sized_by=detections, limit=limit)
+    def collapse(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("image_id", "value", "format", "box").agg(F.min("ord").alias("ord"))
+
+    order = {"area": -g.area(F.col("box")), "ord": F.col("ord")}
+    return ordered_greedy(detections, "image_id", order, same_reading, prepare=collapse, limit=limit)
 
 
 def reading_order(df: DataFrame, box: str = "box") -> DataFrame:

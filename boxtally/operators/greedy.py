@@ -97,15 +97,24 @@ def peel_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Con
     return (left if done is None else done).select(*columns)
 
 
-def ordered_greedy(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict, *,
-                   sized_by: DataFrame | None = None, limit: int = GATHER_LIMIT) -> DataFrame:
-    """Keep greedily, each group by the plan that fits its size.
-
-    ``sized_by`` holds at least the rows of ``df``: counting its key column is
-    cheaper than running what leads to ``df`` twice.
+def ordered_greedy(rows: DataFrame, key: str, order: dict[str, Column], conflict: Conflict, *,
+                   prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+                   limit: int = GATHER_LIMIT) -> DataFrame:
+    """Keep greedily among ``prepare(rows)``, each group by the plan that fits its size.
+
+    Group sizes are counted on ``rows``, whose key column is cheap to read.
+    ``prepare`` may drop, join or collapse rows within their group. For small
+    groups it runs on rows already partitioned by the key, so it and the fold
+    share one shuffle; for large groups it runs first, so that what it
+    collapses is not moved.
     """
-    big = large_groups([df if sized_by is None else sized_by], key, limit)
+    def small(df: DataFrame) -> DataFrame:
+        ready = prepare(df.repartition(key))
+        return fold_groups(ready, key, order, conflict).select(*ready.columns)
+
+    big = large_groups([rows], key, limit)
     if big is None:
-        return fold_groups(df, key, order, conflict).select(*df.columns)
-    small = fold_groups(df.join(big, key, "left_anti"), key, order, conflict).select(*df.columns)
-    return small.unionByName(peel_groups(df.join(big, key, "left_semi"), key, order, conflict, limit))
+        return small(rows)
+    crowded = prepare(rows.join(big, key, "left_semi"))
+    return small(rows.join(big, key, "left_anti")).unionByName(
+        peel_groups(crowded, key, order, conflict, limit))

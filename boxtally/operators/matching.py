@@ -126,18 +126,20 @@ def match_pairs(pairs_of: Callable[..., DataFrame], left: DataFrame, right: Data
                 large: DataFrame | None) -> DataFrame:
     """Assign the pairs of two sides; ``large`` names the crowded images.
 
-    Small images join and fold on the same key, one shuffle a side. Crowded
-    ones join by grid cell and are assigned in rounds.
+    Small images are partitioned by image once, and the joins and the fold all
+    run on that. Crowded ones join by grid cell and are assigned in rounds.
     """
+    def small(a: DataFrame, b: DataFrame) -> DataFrame:
+        return _assign_by_fold(pairs_of(a.repartition("image_id"), b.repartition("image_id"), by_cell=False))
+
     if large is None:
-        return _assign_by_fold(pairs_of(left, right, by_cell=False))
+        return small(left, right)
 
     def part(df: DataFrame, how: str) -> DataFrame:
         return df.join(large, "image_id", how)
 
-    small = pairs_of(part(left, "left_anti"), part(right, "left_anti"), by_cell=False)
     crowded = pairs_of(part(left, "left_semi"), part(right, "left_semi"), by_cell=True)
-    return _assign_by_fold(small).unionByName(_assign_by_rounds(crowded))
+    return small(part(left, "left_anti"), part(right, "left_anti")).unionByName(_assign_by_rounds(crowded))
 
 
 def crowded_images(*frames: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame | None:

@@ -17,11 +17,20 @@ def overlaps(a: Column, b: Column) -> Column:
     return (g.iou(x, y) >= 0.35) | (g.containment(x, y) >= 0.75) | (g.containment(y, x) >= 0.75)
 
 
-def suppress_overlaps(scored: DataFrame, *, sized_by: DataFrame | None = None,
-                      limit: int = GATHER_LIMIT) -> DataFrame:
+def suppress_overlaps(scored: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
     """Keep the best-scored of overlapping boxes; equal scores keep input order."""
+    return _suppress(scored, lambda df: df, limit)
+
+
+def _suppress(rows: DataFrame, prepare, limit: int = GATHER_LIMIT) -> DataFrame:
     order = {"score": -F.col("score"), "ord": F.col("proposal_id")}
-    return ordered_greedy(scored, "image_id", order, overlaps, sized_by=sized_by, limit=limit)
+    return ordered_greedy(rows, "image_id", order, overlaps, prepare=prepare, limit=limit)
+
+
+def clear_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:
+    """Score the regions that may be labels and suppress the overlapping ones."""
+    return _suppress(proposals, lambda rows: score_proposals(rows, images).select(
+        "image_id", "proposal_id", "box", "score"))
 
 
 def score_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:
@@ -53,9 +62,7 @@ def top_proposals(kept: DataFrame, k: int = TOP_PROPOSALS) -> DataFrame:
 
 def rank_label_proposals(proposals: DataFrame, images: DataFrame, k: int = TOP_PROPOSALS) -> DataFrame:
     """Filter, score, suppress, cut to ``k``, pad, number in reading order."""
-    scored = score_proposals(proposals, images)
-    size = scored.select("image_id", "proposal_id", "box", "score")
-    kept = top_proposals(suppress_overlaps(size, sized_by=proposals), k).join(
+    kept = top_proposals(clear_proposals(proposals, images), k).join(
         images.select("image_id", "image_width", "image_height"), "image_id")
     padded = kept.select("image_id", "proposal_id", "score", g.pad_ratio(
         F.col("box"), PADDING_RATIO, F.col("image_width"), F.col("image_height")).alias("box"))

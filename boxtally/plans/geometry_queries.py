@@ -379,10 +379,7 @@ SUPPRESSED = f"""{SCORED}, {keep_cte('clear_boxes', 'scored', 'score desc, propo
 
 @query("G3", f"with {SUPPRESSED} select * from clear_boxes", "proposals", recursive=True)
 def suppress_overlaps(spark, d):
-    proposals = inputs.proposals(spark, d)
-    scored = prop.score_proposals(proposals, inputs.images(spark, d))
-    return flat(prop.suppress_overlaps(scored.select("image_id", "proposal_id", "box", "score"),
-                                       sized_by=proposals))
+    return flat(prop.clear_proposals(inputs.proposals(spark, d), inputs.images(spark, d)))
 
 
 @query("L7", f"""with {SCORED}

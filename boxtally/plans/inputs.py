@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions.geometry import box
 from boxtally.plans.fixtures import build
+from boxtally.session import cut_lineage
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
@@ -37,9 +38,11 @@ def raw_detections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: the conditions on a region would otherwise be unfolded into
+    the formulas that derive it, over and over, in the filter of the scan."""
     t = build(spark, d, "proposals")
-    return t.select("image_id", "proposal_id", box("x1", "y1", "x2", "y2").alias("box"),
-                    "rectangularity", "white_ratio")
+    return cut_lineage(t.select(
+        "image_id", "proposal_id", box("x1", "y1", "x2", "y2").alias("box"), "rectangularity", "white_ratio"))
 
 
 def flat(df: DataFrame, column: str = "box", prefix: str = "") -> DataFrame:

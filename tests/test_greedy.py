@@ -54,7 +54,7 @@ def test_suppression_equals_definition(spark, limit):
         rows.append((rng.choice([0, 0, 1, 2]), i, rng.randrange(0, 40) / 8,
                      (x, y, x + rng.randrange(100, 500), y + rng.randrange(100, 400))))
     df = spark.createDataFrame(rows, f"image_id int, proposal_id int, score double, box {BOX}")
-    got = {r.proposal_id for r in proposals.suppress_overlaps(df, limit=limit).collect()}
+    got = {r.proposal_id for r in proposals.suppress_overlaps(df, limit).collect()}
     want = set()
     for image in (0, 1, 2):
         mine = [(p, s, b) for i, p, s, b in rows if i == image]
