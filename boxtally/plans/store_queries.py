@@ -488,7 +488,7 @@ def spatial_benchmark(spark, d):
     truth = build(spark, d, "expected_symbols").select(
         "image_id", F.col("label_index").alias("truth_index"), box("x1", "y1", "x2", "y2").alias("truth_box"))
     labels = inputs.labels(spark, d)
-    pairs = labels.select("image_id", "label_index", F.col("label_index").alias("truth_index"))
+    pairs = labels.select("image_id", "label_index", F.col("label_index").alias("truth_index")).distinct()
     return evaluate.spatial_benchmark(truth, labels, pairs, inputs.images(spark, d))
 
 
