@@ -173,3 +173,24 @@ def test_top_rows_are_cut_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     text = dedup.first_per_key(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") == 2
+
+
+def exchanges(spark, df_of):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df_of()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_matching_moves_each_side_once(spark):
+    l, d, i, _, _ = random_photo(spark, 9)
+    # labels, readings and image sizes; the joins and the fold add none
+    assert exchanges(spark, lambda: matching.match_labels(l, d, i)) == 3
+
+
+def test_dedup_moves_rows_once(spark):
+    rows = random_readings(1, 60, 0.5)
+    df = spark.createDataFrame(rows, f"image_id int, ord int, value string, format string, box {BOX}")
+    assert exchanges(spark, lambda: dedup.dedup_detections(df)) == 1
