@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression, FTRL-proximal updates.
 
 Words are letter runs, digit runs and runs of other marks. Each n-gram of one to NGRAM words is
-hashed to one of 2**BITS buckets; a document is the sparse vector of the log-scaled
+hashed to one of 2**BITS buckets, where a word that repeats the one before is marked as such; a document is the sparse vector of the log-scaled
 frequencies, of length one. Training takes a bounded sample of labelled rows (the
 TRAIN_ROWS smallest by a hash of the id), so the model has a fixed size and is broadcast;
 scoring is one sparse dot product per document, over its whole text.
@@ -29,6 +29,7 @@ TRAIN_ROWS = 6000
 EPOCHS = 4
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _M = np.uint64(0x9E3779B97F4A7C15)
+_DITTO = np.uint64(0x5851F42D4C957F2D)
 #: Distinct words whose hash a task remembers at a time.
 _REMEMBER = 200_000
 
@@ -64,7 +65,11 @@ class Vectors:
                     if len(h) < n:
                         break
                     gram = (gram[:-1] * _M) ^ (h[n - 1:] >> np.uint64(n))
+                    if n == 2:  # a word that follows itself is one n-gram, whatever the word
+                        gram = np.where(h[1:] == h[:-1], _DITTO, gram)
                 parts.append((gram * _M + np.uint64(n)) >> np.uint64(64 - BITS))
+            # The same with one word between, as between full stops.
+            parts.append(np.full(int((h[2:] == h[:-2]).sum()), _DITTO >> np.uint64(64 - BITS)))
         at, n = np.unique(np.concatenate(parts).astype(np.int64), return_counts=True)
         v = 1 + np.log(n)
         return at, v / np.sqrt((v * v).sum())
@@ -74,7 +79,7 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train_ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], epochs: int = EPOCHS, alpha: float = 0.5,
+def train_ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], epochs: int = EPOCHS, alpha: float = 1.0,
                beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias by follow-the-regularised-leader, one row at a time."""
     size = 2**BITS + 1
