@@ -4,9 +4,9 @@ Documents arrive as a file stream. Keyed state in RocksDB (on disk, committed to
 the shared checkpoint folder, so a lost executor restores it) holds per digest
 of the normalised text: the largest id so far, its content locator (file, id) and
 the number of rows. Nothing is ever evicted, so a copy that arrives any time later
-meets its group. Digests with more than one row are hits: the bytes of every such
-row are compared with the bytes at the locator, and rows whose digest agrees while
-the text does not are grouped by the text itself.
+meets its group. On a hit, equal digests are not taken for equal texts: the full bytes
+under each digest are compared, and rows whose digest agrees while the text does not
+are grouped by the text itself.
 
 Defined cases: null text counts as empty; ids rank nulls lowest, and a group with
 null ids only keeps null; rows repeated in full (same id and text) are one document
@@ -16,6 +16,7 @@ and all of them carry ``kept``. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,24 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
+@contextmanager
+def _small_stores(spark: SparkSession):
+    """Many small stores: no space set aside in advance, and commits write what changed."""
+    wanted = {"allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
+    keys = {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def digest_state(spark: SparkSession, path: str, digest: Digest = sha256, checkpoint: str | None = None,
                  files_per_batch: int | None = None) -> DataFrame:
     """Drain the document files at ``path`` into keyed state and return the newest state.
@@ -60,7 +79,7 @@ def digest_state(spark: SparkSession, path: str, digest: Digest = sha256, checkp
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
 
-    with rocksdb_state(spark):
+    with rocksdb_state(spark), _small_stores(spark):
         q = (flat.writeStream.outputMode("update").foreachBatch(store)
              .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -78,15 +97,11 @@ def exact_groups(spark: SparkSession, path: str, digest: Digest = sha256) -> Dat
                            F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
     state = digest_state(spark, path, digest)
     norm = normalised(F.col("text"))
-    rows = docs.select("doc_id", norm.alias("norm"), digest(norm).alias("digest"),
-                       F.col("_metadata.file_path").alias("file"))
-    hits = state.where("group_size > 1")
-    suspects = rows.join(hits, "digest")
-    at_locator = (suspects.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("file") == F.col("keep_file")))
-                  .groupBy("digest").agg(F.max("norm").alias("kept_norm")))
-    # Rows of one digest that differ from the text at the locator: a digest that several texts share.
-    torn = (suspects.select("digest", "norm").join(at_locator, "digest")
-            .where(F.col("norm") != F.col("kept_norm")).select("digest").distinct())
+    rows = docs.select("doc_id", norm.alias("norm"), digest(norm).alias("digest"))
+    # Full bytes: the distinct texts of a digest. Copies fold into one before the shuffle, so a large group moves
+    # its text once per task. A digest of several texts is torn.
+    torn = (rows.groupBy("digest", "norm").agg(F.count("*").alias("copies")).groupBy("digest")
+            .agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
     torn_path = scratch_path(spark, "torn-digests")
     torn.write.parquet(torn_path)
     torn = spark.read.schema(torn.schema).parquet(torn_path)
