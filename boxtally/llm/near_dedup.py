@@ -5,13 +5,14 @@ Every document gets COORDINATES minima over its set of shingles. A token is a pa
 MATCHES coordinates are candidates. By the prefix rule two such documents share a token
 among the PREFIX = COORDINATES - MATCHES + 1 rarest of each, so only these short lists
 are merged; the long lists of frequent values are skipped and probed, for the pairs
-found, by comparing the stored signatures. At a similarity of 0.8 a pair agrees
+found, by comparing the stored signatures. Before pairs are made, a class is asked how many of its shingles
+stand in any other posted class: two sets cannot share more, which rules most pairs out. At a similarity of 0.8 a pair agrees
 in fewer than MATCHES coordinates with a chance below one in a million. Candidates are
 confirmed on the full shingle sets.
 
 Documents with equal sets are one class before any posting, so groups of exact copies
 never make pairs. Lists of near copies would still hold the square of their length, so
-long lists are merged in rounds: the first members face all others of the list, links are
+long lists are merged in rounds: a few members face all others of the list, links are
 confirmed, and members that are connected by then need no further comparison with each
 other. Only pairs of different components remain; the number of members that face the list
 grows each round until every pair of the list was compared or is connected. So no link
@@ -159,8 +160,20 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
     return packed.where(alone < prefix).select("id", "n", F.explode(take).alias("x")).select("x.token", "id", "n")
 
 
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def _within_reach(a: Column, b: Column, shared: Column, percent: int) -> Column:
+    """Whether sets of ``a`` and ``b`` shingles that share at most ``shared`` can be similar enough."""
+    most = F.least(a, b, shared)
+    return most * 100 >= (a + b - most) * percent
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """``id, shared``: how many shingles of a class stand in another posted class as well.
+
+    No pair can share more. Classes whose shingles are mostly their own drop out before any pair is made.
+    """
+    each = sets.select("id", F.explode("hashes").alias("h"))
+    known = each.groupBy("h").agg(F.count("*").alias("in")).where(F.col("in") > 1).select("h")
+    return each.join(known, "h").groupBy("id").agg(F.count("*").alias("shared"))
 
 
 def _agree(a: str, b: str) -> Column:
@@ -226,28 +239,35 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     # Different sets of fewer shingles cannot be similar enough.
     able = classes.where(F.col("n") * (100 - percent) >= percent)
     posts = cut_lineage(_postings(able, COORDINATES - MATCHES + 1))
-    lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
-    posts = cut_lineage(posts.join(lists, "token"))
     ids = posts.select("id").distinct()
     sets = cut_lineage(shingle_sets(texts.join(ids, "id", "left_semi"), words))
+    # A partner may be smaller, down to what is shared.
+    posts = cut_lineage(posts.join(_shared_counts(sets), "id").where(F.col("shared") * 100 >= F.col("n") * percent))
+    lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
+    posts = cut_lineage(posts.join(lists, "token"))
     short = posts.where(F.col("len") <= SHORT_LIST)
     long_ = posts.where(F.col("len") > SHORT_LIST)
-    order = Window.partitionBy("token").orderBy("id")
+    # Members with the fewest shingles of their own face the list first: they link with most others.
+    order = Window.partitionBy("token").orderBy(F.col("n") - F.col("shared"), "id")
     heads = 1
     links = known
-    here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"))
-    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & _similar_size(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.select("a", "b")
-    active = long_.select("token", "id", "n", F.col("id").alias("comp"), F.lit(False).alias("done"))
+
+    def possible(n1: str, s1: str, n2: str, s2: str) -> Column:
+        return _within_reach(F.col(n1), F.col(n2), F.least(s1, s2), percent)
+
+    here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & possible("na", "sa", "nb", "sb")).select("a", "b")
+    active = long_.select("token", "id", "n", "shared", F.col("id").alias("comp"), F.lit(False).alias("done"))
     while True:
         # Heads: the first members that have not yet faced their list.
         waiting = active.where(~F.col("done"))
         ranked = waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= heads)
-        front = cut_lineage(ranked.select("token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("comp").alias("ch")))
+        front = cut_lineage(ranked.select("token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"),
+                                          F.col("comp").alias("ch")))
         facing = (active.join(front, "token")
                   .where((F.col("id") != F.col("h")) & (F.col("comp") != F.col("ch"))
-                         & _similar_size(F.col("n"), F.col("nh"), percent))
+                         & possible("n", "shared", "nh", "sh"))
                   .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
         found = facing if pairs is None else facing.unionByName(pairs)
         pairs = None
@@ -257,7 +277,7 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
         faced = front.select("token", F.col("h").alias("id"), F.lit(True).alias("now"))
         active = (active.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left")
                   .join(faced, ["token", "id"], "left")
-                  .select("token", "id", "n", F.coalesce("comp", "id").alias("comp"),
+                  .select("token", "id", "n", "shared", F.coalesce("comp", "id").alias("comp"),
                           (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
         # A list is finished when all of it is connected, or everybody but one has faced it.
         state = active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
