@@ -258,35 +258,43 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & possible("na", "sa", "nb", "sb")).select("a", "b")
-    active = long_.select("token", "id", "n", "shared", F.col("id").alias("comp"), F.lit(False).alias("done"))
+    # All long lists of a class, in order: a pair is made in the first list it shares only.
+    mine = long_.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    active = long_.join(mine, "id").select("token", "id", "n", "shared", "tokens", F.col("id").alias("comp"),
+                                           F.lit(False).alias("done"))
     while True:
-        # Heads: the first members that have not yet faced their list.
+        # Heads: members that are first among those of a list that have not faced theirs; they face all their lists.
         waiting = active.where(~F.col("done"))
-        ranked = waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= heads)
-        front = cut_lineage(ranked.select("token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"),
-                                          F.col("comp").alias("ch")))
+        heads_now = (waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= heads)
+                     .select("id").distinct())
+        front = active.join(heads_now, "id", "left_semi").select(
+            "token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"), F.col("comp").alias("ch"),
+            F.col("tokens").alias("th"))
+        front = cut_lineage(front)
         facing = (active.join(front, "token")
-                  .where((F.col("id") != F.col("h")) & (F.col("comp") != F.col("ch"))
-                         & possible("n", "shared", "nh", "sh"))
+                  .where((F.col("id") != F.col("h")) & (F.col("comp") != F.col("ch")) & possible("n", "shared", "nh", "sh")
+                         & (F.array_min(F.array_intersect("tokens", "th")) == F.col("token")))
                   .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
         found = facing if pairs is None else facing.unionByName(pairs)
         pairs = None
         fresh = cut_lineage(_confirmed(found.distinct(), classes, sets, percent))
         links = links.unionByName(fresh)
         comp = components(links)
-        faced = front.select("token", F.col("h").alias("id"), F.lit(True).alias("now"))
+        faced = front.select(F.col("h").alias("id"), F.lit(True).alias("now")).distinct()
         active = (active.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left")
-                  .join(faced, ["token", "id"], "left")
-                  .select("token", "id", "n", "shared", F.coalesce("comp", "id").alias("comp"),
+                  .join(faced, "id", "left")
+                  .select("token", "id", "n", "shared", "tokens", F.coalesce("comp", "id").alias("comp"),
                           (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
         # A list is finished when all of it is connected, or everybody but one has faced it.
         state = active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                             F.sum((~F.col("done")).cast("long")).alias("waiting"))
-        going = state.where((F.col("lo") != F.col("hi")) & (F.col("waiting") > 1)).select("token")
-        active = cut_lineage(active.join(going, "token", "left_semi"))
-        if not active.take(1):
+        active = cut_lineage(active.join(state, "token"))
+        open_ = active.where((F.col("lo") != F.col("hi")) & (F.col("waiting") > 1))
+        if not open_.take(1):
             return comp
-        heads *= 4
+        # Lists that are finished stay only as long as a member waits elsewhere: pairs are made in first lists.
+        active = active.join(open_.select("id").distinct(), "id", "left_semi").drop("lo", "hi", "waiting")
+        heads *= 8
 
 
 def near_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = 80) -> DataFrame:
