@@ -62,8 +62,10 @@ class Model:
 
     @staticmethod
     def _logs(rows: list[list[int]]) -> np.ndarray:
-        c = np.array(rows, float).T.reshape(-1, len(rows)) + 0.5
-        return np.log(c / c.sum(axis=0)) if len(c) else c
+        if not rows or not rows[0]:
+            return np.zeros((0, len(rows)))
+        c = np.array(rows, float).T + 0.5
+        return np.log(c / c.sum(axis=0))
 
     def backoff(self, word: str) -> np.ndarray:
         padded, i, out = f" {word} ", 0, np.zeros(len(self.langs))
