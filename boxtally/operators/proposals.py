@@ -54,18 +54,19 @@ def score_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:
                                      "image_width", "image_height")
 
 
-def top_proposals(kept: DataFrame, k: int = TOP_PROPOSALS) -> DataFrame:
-    """The ``k`` best per image, a feature of the scan (it costs a decode each)."""
+def top_proposals(kept: DataFrame, k: int | None = None) -> DataFrame:
+    """The ``k`` best per image, where the scan cannot afford a decode of each; all by default."""
+    if k is None:
+        return kept
     best = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "proposal_id")
     return kept.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
-def rank_label_proposals(proposals: DataFrame, images: DataFrame, k: int = TOP_PROPOSALS) -> DataFrame:
-    """Filter, score, suppress, cut to ``k``, pad, number in reading order."""
+def rank_label_proposals(proposals: DataFrame, images: DataFrame, k: int | None = None) -> DataFrame:
+    """Filter, score, suppress, cut to ``k`` if given, pad, number in reading order."""
     kept = top_proposals(clear_proposals(proposals, images), k).join(
         images.select("image_id", "image_width", "image_height"), "image_id")
     padded = kept.select("image_id", "proposal_id", "score", g.pad_ratio(
         F.col("box"), PADDING_RATIO, F.col("image_width"), F.col("image_height")).alias("box"))
-    # At most k rows per image are left here.
     reading = Window.partitionBy("image_id").orderBy("box.y1", "box.x1", F.col("score").desc(), "proposal_id")
     return padded.withColumn("read_no", F.row_number().over(reading))

@@ -34,23 +34,27 @@ def insert_candidates(queue: DataFrame, batch: DataFrame) -> tuple[DataFrame, Da
     return queue.unionByName(fresh.select(*queue.columns)), fresh
 
 
-def list_pending(queue: DataFrame, limit: int = 50) -> DataFrame:
-    """Unreviewed, newest first."""
-    return queue.filter(F.col("reviewed_us").isNull()).orderBy(F.col("created_us").desc(), "id").limit(limit)
+def _page(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
 
 
-def list_reviewed(queue: DataFrame, limit: int = 50) -> DataFrame:
+def list_pending(queue: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unreviewed, newest first. A limit is a page option, off by default."""
+    return _page(queue.filter(F.col("reviewed_us").isNull()).orderBy(F.col("created_us").desc(), "id"), limit)
+
+
+def list_reviewed(queue: DataFrame, limit: int | None = None) -> DataFrame:
     """Reviewed and not exported, latest review first."""
     ready = F.col("reviewed_us").isNotNull() & ~F.col("added_to_dataset")
-    return queue.filter(ready).orderBy(F.col("reviewed_us").desc(), "id").limit(limit)
+    return _page(queue.filter(ready).orderBy(F.col("reviewed_us").desc(), "id"), limit)
 
 
-def pending_with_runs(annotations: DataFrame, runs: DataFrame, limit: int = 50) -> DataFrame:
+def pending_with_runs(annotations: DataFrame, runs: DataFrame, limit: int | None = None) -> DataFrame:
     """Pending annotations with what the reviewer needs of the run."""
     wanted = runs.select(F.col("id").alias("run_id"), "source", F.col("status").alias("run_status"),
                          "filename", "scanner_count", "vision_count", "primary_issue")
-    return annotations.filter(F.col("status") == "pending").join(wanted, "run_id").orderBy(
-        F.col("created_us").desc(), "run_id").limit(limit)
+    return _page(annotations.filter(F.col("status") == "pending").join(wanted, "run_id").orderBy(
+        F.col("created_us").desc(), "run_id"), limit)
 
 
 def apply_review(queue: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

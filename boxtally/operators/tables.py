@@ -51,20 +51,24 @@ def new_codes(found: DataFrame, known: DataFrame, order: list) -> DataFrame:
 
 #: run columns a completion overwrites
 COMPLETED = ("status", "scanner_count", "vision_count", "scanner_vision_match", "count_delta",
-             "found_count", "missing_count", "unassigned_count", "recovery_attempted",
-             "recovery_labels_resolved", "recovery_succeeded", "latency_ms", "primary_issue")
+             "found_count", "missing_count", "unassigned_count", "recovery_attempted", "recovery_labels_tried",
+             "recovery_barcodes_found", "recovery_labels_resolved", "recovery_succeeded", "latency_ms",
+             "primary_issue", "issue_count", "issues", "error_code", "error_message", "pipeline_version",
+             "scanner_version", "vision_prompt_version", "vision_model", "recovery_version")
 
 
 def apply_completion(runs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Overwrite runs that have a result; image sizes only where the result has them.
 
-    ``results`` has one row per run id. Zero sizes count as unknown.
+    ``results`` has one row per run id. Zero sizes count as unknown. Columns that the
+    run table does not store are left out.
     """
+    stored = [c for c in COMPLETED if c in runs.columns]
     new = results.select(F.col("id"), F.lit(True).alias("_done"), *[
-        F.col(c).alias(f"n_{c}") for c in (*COMPLETED, "image_width", "image_height")])
+        F.col(c).alias(f"n_{c}") for c in (*stored, "image_width", "image_height")])
     joined = runs.join(new, "id", "left")
     done = F.col("_done").isNotNull()
-    put = {c: F.when(done, F.col(f"n_{c}")).otherwise(F.col(c)) for c in COMPLETED}
+    put = {c: F.when(done, F.col(f"n_{c}")).otherwise(F.col(c)) for c in stored}
     put |= {c: F.coalesce(F.nullif(F.col(f"n_{c}"), F.lit(0)), F.col(c))
             for c in ("image_width", "image_height")}
     put["processed_at"] = F.when(done, now).otherwise(F.col("processed_at"))

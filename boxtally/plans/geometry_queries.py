@@ -391,7 +391,7 @@ def top_proposals(spark, d):
 
 
 @query("G6 P13 L6 L7", f"""with {SUPPRESSED},
-best as (select * from clear_boxes qualify row_number() over (partition by image_id order by score desc, proposal_id) <= 24),
+best as (select * from clear_boxes),
 padded as (select image_id, proposal_id, score,
   {_box('', 'greatest(0, x1 - round_even((x2 - x1) * 0.12e0, 0))', 'greatest(0, y1 - round_even((y2 - y1) * 0.12e0, 0))',
         'least(3000, x2 + round_even((x2 - x1) * 0.12e0, 0))', 'least(4000, y2 + round_even((y2 - y1) * 0.12e0, 0))')} from best)

@@ -199,10 +199,10 @@ def version_metric(spark, d):
 @query("L3 P45", """
 select id, status, created_at from runs
 where created_at >= timestamp '2001-08-01 00:00:00' - interval 168 hour
-order by created_at desc, id limit 2000""", "runs")
+order by created_at desc, id""", "runs")
 def recent_runs(spark, d):
     return metrics.recent_runs(build(spark, d, "runs").select("id", "status", "created_at"), 168,
-                               "2001-08-01 00:00:00", 2000)
+                               "2001-08-01 00:00:00")
 
 
 @query("L3", """

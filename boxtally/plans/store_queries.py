@@ -223,19 +223,19 @@ def insert_candidates(spark, d):
     return review.insert_candidates(queue, batch)[0]
 
 
-@query("L1", "select id, run_id, created_us from queue where reviewed_us is null order by created_us desc, id limit 50", "queue")
+@query("L1", "select id, run_id, created_us from queue where reviewed_us is null order by created_us desc, id", "queue")
 def list_pending(spark, d):
     return review.list_pending(build(spark, d, "queue")).select("id", "run_id", "created_us")
 
 
-@query("L2", "select id, run_id, reviewed_us from queue where reviewed_us is not null and not added_to_dataset order by reviewed_us desc, id limit 50", "queue")
+@query("L2", "select id, run_id, reviewed_us from queue where reviewed_us is not null and not added_to_dataset order by reviewed_us desc, id", "queue")
 def list_reviewed(spark, d):
     return review.list_reviewed(build(spark, d, "queue")).select("id", "run_id", "reviewed_us")
 
 
 @query("J2 L1", """
 select q.run_id, r.source, r.status as run_status, r.filename, r.scanner_count, r.vision_count, r.primary_issue
-from queue q join runs r on r.id = q.run_id where q.reviewed_us is null order by q.created_us desc, q.run_id limit 50""", "queue runs")
+from queue q join runs r on r.id = q.run_id where q.reviewed_us is null order by q.created_us desc, q.run_id""", "queue runs")
 def pending_annotations(spark, d):
     q = build(spark, d, "queue").select("run_id", "created_us", F.when(
         F.col("reviewed_us").isNull(), "pending").otherwise("reviewed").alias("status"))
@@ -520,23 +520,30 @@ def insert_if_absent(spark, d):
     return tables.insert_if_absent(runs.filter(k % 2 == 0), batch, ["id"], ["seq"])
 
 
-_RESULT_ROWS = """results as (select id, 'complete' as status, vision_count as scanner_count, vision_count,
-  case when cast(id as bigint) % 4 = 0 then 0 else 1600 end as image_width from runs where cast(id as bigint) % 3 = 0)"""
+# What a completion overwrites, and the value that the results of the query bring.
+_COMPLETED_SQL = {
+    "status": "'complete'", "scanner_count": "vision_count", "vision_count": "vision_count", "scanner_vision_match": "true",
+    "count_delta": "0", "found_count": "vision_count", "missing_count": "0", "unassigned_count": "0",
+    "recovery_attempted": "true", "recovery_labels_tried": "2", "recovery_barcodes_found": "3",
+    "recovery_labels_resolved": "1", "recovery_succeeded": "true", "latency_ms": "1234",
+    "primary_issue": "cast(null as varchar)", "issue_count": "0", "error_code": "cast(null as varchar)",
+    "error_message": "cast(null as varchar)", "pipeline_version": "'ingest-v9'", "scanner_version": "'scanner-9'",
+    "vision_prompt_version": "'prompt-9'", "vision_model": "'vision-9'", "recovery_version": "'recovery-v9'"}
 
 
-@query("K3", f"""with {_RESULT_ROWS}
-select r.id, coalesce(n.status, r.status) as status, coalesce(n.scanner_count, r.scanner_count) as scanner_count,
-  coalesce(nullif(n.image_width, 0), r.image_width, -1) as image_width,
-  case when n.id is not null then timestamp '2002-01-01 00:00:00' else r.processed_at end as processed_at
-from runs r left join results n on n.id = r.id""", "runs")
+@query("K3", f"""
+select id, {", ".join(f"case when hit then {v} else {c} end as {c}" for c, v in _COMPLETED_SQL.items())},
+  case when hit and cast(id as bigint) % 4 <> 0 then 1600 else image_width end as image_width,
+  case when hit then timestamp '2002-01-01 00:00:00' else processed_at end as processed_at
+from (select *, cast(id as bigint) % 3 = 0 as hit from runs) r""", "runs")
 def apply_completion(spark, d):
     runs = build(spark, d, "runs")
     k = F.col("id").cast("long")
     done = runs.filter(k % 3 == 0).withColumns({
-        "status": F.lit("complete"), "scanner_count": F.col("vision_count"),
-        "image_width": F.when(k % 4 == 0, 0).otherwise(1600)})
+        c: F.expr(v.replace("varchar", "string")).cast(runs.schema[c].dataType) for c, v in _COMPLETED_SQL.items()})
+    done = done.withColumn("image_width", F.when(k % 4 == 0, 0).otherwise(1600))
     after = tables.apply_completion(runs, done, F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"))
-    return after.select("id", "status", "scanner_count", F.coalesce("image_width", F.lit(-1)).alias("image_width"), "processed_at")
+    return after.select("id", *_COMPLETED_SQL, "image_width", "processed_at")
 
 
 @query("K4", """
