@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_TOKENS = 64
 SHARDS = 16
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> list[float]:
