@@ -40,16 +40,14 @@ def _with_ids(body: Column, upload_id: Column, trace_id: Column, gap: str) -> Co
     return F.concat_ws("\n", body, line(f"{gap}ID: ", upload_id), line("Trace: ", trace_id))
 
 
-def reply_text(found: Column, unassigned: Column, upload_id: Column, trace_id: Column) -> Column:
-    """Every code that was read, matched ones first."""
-    def lines(items: Column, index) -> Column:
-        return F.transform(items, lambda i: F.concat(
-            index(i), F.lit(". "), i["barcode_value"], F.lit(" ("), i["barcode_format"], F.lit(")")))
-
-    head = F.format_string("Found %d barcodes:", F.size(found) + F.size(unassigned))
-    rows = F.concat(F.array(head), lines(found, lambda i: i["label_index"].cast("string")),
-                    lines(unassigned, lambda i: F.lit("-")))
-    return _with_ids(F.array_join(rows, "\n"), upload_id, trace_id, "\n")
+def reply_line(label_index: Column, value: Column, format_: Column) -> Column:
+    """A code that was read; one without a label has a dash for its number."""
+    return F.concat(F.coalesce(label_index.cast("string"), F.lit("-")), F.lit(". "), value, F.lit(" ("), format_, F.lit(")"))
+
+
+def reply_text(lines: Column, upload_id: Column, trace_id: Column) -> Column:
+    """The lines of a reply, its heading first."""
+    return _with_ids(F.array_join(lines, "\n"), upload_id, trace_id, "\n")
 
 
 def photo_caption(found: Column, visible: Column, upload_id: Column, trace_id: Column) -> Column:

@@ -1,16 +1,17 @@
 """Results of photos: items, summaries, stored runs.
 
 Items are rows, not arrays, so a crowded photo is many small rows. Arrays are
-built only for the texts of a reply (:func:`nest_items`).
+built only for nested results (:func:`nest_items`) and for the text of a reply.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
 from boxtally.functions import outcome as o
+from boxtally.functions.messages import reply_line, reply_text
 from boxtally.session import cut_lineage
 
 _ITEM = ["image_id", "kind", "label_index", "det_index", "barcode_value", "barcode_format",
@@ -158,6 +159,41 @@ def nest_items(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     return paged.groupBy("image_id", "page").agg(of("found"), of("missing"), of("unassigned"))
 
 
+def reply_lines(items: DataFrame, block: int = 1024) -> DataFrame:
+    """The reply on a photo as rows ``image_id, line_no, line``: line 0 is the heading with the total.
+
+    Matched codes come first, by label, then the others in reading order. Lines are numbered within
+    blocks of consecutive positions, and blocks by their counts, so a crowded photo is not sorted as one.
+    """
+    read = items.filter(F.col("kind").isin("found", "unassigned")).select(
+        "image_id", "kind", "label_index", "det_index", "barcode_value", "barcode_format",
+        F.coalesce(F.floor(F.coalesce("label_index", "det_index") / block), F.lit(-1)).alias("block"))
+    key = ["image_id", "kind", "block"]
+    sizes = cut_lineage(read.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("image_id").orderBy("kind", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy(*key).orderBy("label_index", "det_index", "barcode_value", "barcode_format")
+    label = F.when(F.col("kind") == "found", F.col("label_index"))
+    lines = read.withColumn("_nth", F.row_number().over(order)).join(starts, key).select(
+        "image_id", (F.col("start") + F.col("_nth")).alias("line_no"),
+        reply_line(label, F.col("barcode_value"), F.col("barcode_format")).alias("line"))
+    head = sizes.groupBy("image_id").agg(F.sum("n").alias("n")).select(
+        "image_id", F.lit(0).cast("long").alias("line_no"), F.format_string("Found %d barcodes:", "n").alias("line"))
+    return head.unionByName(lines)
+
+
+def reply_texts(lines: DataFrame) -> DataFrame:
+    """One text per photo: ``image_id, reply``, from the rows of :func:`reply_lines`.
+
+    A message is a single value, so its lines come together here; where a photo may exceed what one
+    value holds, send the rows.
+    """
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")
+    none = F.lit(None).cast("string")
+    return lines.groupBy("image_id").agg(whole).select(
+        "image_id", reply_text(F.col("lines"), F.col("image_id").cast("string"), none).alias("reply"))
+
+
 def scanner_status(images: DataFrame, detections: DataFrame) -> DataFrame:
     """``found`` / ``not_found`` / ``error`` and the number of readings per photo."""
     counted = detections.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))

@@ -298,11 +298,27 @@ select image_id, concat('Found ', count(*), ' barcodes:', chr(10),
   string_agg(line, chr(10) order by kind, label_index, det_index), chr(10), chr(10), 'ID: ', image_id) as reply
 from lines group by 1""", _BASE, recursive=True)
 def reply_text(spark, d):
-    n = results.nest_items(_items(spark, d).filter(F.col("kind") != "missing"))
-    none = F.lit(None).cast("string")
-    # One page per photo, save for photos with more items than a page holds.
-    return n.select("image_id", msg.reply_text(
-        F.col("found"), F.col("unassigned"), F.col("image_id").cast("string"), none).alias("reply"))
+    return results.reply_texts(results.reply_lines(_items(spark, d)))
+
+
+_LINES = """read as (select *, case kind when 'found' then cast(label_index as varchar) else '-' end as no
+  from {photos} where kind <> 'missing')
+select image_id, 0 as line_no, concat('Found ', count(*), ' barcodes:') as line from read group by 1
+union all
+select image_id, row_number() over (partition by image_id order by kind, label_index nulls first, det_index nulls first,
+  barcode_value nulls first, barcode_format nulls first), concat(no, '. ', barcode_value, ' (', barcode_format, ')') from read"""
+
+
+@query("P37", f"""with {_FIRST_ITEMS}, {_LINES.format(photos='items')}""", _BASE, recursive=True)
+def reply_lines(spark, d):
+    return results.reply_lines(_items(spark, d))
+
+
+# All photos told as seven, so that a photo holds many times what fits a short message.
+@query("P37 E1", f"""with {_FIRST_ITEMS}, few as (select * replace (image_id % 7 as image_id) from items),
+{_LINES.format(photos='few')}""", _BASE, recursive=True)
+def reply_lines_crowded(spark, d):
+    return results.reply_lines(_items(spark, d).withColumn("image_id", F.col("image_id") % 7), block=4)
 
 
 @query("P38", """
