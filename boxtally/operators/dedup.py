@@ -34,8 +34,12 @@ def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFr
 
 
 def reading_order(df: DataFrame, box: str = "box") -> DataFrame:
-    """Top to bottom, then left to right within each image."""
-    return df.orderBy("image_id", f"{box}.y1", f"{box}.x1")
+    """Top to bottom, then left to right within each image; equal corners by ``det_index``.
+
+    Rows of an image are together and in order; images are in no order among themselves, so nothing is
+    sorted across the table.
+    """
+    return df.repartition("image_id").sortWithinPartitions("image_id", f"{box}.y1", f"{box}.x1", "det_index")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -30,10 +30,12 @@ def split_unique(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame
     The winner of a key is a minimum, combined before the shuffle.
     """
     rank = F.struct(*order)
-    winner = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(rank).alias("_win"))
-    judged = rows.join(winner, key, "left")
-    loses = F.coalesce(rank > F.col("_win"), F.lit(False))
-    return judged.filter(~loses).select(*rows.columns), judged.filter(loses).select(*rows.columns)
+    keyed = rows.filter(F.col(key).isNotNull())
+    judged = keyed.join(keyed.groupBy(key).agg(F.min(rank).alias("_win")), key)
+    loses = rank > F.col("_win")
+    free = rows.filter(F.col(key).isNull())
+    return (judged.filter(~loses).select(*rows.columns).unionByName(free),
+            judged.filter(loses).select(*rows.columns))
 
 
 def first_item_per_label(items: DataFrame, order: list) -> DataFrame:
