@@ -9,6 +9,9 @@ participant is folded in order; everything that can be cut is cut before that:
 * splits are found on half-hour buckets, so a participant with very many events
   is first reduced to at most one row per half hour;
 * a split part is read as a sorted stream of Arrow batches, never as one group.
+
+A photo that finds the newest session still active after the time limit expires it: the step names
+that session in ``expired_id``. Across a cut it is the session the part before left active.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ EVENTS = """event_id long, channel string, participant_id string, kind string, t
 STEPS = """event_id long, channel string, participant_id string, session_id string, status string,
     expected_count int, found_count int, missing_count int, image_count int, added array<string>,
     missing_labels array<int>, new_codes array<string>, missing_before int, rejected string,
-    looked_back boolean, waits boolean"""
+    looked_back boolean, waits boolean, expired_id string, left_active string, t_us long, part long"""
 
 
 def new_state() -> dict:
@@ -42,7 +45,7 @@ def new_state() -> dict:
 
 def _insert(s: dict, value: str, image: int, label: int | None) -> bool:
     """Add an item unless this label of this photo has one."""
-    if label is not None and any(i[1] == image and i[2] == label for i in s["items"]):
+    if label is not None and any(i[1] == image and i[2] == label for i in reversed(s["items"])):
         return False
     s["items"].append([value, image, label])
     return True
@@ -59,6 +62,7 @@ def _photo(state: dict, e: dict, out: dict) -> None:
     if s is not None and e["t_us"] - s["last"] > TTL_US:
         if s["status"] == "active":
             s["status"] = "expired"
+            out["expired_id"] = s["id"]
             state["open"].pop()
         s = None
     if not e["audit_ok"]:
@@ -151,9 +155,12 @@ def step(state: dict, event: dict) -> dict:
     out = {"event_id": event["event_id"], "channel": event["channel"],
            "participant_id": event["participant_id"], "session_id": None, "status": None,
            "added": [], "missing_labels": [], "new_codes": [], "missing_before": 0,
-           "rejected": None, "looked_back": False}
+           "rejected": None, "looked_back": False, "expired_id": None,
+           "t_us": event["t_us"], "part": event.get("part", 0)}
     _RULES[event["kind"]](state, event, out)
     out["waits"] = any(s["status"] == "needs_user_selection" for s in state["open"])
+    newest = state["open"][-1] if state["open"] else None
+    out["left_active"] = newest["id"] if newest and newest["status"] == "active" else None
     return out
 
 
@@ -189,7 +196,7 @@ def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for e in events_of(pdf):
-            key = (e["channel"], e["participant_id"], e.pop("part"))
+            key = (e["channel"], e["participant_id"], e["part"])
             if key != part:
                 part, state = key, new_state()
             rows.append(step(state, e))
@@ -236,7 +243,22 @@ def accumulate(events: DataFrame) -> DataFrame:
     if not again.isEmpty():
         whole = _fold(events.join(again, KEY, "left_semi").withColumn("part", F.lit(0).cast("long")))
         steps = steps.join(again, KEY, "left_anti").unionByName(whole)
-    return with_messages(steps)
+    return with_messages(expired_between_parts(steps))
+
+
+def expired_between_parts(steps: DataFrame) -> DataFrame:
+    """Name in the first step of a part the session that the part before left active.
+
+    A part opens with a photo after the time limit, so that session has expired by then. Only one row per
+    part is joined.
+    """
+    at = F.struct("t_us", "event_id")
+    ends = steps.groupBy(*KEY, "part").agg(F.max_by("left_active", at).alias("left"), F.min(at).alias("start"))
+    starts = ends.select(*KEY, "part", F.col("start.event_id").alias("event_id"))
+    left = ends.filter("left is not null").select(*KEY, (F.col("part") + 1).alias("part"), "left")
+    found = starts.join(left, [*KEY, "part"]).select(*KEY, "event_id", "left")
+    return steps.join(found, [*KEY, "event_id"], "left").withColumn(
+        "expired_id", F.coalesce("expired_id", "left")).drop("left").select(*steps.columns)
 
 
 def with_messages(steps: DataFrame) -> DataFrame:
@@ -248,12 +270,19 @@ def with_messages(steps: DataFrame) -> DataFrame:
 
 
 def session_table(steps: DataFrame) -> DataFrame:
-    """Last state of every session: the newest accepted step of each."""
-    accepted = steps.filter(F.col("rejected").isNull())
-    newest = F.max(F.struct("t_us", "event_id", "status", "expected_count", "found_count", "missing_count",
-                            "image_count")).alias("n")
-    return accepted.groupBy("session_id", *KEY).agg(newest).select(
-        "session_id", *KEY, "n.status", "n.expected_count", "n.found_count", "n.missing_count",
+    """Last state of every session: the newest accepted step of each, or expired after it.
+
+    Expiry changes the status only; the last activity stays.
+    """
+    own = steps.filter(F.col("rejected").isNull()).withColumn("gone", F.lit(False))
+    expired = steps.filter(F.col("expired_id").isNotNull()).select(
+        *[F.col("expired_id").alias(c) if c == "session_id" else F.lit(True).alias(c) if c == "gone"
+          else F.col(c) if c in KEY else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+    accepted = own.unionByName(expired)
+    state = F.struct("t_us", "event_id", "status", "expected_count", "found_count", "missing_count", "image_count")
+    newest = F.max(F.when(~F.col("gone"), state)).alias("n")
+    return accepted.groupBy("session_id", *KEY).agg(newest, F.bool_or("gone").alias("gone")).select(
+        "session_id", *KEY, F.when(F.col("gone"), "expired").otherwise(F.col("n.status")).alias("status"), "n.expected_count", "n.found_count", "n.missing_count",
         "n.image_count", F.col("n.t_us").alias("last_activity_us"))
 
 

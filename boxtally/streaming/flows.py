@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boxtally.functions.messages import route_message
 from boxtally.operators.chat import flatten_callbacks
+from boxtally.operators.dedup import first_per_key
 from boxtally.operators.review import candidates_from_events
+from boxtally.streaming.runner import drain_each
 
 log = logging.getLogger(__name__)
 
@@ -29,14 +32,45 @@ def chat_messages(parsed: DataFrame, repeat_window: str = "1 hour") -> DataFrame
 
 
 def hourly_counts(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Events per hour and status; an hour is emitted once nothing late can come."""
+    """Events per hour and status so far; in update mode every hour is emitted whenever it grows.
+
+    State of an hour is dropped once nothing late can come.
+    """
     hour = F.window("at", "1 hour")
     return events.withWatermark("at", lateness).groupBy(hour, "status").agg(
         F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "status", "n")
 
 
-def fan_out(sinks: dict[str, Sink]) -> Sink:
-    """Give each batch to every sink; a failing sink is logged and does not stop the others."""
+def batch_folder(batch: DataFrame, path: str, batch_id: int) -> str:
+    """Folder of a batch of the query that runs it.
+
+    The query id lives in the checkpoint: a replayed batch meets its own folder again, while a query
+    with a new checkpoint counts batches from 0 in folders of its own.
+    """
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{path}/query={query}/batch_id={batch_id}"
+
+
+def update_sink(path: str) -> Sink:
+    """Write the updated rows of each batch."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(batch, path, batch_id))
+
+    return handle
+
+
+def newest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Latest count of every hour and status, open hours included; counts of one query only grow."""
+    rows = spark.read.schema("hour timestamp, status string, n long").parquet(f"{path}/query=*/batch_id=*")
+    return rows.groupBy("hour", "status").agg(F.max("n").alias("n"))
+
+
+def fan_out(sinks: dict[str, Sink], retry: str) -> Sink:
+    """Give each batch to every sink; a failing sink is logged and does not stop the others.
+
+    The batch it failed on is written below ``retry`` for :func:`replay`. If that fails too, so does the
+    query, and its checkpoint does not advance.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
@@ -45,40 +79,40 @@ def fan_out(sinks: dict[str, Sink]) -> Sink:
                     sink(batch, batch_id)
                 except Exception:
                     log.exception("sink %s failed on batch %s", name, batch_id)
+                    batch.write.mode("overwrite").parquet(batch_folder(batch, f"{retry}/{name}", batch_id))
         finally:
             batch.unpersist()
 
     return handle
 
 
+def replay(spark: SparkSession, retry: str, name: str, schema: str | StructType, handle: Sink) -> None:
+    """Give the batches a sink failed on to it again, as a stream with a checkpoint of its own."""
+    failed = spark.readStream.schema(schema).parquet(f"{retry}/{name}/query=*/batch_id=*")
+    drain_each(failed, f"replay-{name}", handle, f"{retry}/{name}-checkpoint")
+
+
 def queue_sink(path: str) -> Sink:
-    """Write new review candidates, one folder per batch.
+    """Append the review candidates of each batch; nothing stored is read.
 
-    A repeated batch overwrites its own folder and compares only with the
-    others, so a restart neither loses nor doubles rows.
+    A run may come again in another batch, or after a lost checkpoint: :func:`read_queue` takes the first.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = candidates_from_events(batch)
-        stored = read_queue_folder(batch.sparkSession, path, fresh.schema, before=batch_id)
-        if stored is not None:
-            fresh = fresh.join(stored.select("run_id"), "run_id", "left_anti").select(*fresh.columns)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        candidates_from_events(batch).write.mode("overwrite").parquet(batch_folder(batch, path, batch_id))
 
     return handle
 
 
-def read_queue_folder(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame | None:
-    """The queue written so far; of the batches ``before`` one, where given."""
-    if before == 0:
-        return None
-    stored = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return stored if before is None else stored.filter(F.col("batch_id") < before)
+def read_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The queue: the earliest candidate of every run."""
+    rows = spark.read.parquet(f"{path}/query=*/batch_id=*")
+    return first_per_key(rows, ["run_id"], ["created_us", "id"]).select(*rows.columns)
 
 
 def count_sink(path: str) -> Sink:
     """Events per type of each batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy("type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}")
+            batch_folder(batch, path, batch_id))
 
     return handle

@@ -40,10 +40,10 @@ def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
 
 
 def drain_each(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None],
-               checkpoint: str | None = None) -> None:
+               checkpoint: str | None = None, mode: str = "append") -> None:
     """Process all available input batch by batch."""
     spark = stream.sparkSession
     where = checkpoint or scratch_path(spark, f"{name}-checkpoint")
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", where)
+    q = (stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", where)
          .trigger(availableNow=True).start())
     q.awaitTermination()

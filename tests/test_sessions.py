@@ -179,7 +179,7 @@ def frame(spark, chats):
 
 def plain(rows):
     names = [c.split()[0] for c in STEPS.replace("\n", " ").split(",")]
-    keep = [n for n in names if n not in ("looked_back", "waits")]
+    keep = [n for n in names if n not in ("looked_back", "waits", "part")]
     return sorted((tuple(str(r[n]) for n in keep) for r in rows))
 
 
@@ -222,6 +222,19 @@ def test_messages(spark):
 def test_session_table_is_the_newest_step(spark):
     chats = [Chat().photo(3, ["1"], [2, 3]).photo(1, ["2"]).close()]
     events = frame(spark, chats)
-    steps = sessions.accumulate(events).join(events.select("event_id", "t_us"), "event_id")
-    row, = sessions.session_table(steps).collect()
+    row, = sessions.session_table(sessions.accumulate(events)).collect()
     assert (row.status, row.found_count, row.missing_count, row.last_activity_us) == ("closed", 2, 1, 3 * MINUTE)
+
+
+def test_session_left_active_expires(spark):
+    chats = [Chat("cut").photo(3, ["1"], [2, 3]).photo(2, ["4"], [2], after=30 * MINUTE + 1),
+             # the first photo after the limit fails, so nothing is cut there
+             Chat("failed").photo(3, ["1"], [2, 3]).failed(after=31 * MINUTE).photo(2, ["4"], [2]),
+             Chat("done").photo(1, ["1"]).photo(2, ["4"], [2], after=31 * MINUTE)]
+    steps = sessions.accumulate(frame(spark, chats))
+    assert sorted((r.participant_id, r.event_id, r.expired_id) for r in steps.filter("expired_id is not null").collect()) == [
+        ("cut", 2, "web:cut:1"), ("failed", 2, "web:failed:1")]
+    table = {r.session_id: (r.status, r.found_count, r.last_activity_us) for r in sessions.session_table(steps).collect()}
+    assert table["web:cut:1"] == ("expired", 1, MINUTE) and table["web:cut:2"][0] == "active"
+    assert table["web:failed:1"] == ("expired", 1, MINUTE) and table["web:failed:3"][0] == "active"
+    assert table["web:done:1"][0] == "complete"

@@ -183,13 +183,17 @@ def test_results_nest_and_explode(spark):
     nested = results.nest_items(items)
     rows = sorted(tuple(r) for r in results.explode_items(nested).select("label_index", "status").collect())
     assert rows == [(1, "missing"), (2, "found")]
-    r = one(nested.select(msg.reply_text(F.col("found"), F.col("unassigned"), F.lit("u"), F.lit("t")).alias("t")))
+    lines = results.reply_lines(items)
+    assert [r.line for r in lines.orderBy("line_no").collect()] == ["Found 2 barcodes:", "2. v (f)", "-. w (f)"]
+    assert one(results.reply_texts(lines)).reply == "Found 2 barcodes:\n2. v (f)\n-. w (f)\n\nID: 1"
     assert nested.select("page").first()[0] == 0
     many = spark.range(900).selectExpr("1 as image_id", "'found' as kind", "cast(id as int) as label_index", "cast(id as int) as det_index",
                                        "'v' as barcode_value", "'f' as barcode_format", "'x' as match_basis")
     pages = results.nest_items(many, 100).select(F.size("found").alias("n")).collect()
     assert sum(p.n for p in pages) == 900 and max(p.n for p in pages) <= 100
-    assert r.t == "Found 2 barcodes:\n2. v (f)\n-. w (f)\n\nID: u\nTrace: t"
+    told = results.reply_lines(many, block=16).orderBy("line_no").collect()
+    assert told[0].line == "Found 900 barcodes:" and [r.line for r in told[1:]] == [f"{i}. v (f)" for i in range(900)]
+    assert [r.line_no for r in told] == list(range(901))
 
 
 # --- review loop -------------------------------------------------------------
@@ -310,11 +314,20 @@ def test_queue_survives_repeats_and_a_failing_sink(spark, tmp_path):
         batches.append(batch_id)
         raise RuntimeError("sink down")
 
-    handle = flows.fan_out({"broken": broken, "queue": flows.queue_sink(out)})
+    retry = str(tmp_path / "retry")
+    handle = flows.fan_out({"broken": broken, "queue": flows.queue_sink(out)}, retry)
     stream = typed(event_stream(spark, str(src), files_per_trigger=1))
     drain_each(stream, "t", handle, str(tmp_path / "cp"))
     assert len(batches) == 2
-    assert sorted(r.run_id for r in spark.read.parquet(out).collect()) == ["a", "d"]
-    # the whole input once more, as after a lost checkpoint
-    drain_each(stream, "t", handle, str(tmp_path / "cp2"))
-    assert sorted(r.run_id for r in spark.read.parquet(out).collect()) == ["a", "d"]
+    assert sorted(r.run_id for r in flows.read_queue(spark, out).collect()) == ["a", "d"]
+    # lost checkpoint: other files and another cut into batches, from batch 0 again
+    write_events(src, "3.json", [("INGEST_COMPLETED", "e", "failed"), ("INGEST_COMPLETED", "a", "failed")])
+    (src / "1.json").unlink()
+    again = typed(event_stream(spark, str(src), files_per_trigger=10))
+    drain_each(again, "t", handle, str(tmp_path / "cp2"))
+    assert sorted(r.run_id for r in flows.read_queue(spark, out).collect()) == ["a", "d", "e"]
+    # what the broken sink missed can be given to it again, once
+    seen = []
+    for _ in range(2):
+        flows.replay(spark, retry, "broken", again.schema, lambda b, i: seen.extend(r.run_id for r in b.collect()))
+    assert sorted(seen) == ["a", "a", "a", "a", "b", "c", "d", "d", "e"]
