@@ -23,9 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxtally.llm.common import crc_mod
+from boxtally.llm.common import broadcast_if_small, crc_mod
+from boxtally.session import cut_lineage
 
 FIT_DOCS = 1000
+#: Ranges in which the draws of a language are counted.
+SAMPLE_PARTS = 4096
+#: Rows of ids or languages up to which they are broadcast.
+MOST_NARROW = 200_000
 LONGEST = 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REMEMBER = 200_000
@@ -110,13 +115,29 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
+def sample_ids(taught: DataFrame, most: int, parts: int = SAMPLE_PARTS) -> DataFrame:
+    """``id2, lang2`` of the ``most`` documents of each language with the smallest draws.
+
+    Draws are counted in ``parts`` equal ranges first, so only rows of the first ranges, about ``most`` and
+    one range more, are ranked together.
+    """
+    span = 2**64 // parts
+    drawn = taught.select("doc_id", "lang", F.xxhash64("doc_id", F.length("text")).alias("draw"))
+    drawn = drawn.withColumn("range", F.floor(F.col("draw") / F.lit(span)))
+    sizes = drawn.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("last")))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    near = drawn.join(broadcast_if_small(wanted, MOST_NARROW), "lang").where("range <= last")
+    return (near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+            .select(F.col("doc_id").alias("id2"), F.col("lang").alias("lang2")).distinct())
+
+
 def fit(docs: DataFrame, most: int = FIT_DOCS) -> Model:
     """Word counts of at most ``most`` training documents per language, counted in Spark."""
     taught = docs.where("lang is not null").where(crc_mod(F.col("doc_id"), 5) != 0)
-    chosen = taught.select("doc_id", "lang", F.xxhash64("doc_id", F.length("text")).alias("draw"))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = (chosen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-              .select(F.col("doc_id").alias("id2"), F.col("lang").alias("lang2")).distinct())
+    chosen = broadcast_if_small(cut_lineage(sample_ids(taught, most)), MOST_NARROW)
     texts = taught.select("doc_id", "lang", "text").join(
         chosen, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("lang") == F.col("lang2"))).select("lang", "text")
 
