@@ -14,7 +14,7 @@ score is 0.5. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,19 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.
     return train_ftrl(rows)
 
 
+def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.RecordBatch], list[float]]:
+    """Scores of the texts of a batch."""
+    w, bias = model
+    vec = Vectors()
+
+    def scores(batch: pa.RecordBatch) -> list[float]:
+        return [sigmoid(float(w[at] @ v) + bias) for at, v in (vec(t.as_py()) for t in batch.column("text"))]
+
+    return scores
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per document row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias = sent.value
-        vec = Vectors()
+        of = _scorer(sent.value)
         for b in source:
-            out = []
-            for t in b.column("text"):
-                at, v = vec(t.as_py())
-                out.append(sigmoid(float(w[at] @ v) + bias))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(out, pa.float64())],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(of(b), pa.float64())],
                                              ["doc_id", "held_out", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -158,6 +164,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with their columns as they are."""
-    bad = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The document rows predicted to be good, with their columns as they are, in one pass without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def good(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scorer(sent.value)
+        for b in source:
+            yield b.filter(pa.array([x >= 0.5 for x in of(b)], pa.bool_()))
+
+    return docs.mapInArrow(good, docs.schema)
