@@ -180,6 +180,9 @@ def test_quality_odd_rows(spark, odd, none):
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.score_quality(none, labels).count() == 0
     assert quality.drop_low_quality(odd, labels).columns == odd.columns
+    scored = {r.doc_id: r.predicted for r in quality.score_quality(odd, labels).collect()}
+    left = quality.drop_low_quality(odd, labels).select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(str(r[0]) for r in ODD if scored[r[0]] == 1)
 
 
 def test_language(spark, sf_dir, odd, none):
@@ -192,6 +195,17 @@ def test_language(spark, sf_dir, odd, none):
     assert language.identify(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [4, 4096])
+def test_language_sample_is_the_smallest_draws(spark, sf_dir, parts):
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    draws: dict[str, list] = {}
+    for r in docs.select("lang", "doc_id", F.xxhash64("doc_id", F.length("text")).alias("draw")).collect():
+        draws.setdefault(r.lang, []).append((r.draw, r.doc_id))
+    want = {(x, doc_id) for x, all_ in draws.items() for _, doc_id in sorted(all_)[:20]}
+    got = language.sample_ids(docs, 20, parts).collect()
+    assert {(r.lang2, r.id2) for r in got} == want and len(got) == len(want)
+
+
 def test_token_rollup(spark, sf_dir, odd):
     docs = table(spark, sf_dir, "documents")
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
