@@ -11,12 +11,11 @@ in fewer than MATCHES coordinates with a chance below one in a million. Candidat
 confirmed on the full shingle sets.
 
 Documents with equal sets are one class before any posting, so groups of exact copies
-never make pairs. Lists of near copies would still hold the square of their length, so
-long lists are merged in rounds: a few members face all others of the list, links are
-confirmed, and members that are connected by then need no further comparison with each
-other. Only pairs of different components remain; the number of members that face the list
-grows each round until every pair of the list was compared or is connected. So no link
-between components is lost, and a list of n near copies costs about n pairs.
+never make pairs. Lists of near copies would still hold the square of their length. So of a long
+list only heads face all others at first, and members that are connected by then need no
+comparison with each other. Pairs of different components that remain are ruled out, or linked, by what
+their sets have other than most of their list has (``_rest_of_lists``); few are left to be confirmed, and no link
+between components is lost.
 
 Defined cases: null and empty texts and texts of white space only have an empty set, stand
 alone and are kept; rows that share an id are one document, linked by any of its texts; a row
@@ -249,8 +248,6 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     long_ = posts.where(F.col("len") > SHORT_LIST)
     # Members with the fewest shingles of their own face the list first: they link with most others.
     order = Window.partitionBy("token").orderBy(F.col("n") - F.col("shared"), "id")
-    heads = 1
-    links = known
 
     def possible(n1: str, s1: str, n2: str, s2: str) -> Column:
         return _within_reach(F.col(n1), F.col(n2), F.least(s1, s2), percent)
@@ -260,41 +257,86 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & possible("na", "sa", "nb", "sb")).select("a", "b")
     # All long lists of a class, in order: a pair is made in the first list it shares only.
     mine = long_.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    active = long_.join(mine, "id").select("token", "id", "n", "shared", "tokens", F.col("id").alias("comp"),
-                                           F.lit(False).alias("done"))
-    while True:
-        # Heads: members that are first among those of a list that have not faced theirs; they face all their lists.
-        waiting = active.where(~F.col("done"))
-        heads_now = (waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= heads)
-                     .select("id").distinct())
-        front = active.join(heads_now, "id", "left_semi").select(
-            "token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"), F.col("comp").alias("ch"),
-            F.col("tokens").alias("th"))
-        front = cut_lineage(front)
-        facing = (active.join(front, "token")
-                  .where((F.col("id") != F.col("h")) & (F.col("comp") != F.col("ch")) & possible("n", "shared", "nh", "sh")
-                         & (F.array_min(F.array_intersect("tokens", "th")) == F.col("token")))
-                  .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
-        found = facing if pairs is None else facing.unionByName(pairs)
-        pairs = None
-        fresh = cut_lineage(_confirmed(found.distinct(), classes, sets, percent))
-        links = links.unionByName(fresh)
-        comp = components(links)
-        faced = front.select(F.col("h").alias("id"), F.lit(True).alias("now")).distinct()
-        active = (active.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left")
-                  .join(faced, "id", "left")
-                  .select("token", "id", "n", "shared", "tokens", F.coalesce("comp", "id").alias("comp"),
-                          (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
-        # A list is finished when all of it is connected, or everybody but one has faced it.
-        state = active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                            F.sum((~F.col("done")).cast("long")).alias("waiting"))
-        active = cut_lineage(active.join(state, "token"))
-        open_ = active.where((F.col("lo") != F.col("hi")) & (F.col("waiting") > 1))
-        if not open_.take(1):
-            return comp
-        # Lists that are finished stay only as long as a member waits elsewhere: pairs are made in first lists.
-        active = active.join(open_.select("id").distinct(), "id", "left_semi").drop("lo", "hi", "waiting")
-        heads *= 8
+    active = long_.join(mine, "id").select("token", "id", "n", "shared", "tokens")
+    # Heads: the first members of the lists; they face all their lists.
+    heads = (active.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("id").distinct())
+    front = cut_lineage(active.join(heads, "id", "left_semi").select(
+        "token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"), F.col("tokens").alias("th")))
+    facing = (active.join(front, "token")
+              .where((F.col("id") != F.col("h")) & possible("n", "shared", "nh", "sh")
+                     & (F.array_min(F.array_intersect("tokens", "th")) == F.col("token")))
+              .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
+    links = known.unionByName(cut_lineage(_confirmed(facing.unionByName(pairs).distinct(), classes, sets, percent)))
+    comp = components(links)
+    # A list is finished when all of it is connected.
+    active = (active.join(comp.withColumnRenamed("component", "comp"), "id", "left")
+              .select("token", "id", "n", F.coalesce("comp", "id").alias("comp")))
+    open_ = cut_lineage(active.join(active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                                    .where("lo <> hi").select("token"), "token"))
+    if not open_.take(1):
+        return comp
+    sure, rest = _rest_of_lists(open_, sets, percent)
+    more = cut_lineage(_confirmed(rest, classes, sets, percent))
+    return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                      .unionByName(sure).unionByName(more))
+
+
+def _rest_of_lists(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that hold for certain, and the pairs still to be confirmed, of lists ``token, id, n, comp``.
+
+    Each list belongs to its most frequent component, the owner; what more than half of the members of an
+    owner's lists hold is the core, and a member differs from it by its delta. The symmetric difference of
+    two sets is that of their deltas, so with similarity s two linked sets have
+    |da| + |db| - 2 |da & db| <= (|a| + |b|) (1 - s) / (1 + s).
+    The excess of a member is |d| - |set| (1 - s) / (1 + s). Two members whose excesses sum to no more than 0 are
+    linked without a look; all of these are connected through the member of least excess. All other linked
+    pairs share elements of their deltas, so the rarest of them in one order (frequency, element) are
+    merged; the place of a common element bounds how many can follow it.
+    """
+    whole, part = 100 + percent, 100 - percent
+    owners = (lists.groupBy("token", "comp").agg((-F.count("*")).alias("less")).groupBy("token")
+              .agg(F.min(F.struct("less", "comp"))["comp"].alias("owner")))
+    members = cut_lineage(lists.join(owners, "token").select("owner", "id", "n", "comp").distinct())
+    full = members.join(sets, "id")
+    half = members.groupBy("owner").agg((F.count("*") / 2).alias("half"))
+    core = (full.select("owner", F.explode("hashes").alias("e")).groupBy("owner", "e").agg(F.count("*").alias("f"))
+            .join(half, "owner").where("f > half").groupBy("owner").agg(F.collect_list("e").alias("core")))
+    none = F.array().cast("array<bigint>")
+    delta = full.join(core, "owner", "left").withColumn("core", F.coalesce("core", none)).select(
+        "owner", "id", "n", "comp",
+        F.concat(F.array_except("hashes", "core"), F.array_except("core", "hashes")).alias("delta"))
+    delta = cut_lineage(delta.withColumn("d", F.size("delta").cast("long"))
+                        .withColumn("excess", F.col("d") * whole - F.col("n") * part))
+    nearest = delta.groupBy("owner").agg(F.min(F.struct("excess", "id", "comp")).alias("z"))
+    near = F.col("excess") + F.col("z.excess") <= 0
+    placed = delta.drop("delta").join(nearest, "owner")
+    sure = placed.where(near & (F.col("comp") != F.col("z.comp"))).select(F.col("id").alias("a"), F.col("z.id").alias("b"))
+    placed = placed.select("owner", "id", "n", "d", "excess", F.when(near, F.col("z.comp")).otherwise(F.col("comp")).alias("comp"),
+                           F.col("z.excess").alias("least"))
+    # Of two members in different components one is no member of the owner.
+    outside = placed.where("comp <> owner").groupBy("owner").agg(F.min("excess").alias("least_out"))
+    elements = delta.select("owner", "id", F.explode("delta").alias("e"))
+    known = elements.groupBy("owner", "e").agg(F.count("*").alias("f")).where("f > 1")
+    packed = (elements.join(known, ["owner", "e"]).groupBy("owner", "id")
+              .agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("t")))
+    ranked = (placed.join(outside, "owner").join(packed, ["owner", "id"])
+              .select("owner", "id", "n", "d", "excess", "least", "least_out", "comp", (F.col("d") - F.size("t")).alias("own"),
+                      F.posexplode("t").alias("i", "x"))
+              # How many elements of the delta can be common from here on.
+              .select("owner", "id", "n", "excess", "least", "least_out", "comp", F.col("x.e").alias("e"),
+                      (F.col("d") - F.col("own") - F.col("i")).alias("left")))
+    ranked = cut_lineage(ranked.where(F.col("left") * (2 * whole) >= F.col("excess") + F.least("least", "least_out")))
+
+    def side(x: str, least: str) -> DataFrame:
+        return ranked.where(F.col("left") * (2 * whole) >= F.col("excess") + F.col(least)).select(
+            "owner", "e", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "excess", "left", "comp")))
+
+    a, b = side("a", "least").where("comp_a <> owner"), side("b", "least_out")
+    pairs = a.join(b, ["owner", "e"]).where(
+        (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("owner")) | (F.col("id_a") < F.col("id_b")))
+        & (F.least("left_a", "left_b") * (2 * whole) >= F.col("excess_a") + F.col("excess_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    return sure, pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = 80) -> DataFrame:
