@@ -12,7 +12,7 @@ confirmed on the full shingle sets.
 
 Documents with equal sets are one class before any posting, so groups of exact copies
 never make pairs. Lists of near copies would still hold the square of their length. So of a long
-list only heads face all others at first, and members that are connected by then need no
+list only a head faces the others at first, and members that are connected by then need no
 comparison with each other. Pairs of different components that remain are ruled out, or linked, by what
 their sets have other than most of their list has (``_rest_of_lists``); few are left to be confirmed, and no link
 between components is lost.
@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxtally.llm.common import ascii_lower
 from boxtally.session import cut_lineage
@@ -43,6 +42,8 @@ COORDINATES = 64
 MATCHES = 36
 #: Lists up to this length are compared in full at once.
 SHORT_LIST = 8
+#: Heads of longer lists that a class faces at first; all other pairs are left to the deltas, so no link depends on it.
+HEADS = 3
 
 
 _BREAKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -246,8 +247,6 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     posts = cut_lineage(posts.join(lists, "token"))
     short = posts.where(F.col("len") <= SHORT_LIST)
     long_ = posts.where(F.col("len") > SHORT_LIST)
-    # Members with the fewest shingles of their own face the list first: they link with most others.
-    order = Window.partitionBy("token").orderBy(F.col("n") - F.col("shared"), "id")
 
     def possible(n1: str, s1: str, n2: str, s2: str) -> Column:
         return _within_reach(F.col(n1), F.col(n2), F.least(s1, s2), percent)
@@ -255,21 +254,16 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & possible("na", "sa", "nb", "sb")).select("a", "b")
-    # All long lists of a class, in order: a pair is made in the first list it shares only.
-    mine = long_.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    active = long_.join(mine, "id").select("token", "id", "n", "shared", "tokens")
-    # Heads: the first members of the lists; they face all their lists.
-    heads = (active.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("id").distinct())
-    front = cut_lineage(active.join(heads, "id", "left_semi").select(
-        "token", F.col("id").alias("h"), F.col("n").alias("nh"), F.col("shared").alias("sh"), F.col("tokens").alias("th")))
-    facing = (active.join(front, "token")
-              .where((F.col("id") != F.col("h")) & possible("n", "shared", "nh", "sh")
-                     & (F.array_min(F.array_intersect("tokens", "th")) == F.col("token")))
+    # The head of a list is the member with the fewest shingles of its own. A class faces the HEADS best of its lists.
+    heads = long_.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "id", "n", "shared")).alias("h"))
+    facing = (long_.join(heads, "token").where((F.col("id") != F.col("h.id")) & possible("n", "shared", "h.n", "h.shared"))
+              .groupBy("id").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HEADS).alias("hs"))
+              .select("id", F.explode("hs.id").alias("h"))
               .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
     links = known.unionByName(cut_lineage(_confirmed(facing.unionByName(pairs).distinct(), classes, sets, percent)))
     comp = components(links)
     # A list is finished when all of it is connected.
-    active = (active.join(comp.withColumnRenamed("component", "comp"), "id", "left")
+    active = (long_.join(comp.withColumnRenamed("component", "comp"), "id", "left")
               .select("token", "id", "n", F.coalesce("comp", "id").alias("comp")))
     open_ = cut_lineage(active.join(active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                                     .where("lo <> hi").select("token"), "token"))
