@@ -84,9 +84,10 @@ def _near_brute(rows, words, percent):
     return {i: (len(sets[i]), low[i]) for i in sets}
 
 
-@pytest.mark.parametrize("short_list", [8, 1])
-def test_near_dedup_equals_brute_force(spark, monkeypatch, short_list):
+@pytest.mark.parametrize(("short_list", "heads"), [(8, 3), (1, 3), (1, 0)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, short_list, heads):
     monkeypatch.setattr(near_dedup, "SHORT_LIST", short_list)
+    monkeypatch.setattr(near_dedup, "HEADS", heads)  # without heads the deltas find all links
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     rows = []
