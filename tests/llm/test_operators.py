@@ -160,6 +160,27 @@ def test_lm_scores(spark, sf_dir):
     assert sum(r.score for r in out) / sum(r.n_tokens for r in out) > -4.6
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """Documents with a word of their own: the embedding of each moves only if its document reached a gradient."""
+    monkeypatch.setattr(attention_lm, "TASK_DOCS", 40)
+    monkeypatch.setattr(attention_lm, "WARM_DOCS", 20)
+    docs = spark.createDataFrame([(i, " ".join([chr(97 + i // 26) + chr(97 + i % 26)] * 5)) for i in range(500)],
+                                 "doc_id long, text string")
+    cls = attention_lm.Classes(attention_lm.id_counts(attention_lm.word_counts(docs), token_counts.TOKENIZERS))
+    rounds, width = attention_lm.rounds_of(500)
+    assert rounds > 2 and width > 2
+    encoded = attention_lm.write_classes(docs, cls, rounds)
+    rows = encoded.collect()
+    assert len(rows) == 500 and {r["round"] for r in rows} == set(range(rounds))
+    prior = attention_lm.Prior(np.zeros((attention_lm.CLASSES + 1, attention_lm.CLASSES)))
+    moved = np.abs(attention_lm.fit(encoded, prior, rounds, width)["emb"] - attention_lm.start_weights()["emb"]).max(axis=1)
+    used = {int(c) for r in rows for c in np.frombuffer(r["classes"], np.int16)[:-1]}
+    assert len(used) > 300 and all(moved[c] > 0 for c in used)
+    # The steps that follow one another grow with the corpus.
+    n = [attention_lm.rounds_of(k)[0] for k in (50_000, 500_000, 5_000_000)]
+    assert n[0] < n[1] < n[2]
+
+
 def test_lm_odd_rows(odd, none):
     rows = attention_lm.score(odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
