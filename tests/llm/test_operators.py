@@ -181,6 +181,21 @@ def test_lm_learns_from_every_training_document(spark, monkeypatch):
     assert n[0] < n[1] < n[2]
 
 
+def test_lm_prior_counts_the_order_of_words(spark):
+    """Two words of equal count that only ever follow one another in one order."""
+    docs = spark.createDataFrame([(i, "up down up down") for i in range(50)] + [(99, None)], "doc_id long, text string")
+    cls = attention_lm.Classes(attention_lm.id_counts(attention_lm.word_counts(docs), token_counts.TOKENIZERS))
+    up, down = (int(cls.of[attention_lm.Encoder(token_counts.TOKENIZERS).ids([w])[0]]) for w in ("up", "down"))
+    prior = attention_lm.fit_prior(attention_lm.write_classes(docs, cls, 1))
+
+    def log(after, to):
+        g, m = divmod(to, attention_lm.MEMBERS)
+        return prior.group[after, g] + prior.member[g][after, m]
+
+    assert log(up, down) > np.log(0.8) and log(up, up) < np.log(0.1)
+    assert log(attention_lm.CLASSES, up) > np.log(0.8) and log(attention_lm.CLASSES, down) < np.log(0.1)
+
+
 def test_lm_odd_rows(odd, none):
     rows = attention_lm.score(odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
