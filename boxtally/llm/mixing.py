@@ -8,7 +8,8 @@ grows, shard k gets what the house of k + 1 shards has more than that of k, alwa
 whole numbers. A quota beyond a source's blocks is whole passes over it plus a
 seeded choice of distinct blocks for the rest: block j is in when (a * j + b) mod n
 is below the rest, with ``a`` prime to ``n``, which picks exactly that many, without
-sorting or moving blocks.
+sorting or moving blocks. The same order, cut at the cumulated quotas per shard, deals the taken blocks to
+the shards (``mixed_shards``).
 
 Running totals are taken in two steps (buckets of a source, then rows of a bucket),
 so a source with a third of all rows is spread over tasks.
@@ -145,12 +146,17 @@ def _source_plan(rows: DataFrame, block: int, seed: int) -> DataFrame:
                                        "rest long, a long, b long, per_shard array<long>")
 
 
-def _drawn(j: Column, plan: Callable[[str], Column]) -> Column:
-    """Whether block j is among those of the last, partial pass."""
+def _rank(j: Column, plan: Callable[[str], Column]) -> Column:
+    """Place of block j in the drawn order of its source, from 0."""
     n = F.greatest(plan("blocks"), F.lit(1))
     small = (j * plan("a") + plan("b")) % n  # no overflow below 2**31 blocks
     large = ((j.cast("decimal(38,0)") * plan("a") + plan("b")) % n).cast("long")
-    return F.when(n < 2**31, small).otherwise(large) < plan("rest")
+    return F.when(n < 2**31, small).otherwise(large)
+
+
+def _drawn(j: Column, plan: Callable[[str], Column]) -> Column:
+    """Whether block j is among those of the last, partial pass."""
+    return _rank(j, plan) < plan("rest")
 
 
 def _passes(j: Column) -> Column:
@@ -175,6 +181,26 @@ def mix(docs: DataFrame, block: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_shards(docs: DataFrame, block: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
+    """What each shard of the mix holds: ``doc_id, source, block, pass, shard, taken`` per document row and taken block.
+
+    The taken blocks of a source, pass by pass in drawn order, are cut at its cumulated quotas per shard, so a
+    shard has ``per_shard`` blocks of it. A block of several documents has a row for each.
+    """
+    rows = _planned(docs, block, seed).where("size > 0")
+    end = F.col("first") + F.col("size")
+    j, k = F.col("block"), F.col("pass")
+    cut = (rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((end - 1) / block))))
+           .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))))
+           .where((k < F.col("passes")) | ((k == F.col("passes")) & _drawn(j, F.col))))
+    ends = F.transform("per_shard", lambda _, i: F.aggregate(F.slice("per_shard", 1, i + 1), F.lit(0).cast("long"), lambda x, y: x + y))
+    seat = k * F.col("blocks") + _rank(j, F.col)
+    cut = cut.withColumn("ends", ends).withColumn("seat", seat)
+    return cut.select("doc_id", F.col("src").alias("source"), "block", "pass",
+                      F.size(F.filter("ends", lambda e: e <= F.col("seat"))).alias("shard"),
+                      (F.least(end, (j + 1) * block) - F.greatest(F.col("first"), j * block)).cast("long").alias("taken"))
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
     """The mix as documents: per pass one row with the text of the words it takes.
 

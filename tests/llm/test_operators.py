@@ -330,6 +330,25 @@ def test_mixing(spark, sf_dir, odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_shards_hold_their_quotas(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = mixing.mixed_shards(docs).collect()
+    assert {(r.source, r.block, r["pass"]): r.shard for r in rows}.keys() == {(r.source, r.block, r["pass"]) for r in rows}
+    blocks = {(r.source, r.block, r["pass"], r.shard) for r in rows}
+    assert len(blocks) == len({b[:3] for b in blocks})
+    got = Counter((b[0], b[3]) for b in blocks)
+    words = Counter()
+    for r in docs.collect():
+        words[r.source] += len(r.text.split())
+    names = sorted(words)
+    want = {(s, k): n for s, p in zip(names, mixing.plan([words[s] for s in names])) for k, n in enumerate(p["per_shard"]) if n}
+    assert got == want
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += r.taken
+    assert taken == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+
+
 def test_exact_dedup(spark, odd, tmp_path):
     path = str(tmp_path / "docs.parquet")
     odd.repartition(3).write.parquet(path)
