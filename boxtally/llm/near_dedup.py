@@ -7,7 +7,7 @@ among the PREFIX = COORDINATES - MATCHES + 1 rarest of each, so only these short
 are merged; the long lists of frequent values are skipped and probed, for the pairs
 found, by comparing the stored signatures. Before pairs are made, a class is asked how many of its shingles
 stand in any other posted class: two sets cannot share more, which rules most pairs out. At a similarity of 0.8 a pair agrees
-in fewer than MATCHES coordinates with a chance below one in a million. Candidates are
+in fewer than MATCHES coordinates with a chance of about 8 in a hundred million. Candidates are
 confirmed on the full shingle sets.
 
 Documents with equal sets are one class before any posting, so groups of exact copies
@@ -38,8 +38,8 @@ from boxtally.session import cut_lineage
 
 SHINGLE_WORDS = 5
 COORDINATES = 64
-#: Chance of fewer agreements at similarity 0.8: about 6e-7.
-MATCHES = 36
+#: Chance of fewer agreements at similarity 0.8: about 8e-8.
+MATCHES = 33
 #: Lists up to this length are compared in full at once.
 SHORT_LIST = 8
 #: Heads of longer lists that a class faces at first; all other pairs are left to the deltas, so no link depends on it.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -112,6 +113,11 @@ def test_near_dedup_odd_rows(odd, none):
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
 
 
+def test_near_dedup_misses_fewer_than_one_in_a_million():
+    tail = sum(math.comb(near_dedup.COORDINATES, k) * 0.8**k * 0.2 ** (near_dedup.COORDINATES - k) for k in range(near_dedup.MATCHES))
+    assert tail < 1e-6
+
+
 def test_lm_probabilities_sum_to_one_and_gradient():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 1000, 4000)
