@@ -26,6 +26,8 @@ from boxtally.session import scratch_path
 from boxtally.streaming.runner import rocksdb_state
 
 Digest = Callable[[Column], Column]
+#: Spark passes over files that are this much older than the newest seen one (7 days unless set): none ever is.
+MAX_FILE_AGE = "36500d"
 
 
 def sha256(text: Column) -> Column:
@@ -65,7 +67,7 @@ def digest_state(spark: SparkSession, path: str, digest: Digest = sha256, checkp
     """
     root = checkpoint or scratch_path(spark, "exact-dedup")
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
+    source = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     # As a pattern the path may name one file or a folder of files; a plain path must be a folder.

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -379,6 +381,18 @@ def test_exact_dedup(spark, odd, tmp_path):
     assert exact_dedup.exact_groups(spark, empty).count() == 0
 
 
+def test_exact_dedup_reads_files_that_look_old(spark, tmp_path):
+    path, mark = str(tmp_path / "aged.parquet"), scratch_path(spark, "aged")
+    one = spark.createDataFrame([(1, "Same", None, None, 0)], DOCS).coalesce(1)
+    one.write.parquet(path)
+    exact_dedup.digest_state(spark, path, checkpoint=mark).collect()
+    before = set(os.listdir(path))
+    one.withColumn("doc_id", F.lit(2).cast("long")).write.mode("append").parquet(path)
+    for name in set(os.listdir(path)) - before:
+        os.utime(f"{path}/{name}", (time.time() - 30 * 86400,) * 2)
+    assert exact_dedup.digest_state(spark, path, checkpoint=mark).first().group_size == 2
+
+
 def test_sharding(spark, sf_dir, odd, none):
     docs = table(spark, sf_dir, "documents")
     rows = sharding.shard(docs).collect()
