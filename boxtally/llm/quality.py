@@ -13,6 +13,7 @@ score is 0.5. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -45,8 +46,8 @@ class Vectors:
         if h is None:
             if len(self.known) >= _REMEMBER:
                 self.known.clear()
-            raw = int.from_bytes(w.encode("utf-8", "surrogatepass")[:64].ljust(8, b"\0"), "little")
-            h = self.known[w] = (raw * 0x2545F4914F6CDD1D ^ (raw >> 64) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+            raw = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            h = self.known[w] = int.from_bytes(raw, "little")
         return h
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

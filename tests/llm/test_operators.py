@@ -218,6 +218,12 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
 
 
+def test_quality_hashes_whole_words():
+    same = "x" * 16
+    hashes = {quality.Vectors()._word(w) for w in (same, same + "a", same + "b", "x" * 64 + "a", "x" * 64 + "b")}
+    assert len(hashes) == 5
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (4, None), (None, 1)], "doc_id long, quality int")
     rows = quality.score_quality(odd, labels).collect()
