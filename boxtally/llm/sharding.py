@@ -6,8 +6,8 @@ median: rows below the cut go left. Rows that share the cut's value are ordered
 a hash of id and text, so a value that a third of all rows share is split as well.
 All nodes of a level are split together: each pass is one aggregate over narrow
 rows to at most nodes x BINS sums, and only those sums and the cuts (fewer than two
-per shard) reach the driver. Splitting ends at the wanted number of leaves, which is
-that of the target bytes.
+per shard) reach the driver. Splitting ends at the wanted number of leaves: a given one, or as many
+as the total weight needs so that a leaf holds the target bytes.
 
 Defined cases: null text weighs 1 byte and has the checksum of the empty text; null
 ids and other nulls stand at zero; rows repeated in full may stand on either side
@@ -151,12 +151,16 @@ def narrow(docs: DataFrame) -> DataFrame:
                        F.shiftrightunsigned(F.xxhash64("doc_id", crc), 2).alias("tie"))
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, target_bytes: int | None = None) -> DataFrame:
     """One row per document row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
-    ``law`` is ``bytes``: the shards hold nearly equal bytes. Slots run from 0 without gaps.
+    ``law`` is ``bytes``: the shards hold nearly equal bytes. With ``target_bytes`` their number follows from
+    the total, in place of ``shards``. Slots run from 0 without gaps.
     """
     rows = cut_lineage(narrow(docs)).withColumn("weight", F.col("size"))
+    if target_bytes is not None:
+        total = rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+        shards = max(1, -(-total // target_bytes))
     tree = kd_tree(rows, ["by_id", "size", "by_source", "by_lang"], shards)
     placed = cut_lineage(tree.select("doc_id", "size", "text_crc32", "tie", F.col("node").alias("shard")))
     runs = max(1, placed.count() // (shards * SLOT_RUN))

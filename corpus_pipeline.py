@@ -12,6 +12,9 @@ from boxtally.llm import decontam, mixing, near_dedup, quality, sharding
 from boxtally.llm.common import table
 from boxtally.session import scratch_path
 
+#: Text bytes a training shard holds at most, nearly.
+SHARD_BYTES = 128 * 2**20
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
@@ -30,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.shard(docs, target_bytes=SHARD_BYTES)
 
 
 STAGES = [

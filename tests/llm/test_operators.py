@@ -416,6 +416,14 @@ def test_sharding(spark, sf_dir, odd, none):
     assert sharding.shard(odd, 3).count() == len(ODD) and sharding.shard(none).count() == 0
 
 
+def test_sharding_by_target_bytes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    total = sum(len((r.text or "").encode()) + 1 for r in docs.collect())
+    for target in (total // 5, 2 * total):
+        rows = sharding.shard(docs, target_bytes=target).collect()
+        assert {r.shard for r in rows} == set(range(max(1, -(-total // target))))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
