@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxtally.llm import (attention_lm, decontam, exact_dedup, html_main, language, mixing, near_dedup, quality, sharding,
                           token_counts)
@@ -31,8 +32,22 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = token_counts.Rollup(spark, scratch_path(spark, "token-rollup"))
-    rollup.commit("load-1", token_counts.inserted(table(spark, sf_dir, "documents")))
+    """The documents come in three batches; a tenth is revised and revised back, another deleted and put back.
+
+    A batch id is replayed as well, so all kinds of deltas run over the whole table and the totals are those of it.
+    """
+    docs, rollup = table(spark, sf_dir, "documents"), token_counts.Rollup(spark, scratch_path(spark, "token-rollup"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(30))
+    loads = [token_counts.inserted(docs.where(draw % 3 == n)) for n in range(3)]
+    for n, load in enumerate(loads):
+        rollup.commit(f"load-{n + 1}", load)
+    old, gone = docs.where(draw < 3), docs.where(draw.between(3, 5))
+    new = old.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised")))
+    rollup.commit("revise-1", token_counts.revised(old, new))
+    rollup.commit("delete-1", token_counts.deleted(gone))
+    rollup.commit("revise-2", token_counts.revised(new, old))
+    rollup.commit("insert-2", token_counts.inserted(gone))
+    rollup.commit("load-1", loads[0])
     return rollup.totals()
 
 

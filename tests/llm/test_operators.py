@@ -278,6 +278,17 @@ def test_token_rollup(spark, sf_dir, odd):
     assert token_counts.deltas(token_counts.inserted(odd)).agg(F.sum("docs")).first()[0] == 2 * len(ODD)
 
 
+def test_token_query_runs_all_kinds_of_deltas(spark, sf_dir, monkeypatch):
+    made = []
+    plain = token_counts.Rollup.commit
+    monkeypatch.setattr(token_counts.Rollup, "commit", lambda self, *a: made.append((a[0], plain(self, *a), self)) or made[-1][1])
+    got = {tuple(r) for r in QUERIES["op6_token_counts"](spark, sf_dir).collect()}
+    assert got == {tuple(r) for r in token_counts.deltas(token_counts.inserted(table(spark, sf_dir, "documents"))).collect()}
+    assert [b for b, fresh, _ in made if not fresh] == ["load-1"] and len(made) == 8
+    signs = spark.read.parquet(f"{made[0][2].root}/batch=delete-1").agg(F.max("docs")).first()[0]
+    assert signs < 0
+
+
 PAGES = [
     ('<html><body><nav><a href="/">Home</a></nav><div class="content"><h2>Title</h2><p>Long text here, with words. And\n more of '
      'it.</p><p>Another &amp; text &eacute;</p><aside>side</aside></div><div class="comments"><p>nice</p></div></body></html>',
