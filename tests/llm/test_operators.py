@@ -183,7 +183,7 @@ def test_lm_learns_from_every_training_document(spark, monkeypatch):
     prior = attention_lm.Prior(np.zeros((attention_lm.CLASSES + 1, attention_lm.CLASSES)))
     moved = np.abs(attention_lm.fit(encoded, prior, rounds, width)["emb"] - attention_lm.start_weights()["emb"]).max(axis=1)
     used = {int(c) for r in rows for c in np.frombuffer(r["classes"], np.int16)[:-1]}
-    assert len(used) > 300 and all(moved[c] > 0 for c in used)
+    assert len(used) > 250 and all(moved[c] > 0 for c in used)
     # The steps that follow one another grow with the corpus.
     n = [attention_lm.rounds_of(k)[0] for k in (50_000, 500_000, 5_000_000)]
     assert n[0] < n[1] < n[2]
