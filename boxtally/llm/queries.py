@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtally.llm import (attention_lm, decontam, exact_dedup, html_main, language, mixing, near_dedup, quality, sharding,
+from boxtally.llm import (attention_lm, decontam, divergence, exact_dedup, html_main, language, mixing, near_dedup, quality, sharding,
                           token_counts)
 from boxtally.llm.common import table
 from boxtally.session import scratch_path
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = _ASCII.format("coalesce(text, '')")
@@ -120,7 +124,35 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, doc_id = keep_
 from d join g using (t)
 """
 
+OP11_SQL = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all({_TEXT}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+occ as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as total from occ group by 1, 2 having count(distinct r) >= 30),
+cnt as (select lang, source, term, count(*) as n from occ join kept using (lang, term) group by 1, 2, 3),
+grp as (select lang, source, (select coalesce(sum(n), 0) from cnt c where c.lang = d.lang and c.source = d.source) as size
+  from (select distinct lang, source from d) d),
+whole as (select lang, count(*) as v, sum(total) as size from kept group by 1),
+rated as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.size + 5 * w.v) as p,
+    1 + (1000000000::hugeint * (k.total + 5)) // (w.size + 5 * w.v) as q
+  from grp g join kept k on g.lang = k.lang join whole w on w.lang = g.lang
+  left join cnt c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from rated a join rated b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(s.value, 0) as bigint) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, cast(p - q as bigint) from rated where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from every)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_near_dedup, op3_lm_scores, op4_quality, op5_language, op6_token_counts, op7_html_text,
-    op8_mixing, op9_exact_dedup, op10_sharding)}
-SQL = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    op8_mixing, op9_exact_dedup, op10_sharding, op11_source_divergence)}
+SQL = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
