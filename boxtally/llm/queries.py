@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtally.llm import (attention_lm, decontam, divergence, exact_dedup, html_main, language, mixing, near_dedup, quality, sharding,
-                          token_counts)
+                          token_counts, vector_codes)
 from boxtally.llm.common import table
 from boxtally.session import scratch_path
 
@@ -71,6 +71,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = _ASCII.format("coalesce(text, '')")
@@ -152,7 +156,44 @@ ranked as (select *, cast(row_number() over (partition by lang, source, part ord
 select * from ranked where part = 'pair' or rank <= 50
 """
 
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Rounds written out one after the other."""
+    def assigned(n: int) -> str:
+        return f"""a{n} as materialized (
+  select rid, part, min(d * 16 + entry) % 16 as entry, min(d * 16 + entry) // 16 as d from (
+    select rid, part, entry, sum((x - y) * (x - y)) as d from p join k{n} using (part, j) group by 1, 2, 3) group by 1, 2)"""
+
+    steps = []
+    for n in range(rounds):
+        steps += [assigned(n), f"""k{n + 1} as materialized (
+  select part, entry, j, coalesce((s - ((s % c) + c) % c) // c, y) as y from k{n} left join (
+    select part, entry, j, sum(x) as s, count(*) as c from a{n} join p using (rid, part) group by 1, 2, 3)
+  using (part, entry, j))"""]
+    return f"""
+with v as materialized (
+  select row_number() over (order by vec_id) - 1 as rid, vec_id, label, embedding as e, len(embedding) // 8 as w from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+flat as (select rid, w, unnest(e) as x, unnest(range(len(e))) as i from v),
+p as materialized (
+  select rid, i // w as part, i % w as j, cast(floor(4096 * cast(x as double)) as hugeint) as x from flat),
+k0 as materialized (select part, rid as entry, j, x as y from p where rid < 16),
+{", ".join(steps)}, {assigned(rounds)},
+coded as (
+  select rid, string_agg(printf('%02x', cast(entry as int)), '' order by part) as code, cast(sum(d) as bigint) as error
+  from a{rounds} group by 1),
+sums as (select label, cast(sum(error) as bigint) as label_error from coded join v using (rid) group by 1),
+book as (select sha256(string_agg(cast(y as varchar), ',' order by part, entry, j)) as codebooks_sha256 from k{rounds})
+select vec_id, code, error, label_error, codebooks_sha256
+from coded join v using (rid) join sums on sums.label is not distinct from v.label, book
+"""
+
+
+OP12_SQL = _op12_sql()
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_near_dedup, op3_lm_scores, op4_quality, op5_language, op6_token_counts, op7_html_text,
-    op8_mixing, op9_exact_dedup, op10_sharding, op11_source_divergence)}
-SQL = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    op8_mixing, op9_exact_dedup, op10_sharding, op11_source_divergence,
+    op12_vector_codes)}
+SQL = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL,
+       "op12_vector_codes": OP12_SQL}
