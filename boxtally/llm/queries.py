@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtally.llm import (attention_lm, decontam, divergence, exact_dedup, html_main, language, mixing, near_dedup, quality, sharding,
-                          token_counts, vector_codes)
+from boxtally.llm import (attention_lm, decontam, divergence, exact_dedup, html_main, language, mixing, near_dedup,
+                          personal_data, quality, sharding, token_counts, vector_codes)
 from boxtally.llm.common import table
 from boxtally.session import scratch_path
 
@@ -75,6 +75,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = _ASCII.format("coalesce(text, '')")
@@ -194,6 +198,6 @@ OP12_SQL = _op12_sql()
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_near_dedup, op3_lm_scores, op4_quality, op5_language, op6_token_counts, op7_html_text,
     op8_mixing, op9_exact_dedup, op10_sharding, op11_source_divergence,
-    op12_vector_codes)}
+    op12_vector_codes, op13_personal_data)}
 SQL = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL,
        "op12_vector_codes": OP12_SQL}
