@@ -66,7 +66,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), held in counts.items():
             terms = list(held)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
+                pa.array(terms, pa.binary()).cast(pa.string()),
                 pa.array(held.values(), pa.int64()), pa.array(map(docs[lang, source].__getitem__, terms), pa.int64())],
                 names=["lang", "source", "term", "n", "docs"])
         counts.clear()
