@@ -18,6 +18,14 @@ def same_reading(a: Column, b: Column) -> Column:
     return (a["format"] == b["format"]) & (same_value | misread)
 
 
+def reading_reach(row: Column) -> Column:
+    """Two readings of one code have centres within 40 pixels, or within 0.35 of the longest side of either, or
+    share an area once grown by 20; in each case the regions below share a point."""
+    b = row["box"]
+    grow = F.greatest(F.lit(20), F.ceil(F.greatest(g.width(b), g.height(b)) * F.lit(0.35))).cast("int")
+    return g.pad(b, grow, grow)
+
+
 def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
     """Keep the largest reading of each printed code of an image.
 
@@ -30,7 +38,8 @@ def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFr
         return rows.groupBy("image_id", "value", "format", "box").agg(F.min("ord").alias("ord"))
 
     order = {"area": -g.area(F.col("box")), "ord": F.col("ord")}
-    return ordered_greedy(detections, "image_id", order, same_reading, prepare=collapse, limit=limit)
+    return ordered_greedy(detections, "image_id", order, same_reading, reach=reading_reach, within=["format"],
+                          prepare=collapse, limit=limit)
 
 
 def reading_order(df: DataFrame, box: str = "box") -> DataFrame:

@@ -5,10 +5,10 @@ conflicts with one kept before. Two plans give the same rows:
 
 * :func:`fold_groups` gathers a group in one array and folds over it. One
   shuffle, no Python; right for groups of tens to hundreds of rows.
-* :func:`peel_groups` never gathers a group. Each round takes the next rows of
-  every group (a top-k, cut before the shuffle), folds only those, and lets the
-  kept ones strike out conflicting rows wherever they lie. Right for a group
-  that holds a large share of all rows.
+* :func:`settle_groups` never gathers a group. Rows are placed in grid cells, and
+  each round keeps, in all cells at once, every row that no undecided row can rule
+  out, then strikes out what those rule out. Right for a group that holds a large
+  share of all rows.
 
 :func:`ordered_greedy` measures the group sizes and sends each group one way.
 """
@@ -24,10 +24,11 @@ from boxtally.session import cut_lineage
 
 #: rows of one group that may be gathered in one array
 GATHER_LIMIT = 512
-#: large groups whose kept rows may be broadcast (GATHER_LIMIT rows each)
-BROADCAST_GROUPS = 1_000
+#: rows of one grid cell that are compared with one another in a round
+HEAD = 32
 
 Conflict = Callable[[Column, Column], Column]
+Region = Callable[[Column], Column]
 
 
 def large_groups(frames: Sequence[DataFrame], key: str, limit: int = GATHER_LIMIT) -> DataFrame | None:
@@ -58,46 +59,76 @@ def fold_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Con
     return kept.select(key, F.inline(_keep(F.col("rows"), conflict)))
 
 
-def first_rows(df: DataFrame, key: str, names: list[str], n: int, spread: int = 64) -> DataFrame:
-    """First ``n`` rows of every group by the order columns ``names``.
+def _cells(region: Column, levels: list[int]) -> Column:
+    """Grid cells a region touches, at its own level and at every coarser level in use.
 
-    ``row_number() <= n`` is limited in each task before the shuffle. The first
-    of the two steps spreads a group over ``spread`` tasks, so the last one sees
-    at most ``n * spread`` rows of it, whatever the number of tasks before.
+    The cells of level ``l`` are ``2**l`` wide and the own level is the first that is as wide as the region, so
+    there are at most four of a level. Two regions that share a point share a cell of the coarser one's level.
     """
-    salt = F.pmod(F.xxhash64(*names), F.lit(spread))
-    for part in ([key, "_salt"], [key]):
-        w = Window.partitionBy(*part).orderBy(*names)
-        df = df.withColumn("_salt", salt).withColumn("_n", F.row_number().over(w)).filter(
-            F.col("_n") <= n).drop("_n", "_salt")
-    return df
+    side = F.greatest(region["x2"] - region["x1"], region["y2"] - region["y1"], F.lit(1))
 
+    def span(low: str, high: str, level: Column) -> Column:
+        wide = F.pow(F.lit(2.0), level)
+        return F.sequence(F.floor(region[low] / wide), F.floor(region[high] / wide))
 
-def peel_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict,
-                batch: int = GATHER_LIMIT) -> DataFrame:
-    """Decide ``batch`` rows of every group per round until no row is open."""
+    wanted = F.filter(F.array(*map(F.lit, levels)), lambda level: level >= F.ceil(F.log2(side)).cast("int"))
+    return F.flatten(F.transform(wanted, lambda level: F.flatten(F.transform(
+        span("x1", "x2", level), lambda x: F.transform(
+            span("y1", "y2", level), lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))))
+
+
+def settle_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Conflict, reach: Region,
+                  within: Sequence[str] = (), head: int = HEAD) -> DataFrame:
+    """Decide all rows of a group at once that nothing undecided rules out, until no row is open.
+
+    ``reach`` is the region of a row: rows conflict only if their regions share a point and their ``within``
+    columns are equal. So conflicts are looked for inside grid cells; a crowded photo is as many keys as it has
+    cells. In a round each cell shows its first ``head`` rows. A row that is shown in all its cells and conflicts
+    with no row before it there is certain to be kept; the kept rows then strike out what they conflict with, in
+    every row of their cells. A round decides wherever it can, so the number of rounds follows the longest chain
+    of rows that hang on one another (and how many kept rows fit in a cell), not the number of rows, and copies
+    of one reading fall in the round that keeps the first. No pairs of rows are written.
+    """
     columns = df.columns
     names = [f"_o{i}" for i in range(len(order))]
-    left = cut_lineage(df.withColumns(dict(zip(names, order.values()))))
-    done = None
+    cell, one = [key, *within, "_cell"], [key, "_id"]
+
+    def rules_out(a: Column, b: Column) -> Column:
+        return F.coalesce(conflict(a, b), F.lit(False))
+
+    # Ties go by the rows themselves; written once, the ids stay, also for equal rows.
+    placed = cut_lineage(df.select(
+        F.monotonically_increasing_id().alias("_id"), F.struct(*columns).alias("_row"), key, *within,
+        reach(F.struct(*columns)).alias("_reach"), *[c.alias(n) for n, c in zip(names, order.values())]))
+    side = F.greatest(F.col("_reach.x2") - F.col("_reach.x1"), F.col("_reach.y2") - F.col("_reach.y1"), F.lit(1))
+    levels = sorted(r[0] for r in placed.select(F.ceil(F.log2(side)).cast("int")).distinct().collect())
+
+    def by_cell(rows: DataFrame) -> DataFrame:
+        cells = _cells(F.col("_reach"), levels)
+        return rows.withColumn("_cells", cells).withColumns({"_cell": F.explode("_cells"), "_in": F.size("_cells")}).drop("_cells")
+
+    left = cut_lineage(by_cell(placed))
+    first = Window.partitionBy(*cell).orderBy(*names, "_row", "_id")
+    done = placed.limit(0)
     while not left.isEmpty():
-        head = cut_lineage(first_rows(left, key, names, batch))
-        kept = cut_lineage(fold_groups(head, key, {n: F.col(n) for n in names}, conflict))
-        done = kept if done is None else done.unionByName(kept)
-        last = head.groupBy(key).agg(F.max(F.struct(*names)).alias("_last"))
-        mask = kept.groupBy(key).agg(F.collect_list(
-            F.struct(*[c for c in kept.columns if c != key])).alias("_kept"))
-        mask = cut_lineage(mask.join(last, key))
-        if mask.count() <= BROADCAST_GROUPS:
-            mask = F.broadcast(mask)
-        row = F.struct(*[c for c in left.columns if c != key])
-        open_ = left.join(mask, key).filter(
-            (F.struct(*names) > F.col("_last")) & ~F.exists("_kept", lambda k: conflict(k, row)))
-        left = cut_lineage(open_.drop("_kept", "_last"))
-    return (left if done is None else done).select(*columns)
+        shown = left.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= head).groupBy(*cell).agg(
+            F.array_sort(F.collect_list(F.struct(*names, "_row", "_id", "_reach", "_in"))).alias("_shown"))
+        free = F.transform("_shown", lambda r, i: F.struct(r.alias("r"), (~F.exists(
+            F.slice("_shown", 1, i), lambda k: rules_out(k["_row"], r["_row"]))).alias("free")))
+        judged = shown.select(key, *within, F.inline(free)).select(key, *within, "r.*", "free")
+        kept = judged.groupBy(*one).agg(
+            F.bool_and("free").alias("free"), F.count(F.lit(1)).alias("seen"),
+            *[F.first(c).alias(c) for c in (*within, *names, "_row", "_reach", "_in")]).filter(F.col("free") & (F.col("seen") == F.col("_in")))
+        kept = cut_lineage(kept.select(*placed.columns))
+        done = done.unionByName(kept)
+        near = by_cell(kept).groupBy(*cell).agg(F.collect_list("_row").alias("_kept"))
+        struck = left.join(near, cell).filter(F.exists("_kept", lambda k: rules_out(k, F.col("_row")))).select(*one)
+        left = cut_lineage(left.join(struck.unionByName(kept.select(*one)), one, "left_anti"))
+    return done.select("_row.*")
 
 
 def ordered_greedy(rows: DataFrame, key: str, order: dict[str, Column], conflict: Conflict, *,
+                   reach: Region, within: Sequence[str] = (),
                    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
                    limit: int = GATHER_LIMIT) -> DataFrame:
     """Keep greedily among ``prepare(rows)``, each group by the plan that fits its size.
@@ -117,4 +148,4 @@ def ordered_greedy(rows: DataFrame, key: str, order: dict[str, Column], conflict
         return small(rows)
     crowded = prepare(rows.join(big, key, "left_semi"))
     return small(rows.join(big, key, "left_anti")).unionByName(
-        peel_groups(crowded, key, order, conflict, limit))
+        settle_groups(crowded, key, order, conflict, reach, within))

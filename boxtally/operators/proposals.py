@@ -24,7 +24,7 @@ def suppress_overlaps(scored: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame
 
 def _suppress(rows: DataFrame, prepare, limit: int = GATHER_LIMIT) -> DataFrame:
     order = {"score": -F.col("score"), "ord": F.col("proposal_id")}
-    return ordered_greedy(rows, "image_id", order, overlaps, prepare=prepare, limit=limit)
+    return ordered_greedy(rows, "image_id", order, overlaps, reach=lambda row: row["box"], prepare=prepare, limit=limit)
 
 
 def clear_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:

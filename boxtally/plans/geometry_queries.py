@@ -354,6 +354,29 @@ def dedup_detections(spark, d):
     return flat(dedup.dedup_detections(inputs.raw_detections(spark, d)))
 
 
+#: photos laid side by side on one sheet, and the pixels from one to the next
+SHEET, APART = 256, 4000
+
+
+def on_sheets(df: DataFrame) -> DataFrame:
+    """Lay photos out on sheets, so far apart that none meets another: crowded photos of known content."""
+    spot = F.col("image_id") % SHEET
+    x, y = (spot % 16).cast("int") * APART, F.floor(spot / 16).cast("int") * APART
+    return df.withColumns({"box": g.box(F.col("box.x1") + x, F.col("box.y1") + y, F.col("box.x2") + x, F.col("box.y2") + y),
+                           "image_id": F.floor(F.col("image_id") / SHEET).cast("long")})
+
+
+def sheet_sql(rows: str, columns: str) -> str:
+    moved = ", ".join(f"cast({c} + image_id % {SHEET} {'% 16' if c[0] == 'x' else '// 16'} * {APART} as int) as {c}"
+                      for c in ("x1", "y1", "x2", "y2"))
+    return f"select image_id // {SHEET} as image_id, {columns}, {moved} from {rows}"
+
+
+@query("G2", f"with {DEDUP} {sheet_sql('kept', 'ord, value, format')}", "raw_detections", recursive=True)
+def dedup_crowded(spark, d):
+    return flat(dedup.dedup_detections(on_sheets(inputs.raw_detections(spark, d))))
+
+
 @query("L6", "select image_id, det_index, y1, x1 from detection_boxes", "detection_boxes")
 def reading_order(spark, d):
     return flat(dedup.reading_order(inputs.detections(spark, d)).select("image_id", "det_index", "box")
@@ -382,6 +405,12 @@ def suppress_overlaps(spark, d):
     return flat(prop.clear_proposals(inputs.proposals(spark, d), inputs.images(spark, d)))
 
 
+@query("G3", f"with {SUPPRESSED} {sheet_sql('clear_boxes', 'proposal_id, score')}", "proposals", recursive=True)
+def suppress_crowded(spark, d):
+    scored = prop.score_proposals(inputs.proposals(spark, d), inputs.images(spark, d))
+    return flat(prop.suppress_overlaps(on_sheets(scored.select("image_id", "proposal_id", "score", "box"))))
+
+
 @query("L7", f"""with {SCORED}
 select image_id, proposal_id, score from scored
 qualify row_number() over (partition by image_id order by score desc, proposal_id) <= 2""", "proposals")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import definitions as ref
-from boxtally.operators import crops, dedup, matching, proposals
+from boxtally.operators import crops, dedup, greedy, matching, proposals
 from boxtally.operators.greedy import large_groups
+from boxtally.session import cut_lineage
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -45,6 +46,25 @@ def test_dedup_equals_definition(spark, limit):
     assert got == want
 
 
+def test_rounds_do_not_grow_with_rows(spark, monkeypatch):
+    """One photo, four times the rows on four times the area and ten copies of each: as many rounds."""
+    rounds = []
+    for n in (250, 1000):
+        rng, calls = random.Random(n), []
+        rows = []
+        for i in range(n):
+            x, y = rng.randrange(0, int(60 * n ** 0.5)), rng.randrange(0, int(60 * n ** 0.5))
+            rows += [(0, i * 10 + k, "v", "f", (x, y, x + rng.randrange(20, 60), y + rng.randrange(20, 60))) for k in range(10)]
+        df = spark.createDataFrame(rows, f"image_id int, ord int, value string, format string, box {BOX}")
+        monkeypatch.setattr(greedy, "cut_lineage", lambda d, calls=calls: calls.append(1) or cut_lineage(d))
+        got = {r.ord for r in dedup.dedup_detections(df, 512).collect()}
+        monkeypatch.undo()
+        want = ref.greedy([(o, v, f, b) for _, o, v, f, b in rows], lambda r: (-ref.box_area(r[3]), r[0]), ref.same_reading)
+        assert got == {r[0] for r in want}
+        rounds.append((len(calls) - 3) // 2)
+    assert rounds[1] <= rounds[0] + 2 < 12
+
+
 @pytest.mark.parametrize("limit", [6, 10_000])
 def test_suppression_equals_definition(spark, limit):
     rng = random.Random(2)
