@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxtally.operators import sessions
+from boxtally.plans import session_oracle
 from boxtally.plans.catalog import query
 from boxtally.plans.fixtures import DERIVED, EVENT_TIMES_SPARK, build
 from boxtally.plans.store_queries import _CANDIDATES, FLAT_CHAT, callback_bodies
@@ -29,12 +30,12 @@ def _flat_steps(steps):
         "missing_count", "image_count", F.array_join("added", ",").alias("added"), "message", "rejected", "expired_id")
 
 
-@query("T1 T2 T3 T4")
+@query("T1 T2 T3 T4", session_oracle.STEP_ROWS, "photo_events", recursive=True)
 def session_steps(spark, d):
     return _flat_steps(sessions.accumulate(shape_events(build(spark, d, "photo_events"))))
 
 
-@query("S5 T1 J7")
+@query("S5 T1 J7", session_oracle.TABLE_ROWS, "photo_events", recursive=True)
 def session_table(spark, d):
     return sessions.session_table(sessions.accumulate(shape_events(build(spark, d, "photo_events"))))
 
@@ -45,7 +46,7 @@ def streamed(spark, d, name: str):
     return spark.sql(DERIVED[name], event_times=times)
 
 
-@query("T1 T2 T3 T4")
+@query("T1 T2 T3 T4", session_oracle.STEP_ROWS, "photo_events", recursive=True)
 def session_stream(spark, d):
     steps = stream_steps(shape_events(streamed(spark, d, "photo_events")))
     return _flat_steps(sessions.with_messages(drain_to_table(steps, "sessions")))
