@@ -16,7 +16,6 @@ that session in ``expired_id``. Across a cut it is the session the part before l
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,11 +47,12 @@ def _insert(s: dict, value: str, image: int, label: int | None) -> bool:
     if label is not None and any(i[1] == image and i[2] == label for i in reversed(s["items"])):
         return False
     s["items"].append([value, image, label])
+    s["found"] += 1
     return True
 
 
 def _settle(s: dict, t: int) -> None:
-    done = s["expected"] > 0 and len(s["items"]) >= s["expected"]
+    done = s["expected"] > 0 and s["found"] >= s["expected"]
     s["status"] = "complete" if done else "active"
     s["last"] = t
 
@@ -72,7 +72,7 @@ def _photo(state: dict, e: dict, out: dict) -> None:
     fresh = s is None
     if fresh:
         s = {"id": f"{e['channel']}:{e['participant_id']}:{e['event_id']}", "status": "active",
-             "expected": 0, "items": [], "missing": [], "images": 0, "candidates": [], "last": e["t_us"]}
+             "expected": 0, "found": 0, "items": [], "missing": [], "images": 0, "candidates": [], "last": e["t_us"]}
         state["open"].append(s)
     image = s["images"]
     s["expected"] = max(s["expected"], e["visible"])
@@ -143,7 +143,7 @@ def _report(out: dict, s: dict | None, status: str | None = None) -> None:
         out.update(status=status, expected_count=0, found_count=0, missing_count=0, image_count=0)
         return
     out.update(session_id=s["id"], status=status or s["status"], expected_count=s["expected"],
-               found_count=len(s["items"]), missing_count=len(s["missing"]), image_count=s["images"],
+               found_count=s["found"], missing_count=len(s["missing"]), image_count=s["images"],
                missing_labels=list(s["missing"]))
 
 
@@ -179,15 +179,23 @@ def rows_to_frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
-def dump_state(state: dict) -> str:
-    """State as text. ``current`` may be one of the open sessions, so it is kept by id."""
-    at = next((i for i, s in enumerate(state["open"]) if s is state["current"]), -1)
-    return json.dumps({"open": state["open"], "at": at, "current": state["current"] if at < 0 else None})
+#: a session in stored state: numbers and lists of plain values
+SESSION = """status string, expected int, found int, images int, last long, missing array<int>,
+    item_values array<string>, item_images array<int>, item_labels array<int>,
+    candidate_values array<string>, candidate_images array<int>, candidate_labels array<int>"""
 
 
-def load_state(text: str) -> dict:
-    raw = json.loads(text)
-    return {"open": raw["open"], "current": raw["open"][raw["at"]] if raw["at"] >= 0 else raw["current"]}
+def pack_session(s: dict, items: bool = True) -> tuple:
+    """A session as one row of :data:`SESSION`; one that is not open any more needs no items."""
+    columns = [[i[k] for i in kept] for kept in (s["items"] if items else [], s["candidates"] if items else []) for k in range(3)]
+    return (s["status"], s["expected"], s["found"], s["images"], s["last"], s["missing"], *columns)
+
+
+def unpack_session(id_: str, row: tuple) -> dict:
+    status, expected, found, images, last, missing, *columns = row
+    items, candidates = ([list(i) for i in zip(*(list(c or []) for c in columns[k:k + 3]))] for k in (0, 3))
+    return {"id": id_, "status": status, "expected": expected, "found": found, "items": items, "missing": list(missing or []),
+            "images": images, "candidates": candidates, "last": last}
 
 
 def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

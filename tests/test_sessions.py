@@ -44,11 +44,21 @@ class Chat:
         state = sessions.new_state()
         out = []
         for row in self.rows:
-            state = sessions.load_state(sessions.dump_state(state))
             out.append(sessions.step(state, row))
+            state = restored(state)
         return out
 
 
+def restored(state):
+    """The state after it was written and read again."""
+    open_ = [sessions.unpack_session(s["id"], sessions.pack_session(s)) for s in state["open"]]
+    current = state["current"]
+    if current is not None:
+        current = next((s for s in open_ if s["id"] == current["id"]), None) or sessions.unpack_session(
+            current["id"], sessions.pack_session(current, items=False))
+    return {"open": open_, "current": current}
+
+
 def short(s):
     return s["status"], s["expected_count"], s["found_count"], s["missing_count"], s["image_count"]
 
