@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("metric_queries", "geometry_queries", "result_queries", "store_queries", "stream_queries")
+_MODULES = ("metric_queries", "geometry_queries", "result_queries", "store_queries", "log_queries",
+            "stream_queries")
 
 
 def load_registry():
