@@ -57,18 +57,23 @@ def pending_with_runs(annotations: DataFrame, runs: DataFrame, limit: int | None
         F.col("created_us").desc(), "run_id"), limit)
 
 
+def _reviewed_columns(stored: DataFrame, reviews: DataFrame) -> list[str]:
+    codes = ["expected_barcodes"] if "expected_barcodes" in stored.columns and "expected_barcodes" in reviews.columns else []
+    return ["reviewed_us", "reviewed_by", "expected_outcome", *codes]
+
+
 def apply_review(queue: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First review of an unreviewed candidate counts; also says which did.
 
-    ``reviews``: ``id, reviewed_us, reviewed_by, expected_outcome``.
+    ``reviews``: ``id, reviewed_us, reviewed_by, expected_outcome`` and the codes the reviewer reads on the photo,
+    ``expected_barcodes`` (left as they are if either side has no such column).
     """
     first = first_per_key(reviews, ["id"], ["reviewed_us", "reviewed_by"])
-    new = first.select("id", *[F.col(c).alias(f"n_{c}") for c in (
-        "reviewed_us", "reviewed_by", "expected_outcome")])
+    written = _reviewed_columns(queue, reviews)
+    new = first.select("id", *[F.col(c).alias(f"n_{c}") for c in written])
     joined = queue.join(new, "id", "left")
     open_ = F.col("reviewed_us").isNull() & F.col("n_reviewed_us").isNotNull()
-    put = {c: F.when(open_, F.col(f"n_{c}")).otherwise(F.col(c))
-           for c in ("reviewed_by", "expected_outcome", "reviewed_us")}
+    put = {c: F.when(open_, F.col(f"n_{c}")).otherwise(F.col(c)) for c in written}
     updated = joined.withColumns(put).select(*queue.columns)
     free = queue.filter(F.col("reviewed_us").isNull()).select("id", F.lit(True).alias("_free"))
     judged = reviews.join(free, "id", "left").join(
@@ -80,12 +85,11 @@ def apply_review(queue: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataF
 def apply_review_overwrite(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
     """The other review path: no guard, the latest review of a run wins."""
     last = first_per_key(reviews, ["run_id"], [F.col("reviewed_us").desc(), "reviewed_by"])
-    new = last.select("run_id", *[F.col(c).alias(f"n_{c}") for c in (
-        "reviewed_us", "reviewed_by", "expected_outcome")])
+    written = _reviewed_columns(annotations, reviews)
+    new = last.select("run_id", *[F.col(c).alias(f"n_{c}") for c in written])
     joined = annotations.join(new, "run_id", "left")
     hit = F.col("n_reviewed_us").isNotNull()
-    put = {c: F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c))
-           for c in ("reviewed_us", "reviewed_by", "expected_outcome")}
+    put = {c: F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)) for c in written}
     put["status"] = F.when(hit, "reviewed").otherwise(F.col("status"))
     return joined.withColumns(put).select(*annotations.columns)
 
@@ -114,21 +118,50 @@ def _suffix(path: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(".jpg"))
 
 
+def export_ready(queue: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Reviewed, unexported candidates whose image exists, and the image name of their entry."""
+    ready = queue.filter(F.col("reviewed_us").isNotNull() & ~F.col("added_to_dataset"))
+    return with_existing_image(ready, inventory).select("id", "run_id", F.concat(
+        F.lit("annotation_"), "run_id", _suffix(F.col("image_ref"))).alias("image"))
+
+
 def export_entries(queue: DataFrame, expected: DataFrame, inventory: DataFrame) -> DataFrame:
     """New ground-truth boxes of reviewed candidates, one row per expected code.
 
     ``expected``: ``run_id, box_no, value, format``. A reviewed candidate
     without codes gives one row with a null box, so its image is kept.
     """
-    ready = queue.filter(F.col("reviewed_us").isNotNull() & ~F.col("added_to_dataset"))
-    kept = with_existing_image(ready, inventory).select("id", "run_id", F.concat(
-        F.lit("annotation_"), "run_id", _suffix(F.col("image_ref"))).alias("image"))
+    kept = export_ready(queue, inventory)
     boxes = expected.select("run_id", "box_no", F.coalesce("value", F.lit("")).alias("value"),
                             F.coalesce("format", F.lit(DEFAULT_FORMAT)).alias("format"),
                             F.lit("decoded").alias("box_status"))
     return kept.join(boxes, "run_id", "left")
 
 
+def reviewed_codes(queue: DataFrame) -> DataFrame:
+    """``run_id, box_no, value, format``: the codes that reviewers wrote on candidates, one row each."""
+    return queue.select("run_id", F.posexplode("expected_barcodes").alias("box_no", "code")).select(
+        "run_id", (F.col("box_no") + 1).alias("box_no"), "code.value", "code.format")
+
+
+def image_entries(entries: DataFrame) -> DataFrame:
+    """Ground-truth images of :func:`export_entries`, with their counts."""
+    return entries.groupBy("image", "run_id").agg(
+        F.count("box_status").cast("int").alias("expected_barcode_symbol_count"),
+        F.count_if(F.col("box_status") == "decoded").cast("int").alias("expected_decoded_count")).select(
+        "image", F.lit("annotation").alias("source"), F.col("run_id").alias("annotation_run_id"),
+        "expected_barcode_symbol_count", "expected_decoded_count")
+
+
+def images_summary(images: DataFrame) -> DataFrame:
+    """Images, symbols and decoded symbols of a ground-truth image table, old and new entries alike."""
+    zero = F.lit(0).cast("long")
+    return images.agg(
+        F.count(F.lit(1)).alias("image_count"),
+        F.coalesce(F.sum("expected_barcode_symbol_count"), zero).alias("expected_barcode_symbol_count"),
+        F.coalesce(F.sum("expected_decoded_count"), zero).alias("expected_decoded_count"))
+
+
 def dataset_summary(boxes: DataFrame) -> DataFrame:
     """Images, symbols and decoded symbols of a ground-truth box table.
 

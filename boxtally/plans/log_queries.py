@@ -8,7 +8,8 @@ from boxtally.operators import review, tables
 from boxtally.plans.catalog import query
 from boxtally.plans.fixtures import build
 from boxtally.plans.store_queries import _COMPLETED_SQL, _FIRST_REVIEW
-from boxtally.session import scratch_path
+from boxtally.session import cut_lineage, scratch_path
+from boxtally.sources import export
 from boxtally.sources.change_log import LoggedTable
 
 
@@ -63,6 +64,103 @@ def logged_queue(spark, d):
     return table.read().select("id", F.coalesce("reviewed_us", F.lit(-1)).alias("reviewed_us"), "reviewed_by", "added_to_dataset")
 
 
+# --- reviewed codes and their export -----------------------------------------
+
+_CODED = """
+codes as (select run_id, count(*) as n,
+  string_agg(concat(coalesce(value, '?'), ':', coalesce(format, '?')), ',' order by box_no, value nulls first, format nulls first) as text from expected_codes group by 1)"""
+
+
+def _coded_reviews(spark, d):
+    """Reviews with the codes the reviewer read; a photo's codes are one small list."""
+    codes = build(spark, d, "expected_codes").groupBy("run_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("box_no", "value", "format"))),
+        lambda b: F.struct(b["value"].alias("value"), b["format"].alias("format"))).alias("expected_barcodes"))
+    return build(spark, d, "reviews").join(codes, "run_id", "left")
+
+
+def _uncoded(df):
+    return df.withColumn("expected_barcodes", F.lit(None).cast("array<struct<value:string,format:string>>"))
+
+
+def _codes_text(df):
+    text = F.transform("expected_barcodes", lambda b: F.concat(
+        F.coalesce(b["value"], F.lit("?")), F.lit(":"), F.coalesce(b["format"], F.lit("?"))))
+    return df.withColumn("expected_barcodes", F.array_join(text, ","))
+
+
+@query("K6", f"""with {_FIRST_REVIEW}, {_CODED}
+select q.id, coalesce(q.reviewed_us, f.reviewed_us, -1) as reviewed_us, case when q.reviewed_us is null then c.text end as expected_barcodes
+from queue q left join first_review f using (id) left join codes c on c.run_id = f.run_id""", "queue reviews expected_codes")
+def apply_review_codes(spark, d):
+    after = review.apply_review(_uncoded(build(spark, d, "queue")), _coded_reviews(spark, d))[0]
+    return _codes_text(after).select("id", F.coalesce("reviewed_us", F.lit(-1)).alias("reviewed_us"), "expected_barcodes")
+
+
+@query("K6b", f"""
+with last_review as (select * from reviews qualify row_number() over (partition by run_id order by reviewed_us desc, reviewed_by) = 1),
+{_CODED}
+select q.run_id, coalesce(l.reviewed_by, q.reviewed_by) as reviewed_by, c.text as expected_barcodes
+from queue q left join last_review l using (run_id) left join codes c on c.run_id = l.run_id""", "queue reviews expected_codes")
+def overwrite_review_codes(spark, d):
+    stored = _uncoded(build(spark, d, "queue")).withColumn("status", F.lit("pending"))
+    return _codes_text(review.apply_review_overwrite(stored, _coded_reviews(spark, d))).select("run_id", "reviewed_by", "expected_barcodes")
+
+
+_STORE = """
+reviewed as (select q.*, f.id is not null as late from queue q left join (select distinct id from reviews) f using (id)),
+ready as (select id, run_id from reviewed where (reviewed_us is not null or late) and not added_to_dataset
+  and image_ref in (select path from inventory)),
+images as (
+  select concat('photo', image_id, '.jpg') as image, 'manual' as source, cast(null as varchar) as annotation_run_id,
+    cast(count(*) as int) as expected_barcode_symbol_count, cast(count(*) filter (state = 'decoded') as int) as expected_decoded_count
+  from expected_symbols group by image_id
+  union all
+  select concat('annotation_', r.run_id, '.jpg'), 'annotation', r.run_id, cast(count(e.run_id) as int), cast(count(e.run_id) as int)
+  from ready r left join (select c.* from expected_codes c join reviews v on v.run_id = c.run_id and v.reviewed_by = 'late0'
+    join queue q on q.run_id = c.run_id where q.reviewed_us is null) e using (run_id) group by r.run_id)"""
+
+
+def _export_store(spark, d):
+    """A store with older images and a queue whose late reviews bring codes."""
+    old = build(spark, d, "expected_symbols").groupBy("image_id").agg(
+        F.count(F.lit(1)).cast("int").alias("expected_barcode_symbol_count"),
+        F.count_if(F.col("state") == "decoded").cast("int").alias("expected_decoded_count")).select(
+        F.concat(F.lit("photo"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("image"), F.lit("manual").alias("source"),
+        F.lit(None).cast("string").alias("annotation_run_id"), "expected_barcode_symbol_count", "expected_decoded_count")
+    store = export.GroundTruthStore(_stored(spark, old, "truth-images", ["image"]),
+                                    LoggedTable(spark, scratch_path(spark, "truth-boxes"), export.BOXES, ["image", "box_no"]))
+    queue = _stored(spark, _uncoded(build(spark, d, "queue")), "export-queue", ["id"])
+    reviews = _coded_reviews(spark, d)
+    queue.update(reviews, lambda rows: review.apply_review(rows, reviews)[0])
+    return store, queue, build(spark, d, "inventory")
+
+
+def _interrupted_export(spark, d):
+    """An export that stops before it marks, and is run again."""
+    store, queue, inventory = _export_store(spark, d)
+    store.publish(cut_lineage(review.export_entries(queue.read(), review.reviewed_codes(queue.read()), inventory)))
+    summary = store.export(queue, review.reviewed_codes(queue.read()), inventory)
+    return store, queue, summary
+
+
+@query("K7 K8 J8", f"with {_STORE} select * from images", "queue reviews expected_codes inventory expected_symbols")
+def export_dataset(spark, d):
+    return _interrupted_export(spark, d)[0].images.read()
+
+
+@query("K8 A14", f"""with {_STORE}
+select count(*) as image_count, sum(expected_barcode_symbol_count)::bigint as expected_barcode_symbol_count,
+  sum(expected_decoded_count)::bigint as expected_decoded_count,
+  (select count(*) from reviewed where added_to_dataset) + (select count(*) from ready) as exported,
+  (select count(*) from reviewed where (reviewed_us is not null or late) and not added_to_dataset) - (select count(*) from ready) as waiting
+from images""", "queue reviews expected_codes inventory expected_symbols")
+def export_summary(spark, d):
+    _, queue, summary = _interrupted_export(spark, d)
+    stats = review.queue_stats(queue.read()).select("exported", F.col("reviewed").alias("waiting"))
+    return summary.join(F.broadcast(stats))
+
+
 @query("K5 K11 K12 T3", """
 with patched as (
   select id, k, case when k % 3 = 0 and k % 2 = 0 then 'complete' else status end as status from (
