@@ -5,10 +5,10 @@ Every document gets COORDINATES minima over its set of shingles. A token is a pa
 MATCHES coordinates are candidates. By the prefix rule two such documents share a token
 among the PREFIX = COORDINATES - MATCHES + 1 rarest of each, so only these short lists
 are merged; the long lists of frequent values are skipped and probed, for the pairs
-found, by comparing the stored signatures. Before pairs are made, a class is asked how many of its shingles
-stand in any other posted class: two sets cannot share more, which rules most pairs out. At a similarity of 0.8 a pair agrees
+found, by comparing the stored signatures. At a similarity of 0.8 a pair agrees
 in fewer than MATCHES coordinates with a chance of about 8 in a hundred million. Candidates are
-confirmed on the full shingle sets.
+confirmed on the full shingle sets (of 64-bit hashes of shingles), which are made again from the texts of the
+documents in candidate pairs, and of no other.
 
 Documents with equal sets are one class before any posting, so groups of exact copies
 never make pairs. Lists of near copies would still hold the square of their length. So of a long
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.llm.common import ascii_lower
+from boxtally.llm.common import ascii_lower, broadcast_if_small
 from boxtally.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -44,6 +44,8 @@ MATCHES = 33
 SHORT_LIST = 8
 #: Heads of longer lists that a class faces at first; all other pairs are left to the deltas, so no link depends on it.
 HEADS = 3
+#: Ids of documents (8 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 _BREAKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -148,7 +150,10 @@ def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """``token, id, n`` of the rarest tokens of each class, without tokens of one class only."""
+    """``token, id, n, alone`` of the rarest tokens of each class, without tokens of one class only.
+
+    ``alone`` counts the tokens that no other class has.
+    """
     tokens = classes.select("id", "n", F.posexplode("signature").alias("i", "v")).select(
         "id", "n", (F.shiftleft(F.col("i").cast("long"), 32) + (F.col("v").cast("long") + 2**31)).alias("token"))
     listed = tokens.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
@@ -157,23 +162,19 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
     packed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("listed", "token"))).alias("t"))
     alone = F.lit(COORDINATES) - F.size("t")
     take = F.slice("t", F.lit(1), F.greatest(F.lit(prefix) - alone, F.lit(0)))
-    return packed.where(alone < prefix).select("id", "n", F.explode(take).alias("x")).select("x.token", "id", "n")
+    return packed.where(alone < prefix).select("id", "n", alone.alias("alone"), F.explode(take).alias("x")).select(
+        "x.token", "id", "n", "alone")
 
 
-def _within_reach(a: Column, b: Column, shared: Column, percent: int) -> Column:
-    """Whether sets of ``a`` and ``b`` shingles that share at most ``shared`` can be similar enough."""
-    most = F.least(a, b, shared)
-    return most * 100 >= (a + b - most) * percent
+def _within_reach(a: str, b: str, percent: int) -> Column:
+    """Whether sets of so many shingles can be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _shared_counts(sets: DataFrame) -> DataFrame:
-    """``id, shared``: how many shingles of a class stand in another posted class as well.
-
-    No pair can share more. Classes whose shingles are mostly their own drop out before any pair is made.
-    """
-    each = sets.select("id", F.explode("hashes").alias("h"))
-    known = each.groupBy("h").agg(F.count("*").alias("in")).where(F.col("in") > 1).select("h")
-    return each.join(known, "h").groupBy("id").agg(F.count("*").alias("shared"))
+def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of some documents; their texts are not shuffled unless the ids are too many to broadcast."""
+    wanted = cut_lineage(ids.distinct())
+    return cut_lineage(shingle_sets(texts.join(broadcast_if_small(wanted, BROADCAST_IDS), "id", "left_semi"), words))
 
 
 def _agree(a: str, b: str) -> Column:
@@ -182,21 +183,22 @@ def _agree(a: str, b: str) -> Column:
     return same >= MATCHES
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b): enough coordinates agree, and the full sets are similar enough."""
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that agree in enough coordinates."""
     def sig(c):
         return classes.select(F.col("id").alias(c), F.col("signature").alias(f"sig_{c}"))
 
-    agreeing = (pairs.join(sig("a"), "a").join(sig("b"), "b")
-                .where(_agree("sig_a", "sig_b")).select("a", "b"))
-    agreeing = cut_lineage(agreeing)
+    return cut_lineage(pairs.join(sig("a"), "a").join(sig("b"), "b").where(_agree("sig_a", "sig_b")).select("a", "b"))
 
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are similar enough."""
     def full(c):
         return sets.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"))
 
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return (agreeing.join(full("a"), "a").join(full("b"), "b")
+    return (pairs.join(full("a"), "a").join(full("b"), "b")
             .where(shared * 100 >= union * percent).select("a", "b"))
 
 
@@ -239,28 +241,22 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     # Different sets of fewer shingles cannot be similar enough.
     able = classes.where(F.col("n") * (100 - percent) >= percent)
     posts = cut_lineage(_postings(able, COORDINATES - MATCHES + 1))
-    ids = posts.select("id").distinct()
-    sets = cut_lineage(shingle_sets(texts.join(ids, "id", "left_semi"), words))
-    # A partner may be smaller, down to what is shared.
-    posts = cut_lineage(posts.join(_shared_counts(sets), "id").where(F.col("shared") * 100 >= F.col("n") * percent))
     lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
     posts = cut_lineage(posts.join(lists, "token"))
     short = posts.where(F.col("len") <= SHORT_LIST)
     long_ = posts.where(F.col("len") > SHORT_LIST)
-
-    def possible(n1: str, s1: str, n2: str, s2: str) -> Column:
-        return _within_reach(F.col(n1), F.col(n2), F.least(s1, s2), percent)
-
-    here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & possible("na", "sa", "nb", "sb")).select("a", "b")
-    # The head of a list is the member with the fewest shingles of its own. A class faces the HEADS best of its lists.
-    heads = long_.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "id", "n", "shared")).alias("h"))
-    facing = (long_.join(heads, "token").where((F.col("id") != F.col("h.id")) & possible("n", "shared", "h.n", "h.shared"))
+    here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"))
+    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & _within_reach("na", "nb", percent)).select("a", "b")
+    # The head of a list is the member with the fewest tokens of its own. A class faces the HEADS best of its lists.
+    heads = long_.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("h"))
+    facing = (long_.join(heads, "token").where((F.col("id") != F.col("h.id")) & _within_reach("n", "h.n", percent))
               .groupBy("id").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HEADS).alias("hs"))
               .select("id", F.explode("hs.id").alias("h"))
               .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
-    links = known.unionByName(cut_lineage(_confirmed(facing.unionByName(pairs).distinct(), classes, sets, percent)))
+    agreeing = _agreeing(facing.unionByName(pairs).distinct(), classes)
+    ids = agreeing.select(F.col("a").alias("id")).unionByName(agreeing.select(F.col("b").alias("id")))
+    links = known.unionByName(cut_lineage(_confirmed(agreeing, _sets_of(texts, ids, words), percent)))
     comp = components(links)
     # A list is finished when all of it is connected.
     active = (long_.join(comp.withColumnRenamed("component", "comp"), "id", "left")
@@ -269,8 +265,9 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
                                     .where("lo <> hi").select("token"), "token"))
     if not open_.take(1):
         return comp
+    sets = _sets_of(texts, open_.select("id"), words)
     sure, rest = _rest_of_lists(open_, sets, percent)
-    more = cut_lineage(_confirmed(rest, classes, sets, percent))
+    more = cut_lineage(_confirmed(_agreeing(rest, classes), sets, percent))
     return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
                       .unionByName(sure).unionByName(more))
 
