@@ -43,7 +43,8 @@ def large_groups(frames: Sequence[DataFrame], key: str, limit: int = GATHER_LIMI
     return None if big.isEmpty() else cut_lineage(big)
 
 
-def _keep(rows: Column, conflict: Conflict) -> Column:
+def keep_greedily(rows: Column, conflict: Conflict) -> Column:
+    """Of an ordered array the rows that conflict with none kept before them."""
     none = F.slice(rows, 1, 0)
     return F.aggregate(rows, none, lambda kept, row: F.when(
         F.exists(kept, lambda k: conflict(k, row)), kept).otherwise(F.array_append(kept, row)))
@@ -56,7 +57,7 @@ def fold_groups(df: DataFrame, key: str, order: dict[str, Column], conflict: Con
     packed = df.select(key, F.struct(*ordered, F.struct(*columns).alias("row")).alias("r"))
     kept = packed.groupBy(key).agg(F.transform(
         F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("rows"))
-    return kept.select(key, F.inline(_keep(F.col("rows"), conflict)))
+    return kept.select(key, F.inline(keep_greedily(F.col("rows"), conflict)))
 
 
 def _cells(region: Column, levels: list[int]) -> Column:

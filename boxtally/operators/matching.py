@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
 from boxtally.functions.text import is_primary_code
+from boxtally.operators import photos
 from boxtally.operators.greedy import GATHER_LIMIT, fold_groups, large_groups
+from boxtally.operators.photos import SECOND_SCAN
 from boxtally.session import cut_lineage
 
 #: grid cell in pixels; a label region covers one to four of them
@@ -24,9 +26,6 @@ CELL = 512
 PAIR = ["image_id", "distance", "label_index", "det_index", "basis", "value"]
 _ORDER = ["distance", "label_index", "det_index", "basis"]
 
-#: readings of a second scan come after those of the first
-SECOND_SCAN = 1 << 62
-
 
 def label_targets(labels: DataFrame, images: DataFrame) -> DataFrame:
     """Region in which a reading counts for a label, and its centre."""
@@ -142,12 +141,10 @@ def match_pairs(pairs_of: Callable[..., DataFrame], left: DataFrame, right: Data
     return small(part(left, "left_anti"), part(right, "left_anti")).unionByName(_assign_by_rounds(crowded))
 
 
-def crowded_images(*frames: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame | None:
-    """Images with more rows over all frames than one array should hold.
-
-    Counts labels and readings, not pairs, so the range join runs once.
-    """
-    return large_groups(frames, "image_id", limit)
+def crowded_images(labels: DataFrame, *scans: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame | None:
+    """Photos with more rows, or more possible pairs, than one array should hold; None if there are none."""
+    big = photos.crowded_photos(labels, *scans, limit=limit)
+    return None if big.isEmpty() else cut_lineage(big)
 
 
 def match_labels(labels: DataFrame, detections: DataFrame, images: DataFrame,
@@ -169,23 +166,56 @@ def unassigned_detections(detections: DataFrame, matches: DataFrame) -> DataFram
     return detections.join(matches.select("image_id", "det_index"), ["image_id", "det_index"], "left_anti")
 
 
-def match_counts(images: DataFrame, labels: DataFrame, matches: DataFrame) -> DataFrame:
-    """Visible and matched labels of every image, also of those without labels."""
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
+def photo_counts(labels: DataFrame, detections: DataFrame, images: DataFrame, recovery: DataFrame | None = None,
+                 limit: int = GATHER_LIMIT) -> DataFrame:
+    """``image_id, visible, readings, matched, labels_tried, barcodes_found, labels_resolved`` of each photo with rows.
+
+    ``labels_tried`` is the number of labels the first choice left over, for which ``recovery`` is the rescan; its
+    readings count only where there were any. Small photos need one shuffle and no written table.
+    """
+    frames = [detections] + ([] if recovery is None else [recovery])
+    large = crowded_images(labels, *frames, limit=limit)
+
+    def small(*rows: DataFrame) -> DataFrame:
+        found = photos.matched(photos.gather(rows[0], images, *rows[1:]))
+        return found.select("image_id", F.col("seen").alias("visible"), (F.col("read") + F.col("found")).alias("readings"),
+                            F.size("final").cast("long").alias("matched"), F.col("tried").alias("labels_tried"),
+                            F.col("found").alias("barcodes_found"),
+                            (F.size("final") - F.size("first")).cast("long").alias("labels_resolved"))
+
+    if large is None:
+        return small(labels, *frames)
+    few = [df.join(large, "image_id", "left_anti") for df in (labels, *frames)]
+    many = [df.join(large, "image_id", "left_semi") for df in (labels, *frames)]
+    if recovery is None:
+        readings, final = many[1], _match(many[0], many[1], images, large)
+        tried = unmatched_labels(many[0], final).groupBy("image_id").agg(F.count(F.lit(1)).alias("labels_tried"))
+        counters = tried.withColumns({c: F.lit(0).cast("long") for c in ("barcodes_found", "labels_resolved")})
+    else:
+        readings, final, counters = _recover_crowded(*many, images, large)
+    zero = F.lit(0).cast("long")
+    counted = large
+    for rows, name in ((many[0], "visible"), (readings, "readings"), (final, "matched")):
+        counted = counted.join(rows.groupBy("image_id").agg(F.count(F.lit(1)).alias(name)), "image_id", "left")
+    counted = counted.join(counters, "image_id", "left")
+    return small(*few).unionByName(counted.select("image_id", *[F.coalesce(c, zero).alias(c) for c in counted.columns[1:]]))
+
 
+def _with_visible(images: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts of every image, also of those without labels or readings."""
     zero = F.lit(0).cast("long")
-    counted = images.select("image_id").join(count(labels, "v"), "image_id", "left").join(
-        count(matches, "m"), "image_id", "left")
-    return counted.select(
-        "image_id", F.coalesce("v", zero).alias("visible_label_count"),
-        F.coalesce("m", zero).alias("matched_label_count")).withColumn(
-        "all_labels_matched", F.col("matched_label_count") == F.col("visible_label_count"))
+    return images.select("image_id").join(counts, "image_id", "left").select(
+        "image_id", F.coalesce("visible", zero).alias("visible_label_count"),
+        F.coalesce("matched", zero).alias("matched_label_count"),
+        (F.coalesce("visible", zero) == F.coalesce("matched", zero)).alias("all_labels_matched"),
+        (F.coalesce("labels_tried", zero) > 0).alias("recovery_attempted"),
+        *[F.coalesce(c, zero).alias(c) for c in ("labels_tried", "barcodes_found", "labels_resolved")])
 
 
 def reconcile(labels: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:
     """Per image: visible labels, matched labels, whether all are matched."""
-    return match_counts(images, labels, match_labels(labels, detections, images))
+    return _with_visible(images, photo_counts(labels, detections, images)).select(
+        "image_id", "visible_label_count", "matched_label_count", "all_labels_matched")
 
 
 def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
@@ -194,9 +224,32 @@ def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
 
     Returns the detections that took part, the final matches and per image the
     recovery counters. Readings of the rescan are appended without
-    de-duplication; images without unmatched labels keep their first result.
+    de-duplication; images without unmatched labels keep their first result. The rows of small photos are
+    written once, as the three results share them.
     """
     large = crowded_images(labels, detections, recovery, limit=limit)
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df if large is None else df.join(large, "image_id", how)
+
+    few = [part(df, "left_anti") for df in (labels, detections, recovery)]
+    found = cut_lineage(photos.matched(photos.gather(few[0], images, *few[1:])))
+    final = found.select("image_id", F.inline("final")).select(*PAIR)
+    counters = found.where("tried > 0").select(
+        "image_id", F.col("tried").alias("labels_tried"), F.col("found").alias("barcodes_found"),
+        (F.size("final") - F.size("first")).cast("long").alias("labels_resolved"))
+    rescanned = few[2].join(counters.select("image_id"), "image_id", "left_semi").withColumn(
+        "det_index", F.col("det_index") + F.lit(SECOND_SCAN))
+    readings = few[1].unionByName(rescanned.select(*detections.columns))
+    if large is None:
+        return readings, final, counters
+    more = _recover_crowded(*[part(df, "left_semi") for df in (labels, detections, recovery)], images, large)
+    return tuple(a.unionByName(b.select(*a.columns)) for a, b in zip((readings, final, counters), more))
+
+
+def _recover_crowded(labels: DataFrame, detections: DataFrame, recovery: DataFrame, images: DataFrame,
+                     large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for crowded photos, pass by pass over written tables."""
     first = cut_lineage(_match(labels, detections, images, large))
     open_labels = unmatched_labels(labels, first)
     tried = cut_lineage(open_labels.groupBy("image_id").agg(F.count(F.lit(1)).alias("labels_tried")))
@@ -224,12 +277,7 @@ def with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
 def reconcile_with_recovery(labels: DataFrame, detections: DataFrame, recovery: DataFrame,
                             images: DataFrame) -> DataFrame:
     """:func:`reconcile` after one recovery pass, with its counters."""
-    _, final, counters = with_recovery(labels, detections, recovery, images)
-    zero = F.lit(0).cast("long")
-    return match_counts(images, labels, final).join(counters, "image_id", "left").select(
-        "image_id", "visible_label_count", "matched_label_count", "all_labels_matched",
-        F.col("labels_tried").isNotNull().alias("recovery_attempted"),
-        *[F.coalesce(c, zero).alias(c) for c in ("labels_tried", "barcodes_found", "labels_resolved")])
+    return _with_visible(images, photo_counts(labels, detections, images, recovery))
 
 
 def match_conflicts(matches: DataFrame) -> DataFrame:

@@ -61,16 +61,26 @@ def assemble_items(labels: DataFrame, detections: DataFrame, matches: DataFrame)
 
 
 def result_summary(images: DataFrame, items: DataFrame, recovery: DataFrame | None = None) -> DataFrame:
-    """Counts, outcome and status of every photo, from item counts."""
+    """Counts, outcome and status of every photo, from its items."""
     kinds = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("found", "missing", "unassigned")]
     counted = items.groupBy("image_id").agg(*kinds)
-    joined = images.join(counted, "image_id", "left")
-    zero = F.lit(0).cast("long")
     if recovery is not None:
-        joined = joined.join(recovery, "image_id", "left")
-    else:
-        joined = joined.withColumns({c: F.lit(None).cast("long") for c in
-                                     ("labels_tried", "barcodes_found", "labels_resolved")})
+        return _summary(images.join(counted, "image_id", "left").join(recovery, "image_id", "left"))
+    return _summary(images.join(counted, "image_id", "left").withColumns(
+        {c: F.lit(None).cast("long") for c in ("labels_tried", "barcodes_found", "labels_resolved")}))
+
+
+def result_summary_of_counts(images: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from :func:`matching.photo_counts`: no items are made to count them."""
+    tried = F.col("labels_tried") > 0
+    return _summary(images.join(counts.select(
+        "image_id", F.col("matched").alias("found_count"), (F.col("visible") - F.col("matched")).alias("missing_count"),
+        (F.col("readings") - F.col("matched")).alias("unassigned_count"),
+        *[F.when(tried, F.col(c)).alias(c) for c in ("labels_tried", "barcodes_found", "labels_resolved")]), "image_id", "left"))
+
+
+def _summary(joined: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
     counts = {c: F.coalesce(c, zero) for c in (
         "found_count", "missing_count", "unassigned_count", "barcodes_found", "labels_resolved")}
     counts["recovery_attempted"] = F.col("labels_tried").isNotNull()

@@ -30,18 +30,11 @@ def _items(spark, d):
 
 
 def _photo(spark, d):
-    """Summary of every photo after recovery.
-
-    Labels and readings are derived here and used in both passes, so they are
-    written once; stored tables would be read as they are.
-    """
+    """Summary of every photo after recovery."""
     images = inputs.images(spark, d)
-    labels, dets = map(cut_lineage, results.usable_inputs(
-        inputs.labels(spark, d), inputs.detections(spark, d), images))
-    all_dets, final, counters = matching.with_recovery(
-        labels, dets, inputs.recovery_detections(spark, d), images)
-    items = results.assemble_items(labels, all_dets, final)
-    return results.result_summary(images, items, counters)
+    labels, dets = results.usable_inputs(inputs.labels(spark, d), inputs.detections(spark, d), images)
+    return results.result_summary_of_counts(images, matching.photo_counts(
+        labels, dets, images, inputs.recovery_detections(spark, d)))
 
 
 def items_cte(matches: str, dets: str) -> str:

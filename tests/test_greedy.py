@@ -149,6 +149,26 @@ def test_recovery_appends_and_matches_again(spark, limit):
     assert all_dets.count() == len(dets) + len([r for r in rescans if r[0] in open_images])
 
 
+@pytest.mark.parametrize("recovered", [True, False])
+def test_photo_counts_by_both_ways(spark, recovered):
+    l, d, i, labels, dets = random_photo(spark, 7)
+    extra = spark.createDataFrame([(a, li, f"r{li}", "Code128", (b or t)) for a, li, t, b, _ in labels if li % 2],
+                                  f"image_id int, det_index int, value string, format string, box {BOX}") if recovered else None
+    counts = {tuple(r) for r in matching.photo_counts(l, d, i, extra, 10_000).collect()}
+    assert {tuple(r) for r in matching.photo_counts(l, d, i, extra, 10).collect()} == counts
+    final = matching.with_recovery(l, d, extra, i, 10)[1] if recovered else matching.match_labels(l, d, i)
+    assert {r.image_id: r["count"] for r in final.groupBy("image_id").count().collect()} == {r[0]: r[3] for r in counts if r[3]}
+    assert sum(r[1] for r in counts) == len(labels)
+    # labels, both scans and sizes together by one shuffle
+    assert exchanges(spark, lambda: matching.photo_counts(l, d, i, extra, 10_000)) == 1
+
+
+def test_photos_with_many_pairs_are_crowded(spark):
+    l = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 1)], "image_id int, label_index int")
+    d = spark.createDataFrame([(1, k) for k in range(200)] + [(2, k) for k in range(300)], "image_id int, det_index int")
+    assert [r.image_id for r in matching.crowded_images(l, d).collect()] == [1]
+
+
 def test_no_fallback_to_the_label_box(spark):
     labels = spark.createDataFrame([(1, 1, (0, 0, 500, 500), (0, 0, 50, 50), "clear")],
                                    f"image_id int, label_index int, label_box {BOX}, barcode_box {BOX}, status string")
