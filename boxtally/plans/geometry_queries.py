@@ -478,6 +478,45 @@ def fold_decode_attempts(spark, d):
     return crops.fold_decode_attempts(build(spark, d, "decode_attempts"))
 
 
-@query("G7")
+def _axis_sql(name: str, c: str, k: int) -> str:
+    """k-means of one axis, a row per round; the state stops changing once it has settled or failed."""
+    return f"""
+{name}_start as (
+  select image_id, list_sort(list_transform(points, lambda p: p.{c})) as vs from gap_points),
+{name}_walk as (
+  select image_id, vs, 0 as round, [{", ".join(f"vs[1 + cast(round_even({i} * (len(vs) - 1) / {max(k - 1, 1)}e0, 0) as int)]" for i in range(k))}] as cs,
+    true as ok, true as moving from {name}_start
+  union all
+  select image_id, vs, round + 1, case when whole then means else cs end, whole,
+    whole and len(list_filter(list_zip(means, cs), lambda z: abs(z[1] - z[2]) >= 0.5)) > 0
+  from (
+    select *, len(list_filter(means, lambda m: m is null)) = 0 as whole from (
+      select *, list_transform(range(1, {k + 1}), lambda g: list_sum(list_filter(vs, lambda v: g = list_position(
+          list_transform(cs, lambda c: abs(v - c)), list_min(list_transform(cs, lambda c: abs(v - c)))))) /
+        nullif(len(list_filter(vs, lambda v: g = list_position(
+          list_transform(cs, lambda c: abs(v - c)), list_min(list_transform(cs, lambda c: abs(v - c)))))), 0)) as means
+      from {name}_walk where moving and round < 30) s) t),
+{name} as (select image_id, list_sort(cs) as cs, list_filter(list_transform(range(1, {k}),
+    lambda i: list_sort(cs)[i + 1] - list_sort(cs)[i]), lambda d: d > 0) as gaps
+  from {name}_walk where ok qualify row_number() over (partition by image_id order by round desc) = 1
+    and image_id not in (select image_id from {name}_walk where not ok))"""
+
+
+@query("G7", f"""with gap_points as (
+  select image_id, list({{'x': (x1 + x2) / 2e0, 'y': (y1 + y2) / 2e0}}) as points from detection_boxes
+  where regexp_full_match(value, '[0-9]{{12,}}') group by 1 having count(*) between 4 and 11),
+{_axis_sql('gap_x', 'x', 3)}, {_axis_sql('gap_y', 'y', 4)},
+grid as (
+  select p.image_id, points, x.cs as cx, y.cs as cy, coalesce(list_aggregate(x.gaps, 'median'), 3000 / 3e0) as dx,
+    coalesce(list_aggregate(y.gaps, 'median'), 4000 / 4e0) as dy
+  from gap_points p join gap_x x using (image_id) join gap_y y using (image_id)),
+cells as (select *, cell // 3 as r, cell % 3 as c from grid, range(12) q(cell)
+  where cell not in (select 3 * (list_position(list_transform(cy, lambda k: abs(pt.y - k)), list_min(list_transform(cy, lambda k: abs(pt.y - k)))) - 1)
+    + list_position(list_transform(cx, lambda k: abs(pt.x - k)), list_min(list_transform(cx, lambda k: abs(pt.x - k)))) - 1
+    from (select unnest(points) as pt) u))
+select image_id, cast(r as int) as grid_row, cast(c as int) as grid_column,
+  {_box('', 'greatest(0, round_even(cx[c + 1] - dx / 2, 0))', 'greatest(0, round_even(cy[r + 1] - dy / 2, 0))',
+        'least(3000, round_even(cx[c + 1] + dx / 2, 0))', 'least(4000, round_even(cy[r + 1] + dy / 2, 0))')}
+from cells""", "detection_boxes", recursive=True)
 def infer_grid_gaps(spark, d):
     return flat(crops.infer_grid_gaps(inputs.detections(spark, d), inputs.images(spark, d)))
