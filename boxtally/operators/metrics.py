@@ -11,9 +11,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from boxtally.functions.rates import avg1, format_latency, pct
-from boxtally.functions.text import meta_bool, meta_int, meta_str
+from boxtally.functions.text import meta_bool, meta_int, meta_str, variant_bool, variant_int, variant_str
 
 GROUP_FIELDS = (
     "pipeline_version", "scanner_version", "recovery_version",
@@ -48,12 +49,17 @@ _BOOL_FIELDS = ("scanner_vision_match", "recovery_attempted", "recovery_succeede
 
 
 def runs_from_metadata(traces: DataFrame, column: str = "metadata") -> DataFrame:
-    """Typed run columns from a map of loosely typed metadata strings."""
+    """Typed run columns from loosely typed metadata: a map of strings, or a variant whose values keep their types."""
     m = F.col(column)
-    put = {"status": meta_str(m, "final_status")}
-    put |= {c: meta_str(m, c) for c in _TEXT_FIELDS}
-    put |= {c: meta_int(meta_str(m, c)) for c in _INT_FIELDS}
-    put |= {c: meta_bool(meta_str(m, c)) for c in _BOOL_FIELDS}
+    if isinstance(traces.schema[column].dataType, VariantType):
+        text, whole, truth = variant_str, variant_int, variant_bool
+    else:
+        text = meta_str
+        whole, truth = (lambda m, c, read=read: read(meta_str(m, c)) for read in (meta_int, meta_bool))
+    put = {"status": text(m, "final_status")}
+    put |= {c: text(m, c) for c in _TEXT_FIELDS}
+    put |= {c: whole(m, c) for c in _INT_FIELDS}
+    put |= {c: truth(m, c) for c in _BOOL_FIELDS}
     return traces.select("*", *[v.alias(k) for k, v in put.items()])
 
 

@@ -105,6 +105,18 @@ select o_orderkey as run_id,
 from {orders}
 """
 
+# The same as JSON whose values have types; braces by number, as the texts use them for tables.
+DERIVED["run_json"] = """
+select o_orderkey as run_id, concat(chr(123), '"found_count": ',
+  case o_orderkey % 11 when 0 then '6' when 1 then '" 3 "' when 2 then '3.9' when 3 then 'null' when 4 then '"abc"' when 5 then '-2.7'
+    when 6 then 'true' when 7 then '"true"' when 8 then '"3.5"' when 9 then '[1]' else '1e3' end,
+  ', "recovery_attempted": ',
+  case o_custkey % 13 when 0 then 'true' when 1 then 'false' when 2 then '2' when 3 then '0' when 4 then '0.5' when 5 then '"YES"'
+    when 6 then '"no"' when 7 then '[]' when 8 then '[0]' when 9 then concat(chr(123), chr(125)) when 10 then 'null' when 11 then '"1"' else concat(chr(123), '"a": 1', chr(125)) end,
+  case o_orderkey % 3 when 0 then '' when 1 then ', "primary_issue": null' else ', "primary_issue": "BAD_IMAGE"' end, chr(125)) as body
+from {orders}
+"""
+
 # Label observations: one order line = one label of the photo o_orderkey. The index of
 # a label is made from the line itself, so the table is a projection: no shuffle, and an
 # order with very many lines costs nothing extra. Lines with equal numbers share a slot

@@ -227,9 +227,8 @@ def format_latency(spark, d):
 
 @query("P24 P25", """
 select run_id,
-  case when trim(found_count) = 'true' then 1
-       else coalesce(try_cast(case when regexp_full_match(trim(found_count), '[+-]?[0-9]+')
-         then trim(found_count) end as bigint), 0) end as found_count,
+  coalesce(try_cast(case when regexp_full_match(trim(found_count), '[+-]?[0-9]+')
+    then trim(found_count) end as bigint), 0) as found_count,
   coalesce(lower(recovery_attempted) in ('true', '1', 'yes'), false) as recovery_attempted
 from run_metadata""", "run_metadata")
 def coerce_metadata(spark, d):
@@ -238,6 +237,21 @@ def coerce_metadata(spark, d):
                     text.meta_bool(F.col("recovery_attempted")).alias("recovery_attempted"))
 
 
+@query("P24 P25 P26", """
+with t as (select run_id, body, json_type(body, '$.found_count') as ft, json_extract_string(body, '$.found_count') as f,
+  json_type(body, '$.recovery_attempted') as rt, json_extract_string(body, '$.recovery_attempted') as r from run_json)
+select run_id, cast(case when ft in ('BIGINT', 'UBIGINT') then cast(f as bigint) when ft = 'DOUBLE' then trunc(cast(f as double))
+    when ft = 'BOOLEAN' then case when f = 'true' then 1 else 0 end
+    when ft = 'VARCHAR' and regexp_full_match(trim(f), '[+-]?[0-9]+') then cast(trim(f) as bigint) else 0 end as bigint) as found_count,
+  coalesce(case when rt in ('BIGINT', 'UBIGINT', 'DOUBLE') then cast(r as double) <> 0 when rt = 'BOOLEAN' then r = 'true'
+    when rt = 'VARCHAR' then lower(r) in ('true', '1', 'yes') when rt in ('ARRAY', 'OBJECT') then r not in ('[]', '{}') end, false) as recovery_attempted,
+  json_extract_string(body, '$.primary_issue') as primary_issue from t""", "run_json")
+def typed_metadata(spark, d):
+    """Metadata as JSON whose values keep their types."""
+    traces = build(spark, d, "run_json").select("run_id", F.parse_json("body").alias("metadata"))
+    return metrics.runs_from_metadata(traces).select("run_id", "found_count", "recovery_attempted", "primary_issue")
+
+
 @query("P26", "select run_id, primary_issue, found_count as found_text from run_metadata", "run_metadata")
 def metadata_strings(spark, d):
     m = build(spark, d, "run_metadata")
@@ -248,9 +262,8 @@ def metadata_strings(spark, d):
 
 
 @query("A1 P24 P25 P26", """
-select count(*) as images_processed, cast(sum(case when trim(found_count) = 'true' then 1
-    else coalesce(try_cast(case when regexp_full_match(trim(found_count), '[+-]?[0-9]+')
-      then trim(found_count) end as bigint), 0) end) as bigint) as boxes_processed,
+select count(*) as images_processed, cast(sum(coalesce(try_cast(case when regexp_full_match(trim(found_count), '[+-]?[0-9]+')
+    then trim(found_count) end as bigint), 0)) as bigint) as boxes_processed,
   count(*) filter (lower(recovery_attempted) in ('true', '1', 'yes')) as recovery_attempted
 from run_metadata""", "run_metadata")
 def metrics_from_metadata(spark, d):
