@@ -41,9 +41,12 @@ def session_table(spark, d):
 
 
 def streamed(spark, d, name: str):
-    """A derived event table over the events table read as a stream."""
-    times = spark.sql(EVENT_TIMES_SPARK, events=table_stream(spark, d, "events"))
-    return spark.sql(DERIVED[name], event_times=times)
+    """A derived event table over the events table read as a stream, with the file of each event."""
+    def kept(text: str) -> str:
+        return text.replace("select event_id,", "select source_file, event_id,")
+
+    times = spark.sql(kept(EVENT_TIMES_SPARK), events=table_stream(spark, d, "events"))
+    return spark.sql(kept(DERIVED[name]), event_times=times)
 
 
 @query("T1 T2 T3 T4", session_oracle.STEP_ROWS, "photo_events", recursive=True)
@@ -56,7 +59,7 @@ def session_stream(spark, d):
 def capture_stream(spark, d):
     root = scratch_path(spark, "capture")
     drain_each(streamed(spark, d, "domain_events"), "capture", flows.fan_out({
-        "queue": flows.queue_sink(f"{root}/queue"), "counts": flows.count_sink(f"{root}/counts")}, f"{root}/retry"))
+        "queue": flows.queue_sink(f"{root}/queue"), "counts": flows.count_sink(f"{root}/counts", "type")}, f"{root}/retry"))
     return flows.read_queue(spark, f"{root}/queue")
 
 
@@ -68,9 +71,10 @@ from flat_chat""", "chat_messages")
 def chat_stream(spark, d):
     root = scratch_path(spark, "callbacks")
     bodies = callback_bodies(build(spark, d, "chat_messages")).select("value")
-    # Every body is delivered twice, as a provider that retries does.
+    # Every body is delivered twice, as a provider that retries does, and again long after, in batches of their own.
     bodies.unionByName(bodies).write.text(root)
-    out = drain_to_table(flows.chat_messages(webhook_stream(spark, root)), "chat")
+    bodies.coalesce(1).write.mode("append").text(root)
+    out = drain_to_table(flows.chat_messages(webhook_stream(spark, root, files_per_trigger=8)), "chat")
     return out.select("sender", "id", "type", "name", "text", "media_id", "mime_type", "route")
 
 
@@ -78,7 +82,10 @@ def chat_stream(spark, d):
 with e as (select status, t_us, (t_us // 3600000000) * 3600000000 as hour_us from domain_events)
 select hour_us, status, count(*) as n from e group by 1, 2""", "domain_events")
 def hourly_stream(spark, d):
-    events = streamed(spark, d, "domain_events").withColumn("at", F.timestamp_micros("t_us"))
+    """Open hours included. The checkpoint is lost once: the second query reads the same files again."""
+    events = streamed(spark, d, "domain_events").withColumn("hour", flows.hour_of(F.timestamp_micros("t_us")))
     root = scratch_path(spark, "hourly")
-    drain_each(flows.hourly_counts(events), "hourly", flows.update_sink(root), mode="update")
-    return flows.newest_counts(spark, root).select(F.unix_micros("hour").alias("hour_us"), "status", "n")
+    for run in range(2):
+        drain_each(events, f"hourly-{run}", flows.count_sink(root, "hour", "status"))
+    return flows.summed_counts(spark, root, "hour timestamp, status string").select(
+        F.unix_micros("hour").alias("hour_us"), "status", "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,25 +20,23 @@ log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
 
 
-def chat_messages(parsed: DataFrame, repeat_window: str = "1 hour") -> DataFrame:
-    """Callbacks to routed messages, repeats dropped.
+def chat_messages(parsed: DataFrame, repeat_window: str | None = None) -> DataFrame:
+    """Callbacks to routed messages, repeats dropped however late they come.
 
-    Ids are remembered for a time span after arrival, so the state is bounded
-    by the traffic of that span.
+    The ids are keyed state without expiry: it holds one short text per message and lives in the state store,
+    which :mod:`boxtally.streaming.runner` keeps off the heap. With ``repeat_window`` ids are
+    forgotten that long after arrival, where state must be bounded by the traffic of that span.
     """
-    messages = flatten_callbacks(parsed.withColumn("received_at", F.current_timestamp()))
-    once = messages.withWatermark("received_at", repeat_window).dropDuplicatesWithinWatermark(["id"])
+    if repeat_window is None:
+        once = flatten_callbacks(parsed).dropDuplicates(["id"])
+    else:
+        messages = flatten_callbacks(parsed.withColumn("received_at", F.current_timestamp()))
+        once = messages.withWatermark("received_at", repeat_window).dropDuplicatesWithinWatermark(["id"])
     return once.withColumn("route", route_message(F.col("type"), F.col("mime_type")))
 
 
-def hourly_counts(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Events per hour and status so far; in update mode every hour is emitted whenever it grows.
-
-    State of an hour is dropped once nothing late can come.
-    """
-    hour = F.window("at", "1 hour")
-    return events.withWatermark("at", lateness).groupBy(hour, "status").agg(
-        F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "status", "n")
+def hour_of(at: Column) -> Column:
+    return F.date_trunc("hour", at).alias("hour")
 
 
 def batch_folder(batch: DataFrame, path: str, batch_id: int) -> str:
@@ -51,18 +49,26 @@ def batch_folder(batch: DataFrame, path: str, batch_id: int) -> str:
     return f"{path}/query={query}/batch_id={batch_id}"
 
 
-def update_sink(path: str) -> Sink:
-    """Write the updated rows of each batch."""
+def count_sink(path: str, *keys: str | Column) -> Sink:
+    """Write how many rows of each source file have each value of ``keys``.
+
+    A file is read whole by one batch of a query, so these are its final numbers. A replayed batch writes its
+    folder again; another query over the same files writes the same numbers in a folder of its own, and
+    :func:`summed_counts` takes each file once. Batches need the column ``source_file``.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(batch, path, batch_id))
+        batch.groupBy("source_file", *keys).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
+            batch_folder(batch, path, batch_id))
 
     return handle
 
 
-def newest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Latest count of every hour and status, open hours included; counts of one query only grow."""
-    rows = spark.read.schema("hour timestamp, status string, n long").parquet(f"{path}/query=*/batch_id=*")
-    return rows.groupBy("hour", "status").agg(F.max("n").alias("n"))
+def summed_counts(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """Counts over all files that any query has seen; ``keys`` are the counted columns with their types."""
+    rows = spark.read.schema(f"source_file string, {keys}, n long").parquet(f"{path}/query=*/batch_id=*")
+    names = [c for c in rows.columns if c not in ("source_file", "n")]
+    once = rows.groupBy("source_file", *names).agg(F.max("n").alias("n"))
+    return once.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def fan_out(sinks: dict[str, Sink], retry: str) -> Sink:
@@ -88,10 +94,17 @@ def fan_out(sinks: dict[str, Sink], retry: str) -> Sink:
 
 def replay(spark: SparkSession, retry: str, name: str, schema: str | StructType, handle: Sink) -> None:
     """Give the batches a sink failed on to it again, as a stream with a checkpoint of its own."""
+    if not _exists(spark, f"{retry}/{name}"):
+        return  # it never failed
     failed = spark.readStream.schema(schema).parquet(f"{retry}/{name}/query=*/batch_id=*")
     drain_each(failed, f"replay-{name}", handle, f"{retry}/{name}-checkpoint")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def queue_sink(path: str) -> Sink:
     """Append the review candidates of each batch; nothing stored is read.
 
@@ -107,12 +120,3 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     """The queue: the earliest candidate of every run."""
     rows = spark.read.parquet(f"{path}/query=*/batch_id=*")
     return first_per_key(rows, ["run_id"], ["created_us", "id"]).select(*rows.columns)
-
-
-def count_sink(path: str) -> Sink:
-    """Events per type of each batch."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-            batch_folder(batch, path, batch_id))
-
-    return handle

@@ -331,3 +331,40 @@ def test_queue_survives_repeats_and_a_failing_sink(spark, tmp_path):
     for _ in range(2):
         flows.replay(spark, retry, "broken", again.schema, lambda b, i: seen.extend(r.run_id for r in b.collect()))
     assert sorted(seen) == ["a", "a", "a", "a", "b", "c", "d", "d", "e"]
+
+
+def test_counts_take_each_file_once(spark, tmp_path):
+    """A new checkpoint with other files beside the old ones neither loses nor doubles counts."""
+    src, out = tmp_path / "events", str(tmp_path / "counts")
+    write_events(src, "1.json", [("A", "a", "failed"), ("A", "b", "complete"), ("B", "c", "failed")])
+    write_events(src, "2.json", [("A", "d", "failed")])
+
+    def run(name):
+        drain_each(event_stream(spark, str(src), files_per_trigger=1), "t", flows.count_sink(out, "type"), str(tmp_path / name))
+        return {r.type: r.n for r in flows.summed_counts(spark, out, "type string").collect()}
+
+    assert run("cp") == {"A": 3, "B": 1}
+    (src / "1.json").unlink()
+    write_events(src, "3.json", [("A", "e", "failed"), ("B", "f", "failed"), ("B", "g", "failed")])
+    assert run("cp2") == {"A": 4, "B": 3}
+    assert run("cp2") == run("cp") == {"A": 4, "B": 3}
+
+
+def test_replay_without_failures_does_nothing(spark, tmp_path):
+    flows.replay(spark, str(tmp_path / "none"), "sink", "a int", lambda b, i: pytest.fail("no batch"))
+
+
+def test_late_retry_is_dropped(spark, tmp_path):
+    """A message that comes again in a later run of the stream, whenever that is, is not told again."""
+    from boxtally.sources.streams import webhook_stream
+
+    src = tmp_path / "bodies"
+    src.mkdir()
+    body = json.dumps({"entry": [{"changes": [{"value": {"messages": [
+        {"id": "m1", "from": "1", "type": "text", "text": {"body": "hi"}}]}}]}]})
+    seen = []
+    for name in ("1.txt", "2.txt"):
+        (src / name).write_text(body)
+        drain_each(flows.chat_messages(webhook_stream(spark, str(src))), "t", lambda b, i: seen.extend(r.id for r in b.collect()),
+                   str(tmp_path / "cp"))
+    assert seen == ["m1"]
