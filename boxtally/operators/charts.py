@@ -1,9 +1,9 @@
 """Dashboard series as one table-driven aggregation.
 
 A series is a row of :data:`SERIES`: which runs it takes, by which field it is
-split and what it measures. A run becomes one small row per series it belongs
-to, and these are counted before the shuffle; the latency percentiles go
-through their own, narrower pass.
+split and what it measures. The runs are scanned once. A run becomes one small row per series it belongs
+to, with the value it gives there; equal rows are counted in each task before the shuffle, and means and
+percentiles follow from values and their counts.
 """
 
 from __future__ import annotations
@@ -71,22 +71,22 @@ SERIES: tuple[Series, ...] = (
            by="vision_model"),
 )
 
-_LATENCY = ("p50", "p99")
-
-
-def _member(number: int, s: Series, value: Column) -> Column:
-    """The small row of a run for one series; null where the series leaves it out."""
+def _member(number: int, s: Series) -> list[Column]:
+    """The small rows of a run for one series: value and how often; null where the series leaves the run out."""
     key = F.col(s.by).cast("string") if s.by else F.lit("all")
-    row = F.struct(F.lit(number).alias("s"), F.coalesce(key, F.lit("unknown")).alias("group_value"),
-                   value.alias("v"))
-    return row if s.where == "true" else F.when(F.expr(s.where), row)
 
+    def row(value: Column, weight: Column) -> Column:
+        r = F.struct(F.lit(number).alias("s"), F.coalesce(key, F.lit("unknown")).alias("group_value"),
+                     value.cast("int").alias("v"), weight.cast("long").alias("w"))
+        return r if s.where == "true" else F.when(F.expr(s.where), r)
 
-def _expand(runs: DataFrame, members: list[Column], stride: str) -> DataFrame:
-    bucket = F.window("created_at", stride)["start"]
-    # Null members become null rows of the generator; the filter follows in the same stage.
-    rows = runs.select(bucket.alias("bucket"), F.inline(F.array(*members)))
-    return rows.filter(F.col("s").isNotNull())
+    if s.measure == "count":
+        return [row(F.lit(None), F.lit(1))]
+    if s.measure == "error_rate":
+        return [row(F.when(F.col("status") == "failed", 1).otherwise(0), F.lit(1))]
+    if s.measure == "user_correct":
+        return [row(F.lit(1), F.col("_right")), row(F.lit(0), F.col("_wrong"))]
+    return [row(F.col("latency_ms"), F.lit(1))]
 
 
 _KEY = ["s", "bucket", "group_value"]
@@ -94,38 +94,29 @@ _KEY = ["s", "bucket", "group_value"]
 
 def chart_series(runs: DataFrame, feedback: DataFrame, *, stride: str = "1 hour",
                  series: tuple[Series, ...] = SERIES) -> DataFrame:
-    """Every point of every series: ``chart_key, series, bucket, group_value, n, value``."""
+    """Every point of every series: ``chart_key, series, bucket, group_value, n, value``.
+
+    Verdicts of users are counted per trace before they meet the runs.
+    """
     root = runs.filter(F.col("name").isin(*ROOT_NAMES))
-    n = F.count(F.lit(1)).alias("n")
-
-    def of(*measures: str) -> list[tuple[int, Series]]:
-        return [(i, s) for i, s in enumerate(series) if s.measure in measures]
-
-    parts = []
-    counted = [_member(i, s, F.lit(None).cast("int") if s.measure == "count"
-                       else F.when(F.col("status") == "failed", 1).otherwise(0))
-               for i, s in of("count", "error_rate")]
-    if counted:
-        rows = _expand(root, counted, stride).groupBy(*_KEY).agg(n, F.avg("v").alias("mean"))
-        parts.append(rows.select(*_KEY, "n", F.coalesce("mean", F.col("n").cast("double")).alias("value")))
-
-    timed = of(*_LATENCY)
-    if timed:
-        rows = _expand(root, [_member(i, s, F.col("latency_ms")) for i, s in timed], stride)
-        rows = rows.groupBy(*_KEY).agg(n, F.percentile("v", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
-        median = F.col("s").isin(*[i for i, s in timed if s.measure == "p50"])
-        parts.append(rows.select(*_KEY, "n", F.round(
-            F.when(median, F.col("p")[0]).otherwise(F.col("p")[1]), 3).alias("value")))
-
-    rated = of("user_correct")
-    if rated:
-        scored = feedback.select("trace_id", F.col("correct").cast("int").alias("score")).join(root, "trace_id")
-        rows = _expand(scored, [_member(i, s, F.col("score")) for i, s in rated], stride)
-        parts.append(rows.groupBy(*_KEY).agg(n, F.avg("v").alias("value")))
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if any(s.measure == "user_correct" for s in series):
+        verdicts = feedback.groupBy("trace_id").agg(F.count_if(F.col("correct")).alias("_right"),
+                                                    F.count_if(~F.col("correct")).alias("_wrong"))
+        root = root.join(verdicts, "trace_id", "left")
+    members = [m for i, s in enumerate(series) for m in _member(i, s)]
+    bucket = F.window("created_at", stride)["start"].alias("bucket")
+    # Null members become null rows of the generator; the filter follows in the same stage.
+    rows = root.select(bucket, F.inline(F.array(*members))).filter(F.col("w") > 0)
+    values = rows.groupBy(*_KEY, "v").agg(F.sum("w").alias("w"))
+    points = values.groupBy(*_KEY).agg(
+        F.sum("w").alias("n"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"),
+        F.percentile("v", F.array(F.lit(0.5), F.lit(0.99)), F.col("w")).alias("p"))
+
+    def of(*measures: str) -> Column:
+        return F.col("s").isin([i for i, s in enumerate(series) if s.measure in measures])
+
+    out = points.withColumn("value", F.when(of("count"), F.col("n").cast("double")).when(of("p50"), F.round(F.col("p")[0], 3)).when(
+        of("p99"), F.round(F.col("p")[1], 3)).otherwise(F.col("mean")))
 
     def name(of_series: list[str]) -> Column:
         return F.get(F.array(*[F.lit(x) for x in of_series]), F.col("s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import geometry as g
 from boxtally.functions.outcome import LATENCY_LIMIT_MS
+from boxtally.operators.greedy import GATHER_LIMIT, keep_greedily
 from boxtally.operators.matching import centers, crowded_images, match_pairs, points_in_regions
 from boxtally.operators.metrics import p95_nearest_rank
 
@@ -95,12 +96,63 @@ def benchmark_matches(expected: DataFrame, detections: DataFrame) -> DataFrame:
     return match_pairs(benchmark_pairs, expected, detections, crowded_images(expected, detections))
 
 
-def symbol_benchmark(expected: DataFrame, detections: DataFrame, matches: DataFrame, images: DataFrame) -> DataFrame:
+_BENCHMARK = ("symbols", "decoded", "found", "matched", "exact", "mismatches", "bonus", "unique_expected", "unique_found")
+
+
+def symbol_benchmark(expected: DataFrame, detections: DataFrame, images: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
     """Per image: symbols, exact reads, false positives, mismatches, bonus reads.
 
     ``expected``: ``image_id, label_index, box, state (decoded | unreadable), value``.
-    A mismatch is both a miss and a false positive.
+    A mismatch is both a miss and a false positive. Small photos are one row each, by one shuffle, in which
+    readings are matched and judged; crowded ones are matched by cell and counted.
     """
+    large = crowded_images(expected, detections, limit=limit)
+    if large is None:
+        counted = _benchmark_rows(expected, detections)
+    else:
+        few, many = ([df.join(large, "image_id", how) for df in (expected, detections)] for how in ("left_anti", "left_semi"))
+        matches = match_pairs(benchmark_pairs, *many, large)
+        counted = _benchmark_rows(*few).unionByName(_benchmark_joins(*many, matches, large))
+    zero = F.lit(0).cast("long")
+    out = images.select("image_id").join(counted, "image_id", "left").select(
+        "image_id", *[F.coalesce(c, zero).alias(c) for c in _BENCHMARK])
+    return out.withColumn("false_positives", F.col("found") - F.col("matched") + F.col("mismatches")).drop("matched")
+
+
+def _benchmark_rows(expected: DataFrame, detections: DataFrame) -> DataFrame:
+    """Counts of small photos, each from its two lists."""
+    b, pad = F.col("box"), F.lit(BENCHMARK_PADDING)
+    truth = F.struct("label_index", "state", F.col("value").alias("truth"), g.center_x(b).alias("tx"), g.center_y(b).alias("ty"),
+                     g.pad(b, pad, pad).alias("region")).alias("truth")
+    reading = F.struct("det_index", "value", g.center_x(b).alias("px"), g.center_y(b).alias("py")).alias("reading")
+    photos = expected.select("image_id", truth).unionByName(
+        detections.select("image_id", reading), allowMissingColumns=True).groupBy("image_id").agg(
+        F.collect_list("truth").alias("truths"), F.collect_list("reading").alias("readings"))
+
+    def pairs_of(t: Column) -> Column:
+        def pair(r: Column) -> Column:
+            dx, dy = t["tx"] - r["px"], t["ty"] - r["py"]
+            return F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), t["label_index"].alias("label_index"),
+                            r["det_index"].alias("det_index"), (t["state"] == "decoded").alias("decoded"),
+                            (t["truth"] == r["value"]).alias("same"))
+
+        return F.transform(F.filter("readings", lambda r: g.contains_point(t["region"], r["px"], r["py"])), pair)
+
+    pairs = F.array_sort(F.flatten(F.transform("truths", pairs_of)))
+    chosen = photos.withColumn("pairs", pairs).withColumn("pairs", keep_greedily(F.col("pairs"), lambda x, y: (
+        (x["label_index"] == y["label_index"]) | (x["det_index"] == y["det_index"]))))
+    readable = F.filter("truths", lambda t: t["state"] == "decoded")
+    unique = F.array_distinct(F.transform(readable, lambda t: t["truth"]))
+    sizes = {
+        "symbols": F.col("truths"), "decoded": readable, "found": F.col("readings"), "matched": F.col("pairs"),
+        "exact": F.filter("pairs", lambda p: p["decoded"] & p["same"]), "mismatches": F.filter("pairs", lambda p: p["decoded"] & ~p["same"]),
+        "bonus": F.filter("pairs", lambda p: ~p["decoded"]), "unique_expected": unique,
+        "unique_found": F.array_intersect(unique, F.transform("readings", lambda r: r["value"]))}
+    return chosen.select("image_id", *[F.size(sizes[c]).cast("long").alias(c) for c in _BENCHMARK])
+
+
+def _benchmark_joins(expected: DataFrame, detections: DataFrame, matches: DataFrame, images: DataFrame) -> DataFrame:
+    """The same counts of crowded photos, from rows."""
     def count(df: DataFrame, **aggs: Column) -> DataFrame:
         return df.groupBy("image_id").agg(*[c.alias(n) for n, c in aggs.items()])
 
@@ -119,10 +171,7 @@ def symbol_benchmark(expected: DataFrame, detections: DataFrame, matches: DataFr
     for part in (want, read, judged, count(unique, unique_expected=F.count(F.lit(1))),
                  count(hit, unique_found=F.count(F.lit(1)))):
         joined = joined.join(part, "image_id", "left")
-    names = ("symbols", "decoded", "found", "matched", "exact", "mismatches", "bonus",
-             "unique_expected", "unique_found")
-    out = joined.select("image_id", *[F.coalesce(c, zero).alias(c) for c in names])
-    return out.withColumn("false_positives", F.col("found") - F.col("matched") + F.col("mismatches")).drop("matched")
+    return joined.select("image_id", *[F.coalesce(c, zero).alias(c) for c in _BENCHMARK])
 
 
 def benchmark_gate(per_image: DataFrame) -> DataFrame:
@@ -143,6 +192,17 @@ def benchmark_latency(timings: DataFrame) -> DataFrame:
         F.percentile("warm_ms", F.lit(0.5)).alias("median_ms"), p95_nearest_rank("warm_ms").alias("p95_ms"))
 
 
+def spatial_matches(truth: DataFrame, labels: DataFrame) -> DataFrame:
+    """``image_id, truth_index, label_index``: labels paired with ground truth in space, nearest centres first.
+
+    A label counts for a truth box if its centre lies in the padded box; each is used once.
+    """
+    t = truth.select("image_id", F.col("truth_index").alias("label_index"), F.col("truth_box").alias("box"))
+    seen = labels.select("image_id", F.col("label_index").alias("det_index"), F.lit(None).cast("string").alias("value"),
+                         F.col("label_box").alias("box"))
+    return benchmark_matches(t, seen).select("image_id", F.col("label_index").alias("truth_index"), F.col("det_index").alias("label_index"))
+
+
 def spatial_benchmark(truth: DataFrame, labels: DataFrame, matches: DataFrame, images: DataFrame) -> DataFrame:
     """Label counts and label positions against ground truth.
 

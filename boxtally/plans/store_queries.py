@@ -442,11 +442,8 @@ per_image as (select i.image_id, coalesce(w.symbols, 0) as symbols, coalesce(w.d
 def _bench(spark, d):
     t = build(spark, d, "expected_symbols")
     from boxtally.functions.geometry import box
-    # Derived here and read several times below, so written once.
-    expected = cut_lineage(t.select(
-        "image_id", "label_index", box("x1", "y1", "x2", "y2").alias("box"), "state", "value"))
-    dets, images = cut_lineage(inputs.detections(spark, d)), inputs.images(spark, d)
-    return evaluate.symbol_benchmark(expected, dets, evaluate.benchmark_matches(expected, dets), images)
+    expected = t.select("image_id", "label_index", box("x1", "y1", "x2", "y2").alias("box"), "state", "value")
+    return evaluate.symbol_benchmark(expected, inputs.detections(spark, d), inputs.images(spark, d))
 
 
 @query("A15", f"with {_BENCH} select * from per_image", "images detection_boxes expected_symbols", recursive=True)
@@ -476,20 +473,30 @@ def benchmark_latency(spark, d):
                                                 F.coalesce("median_ms", F.lit(0.0)).alias("median_ms"), "p95_ms")
 
 
-@query("A16", """
-select image_id, label_index as truth_index, label_index, sqrt(((tx - gx) / 3000) * ((tx - gx) / 3000) + ((ty - gy) / 4000) * ((ty - gy) / 4000)) as center_distance,
+_SPATIAL = f"""
+spatial_cand as (select t.image_id, sqrt((tx - gx) * (tx - gx) + (ty - gy) * (ty - gy)) as distance, t.label_index, det_index,
+    'expected' as basis, cast(null as varchar) as value
+  from (select *, (x1 + x2) / 2e0 as tx, (y1 + y2) / 2e0 as ty from (select image_id, label_index, x1, y1, x2, y2 from expected_symbols) x) t
+  join (select image_id, label_index as det_index, (lx1 + lx2) / 2e0 as gx, (ly1 + ly2) / 2e0 as gy from label_boxes) l
+    on l.image_id = t.image_id and gx between x1 - 25 and x2 + 25 and gy between y1 - 25 and y2 + 25),
+{greedy_cte('spatial', 'spatial_cand')}"""
+
+
+@query("A16", f"""with {_SPATIAL}
+select image_id, truth_index, label_index, sqrt(((tx - gx) / 3000) * ((tx - gx) / 3000) + ((ty - gy) / 4000) * ((ty - gy) / 4000)) as center_distance,
   s / (a + b - s) as iou, gx between x1 and x2 and gy between y1 and y2 as center_inside
-from (select e.*, (x1 + x2) / 2e0 as tx, (y1 + y2) / 2e0 as ty, (lx1 + lx2) / 2e0 as gx, (ly1 + ly2) / 2e0 as gy,
+from (select m.image_id, m.label_index as truth_index, l.label_index, e.x1, e.x2, e.y1, e.y2,
+  (x1 + x2) / 2e0 as tx, (y1 + y2) / 2e0 as ty, (lx1 + lx2) / 2e0 as gx, (ly1 + ly2) / 2e0 as gy,
   greatest(0, least(x2, lx2) - greatest(x1, lx1)) * greatest(0, least(y2, ly2) - greatest(y1, ly1)) * 1e0 as s,
   (x2 - x1) * (y2 - y1) as a, (lx2 - lx1) * (ly2 - ly1) as b
-  from expected_symbols e join label_boxes l using (image_id, label_index)) p""", "expected_symbols label_boxes")
+  from spatial m join expected_symbols e on e.image_id = m.image_id and e.label_index = m.label_index
+  join label_boxes l on l.image_id = m.image_id and l.label_index = m.det_index) p""", "expected_symbols label_boxes", recursive=True)
 def spatial_benchmark(spark, d):
     from boxtally.functions.geometry import box
     truth = build(spark, d, "expected_symbols").select(
         "image_id", F.col("label_index").alias("truth_index"), box("x1", "y1", "x2", "y2").alias("truth_box"))
     labels = inputs.labels(spark, d)
-    pairs = labels.select("image_id", "label_index", F.col("label_index").alias("truth_index")).distinct()
-    return evaluate.spatial_benchmark(truth, labels, pairs, inputs.images(spark, d))
+    return evaluate.spatial_benchmark(truth, labels, evaluate.spatial_matches(truth, labels), inputs.images(spark, d))
 
 
 @query("A16", """
