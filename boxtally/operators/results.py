@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boxtally.functions import geometry as g
 from boxtally.functions import outcome as o
 from boxtally.functions.messages import reply_line, reply_text
+from boxtally.operators.blocks import BLOCK, in_blocks
 from boxtally.session import cut_lineage
 
 _ITEM = ["image_id", "kind", "label_index", "det_index", "barcode_value", "barcode_format",
@@ -142,31 +143,20 @@ def explode_items(results: DataFrame) -> DataFrame:
     return found.unionByName(missing)
 
 
-#: items of one nested row; a photo with more becomes several pages
-PAGE_ITEMS = 512
+def nest_items(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Arrays of items per photo and block: found, missing, then unassigned, in label and reading order.
 
-
-def nest_items(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """Arrays of items per photo and page, in label and reading order.
-
-    A photo is one page, page 0, unless it holds more than ``page_items``;
-    those are spread over pages by the hash of their items, so no array grows
-    with the photo. Every item is on exactly one page.
+    ``block`` numbers the nested rows of a photo from 0; the items of a photo, taken block by block and in each
+    as found, missing, unassigned, are in order. A photo of up to ``block`` items is one row.
     """
-    entry = F.struct("label_index", "det_index", "barcode_value", "barcode_format", "match_basis")
+    entry = F.struct("place", "label_index", "det_index", "barcode_value", "barcode_format", "match_basis")
+    rank = F.when(F.col("kind") == "found", 0).when(F.col("kind") == "missing", 1).otherwise(2)
 
     def of(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(kind)
 
-    items = cut_lineage(items)
-    big = cut_lineage(items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page_items))
-    if big.isEmpty():
-        paged = items.withColumn("page", F.lit(0).cast("long"))
-    else:
-        pages = F.ceil(F.col("n") / (page_items / 2))
-        spread = F.pmod(F.xxhash64("label_index", "det_index"), pages)
-        paged = items.join(big, "image_id", "left").withColumn("page", F.coalesce(spread, F.lit(0))).drop("n")
-    return paged.groupBy("image_id", "page").agg(of("found"), of("missing"), of("unassigned"))
+    placed = in_blocks(items.withColumn("_rank", rank), "image_id", ["_rank", "label_index", "det_index", "barcode_value", "match_basis"], block)
+    return placed.groupBy("image_id", "block").agg(of("found"), of("missing"), of("unassigned"))
 
 
 def reply_lines(items: DataFrame, block: int = 1024) -> DataFrame:

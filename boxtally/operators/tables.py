@@ -1,7 +1,8 @@
-"""Maintenance of stored tables as DataFrame rewrites, and their publication.
+"""Maintenance of stored tables, and the publication of whole ones.
 
-Every function returns the new rows; :func:`publish` writes them beside the old
-ones and swaps the folders, so readers see the old or the new table.
+Every function returns the new rows. Tables that change while they are read, or in few of their rows, are kept
+with a log of changes (:mod:`boxtally.sources.change_log`), which applies these functions to the rows they touch.
+:func:`publish` replaces a whole table: it writes beside the old one and swaps the folders.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxtally.operators.blocks import BLOCK, in_blocks
 from boxtally.operators.dedup import first_per_key
 
 MESSAGE_LIMIT = 500
@@ -78,7 +80,7 @@ def apply_completion(runs: DataFrame, results: DataFrame, now: Column) -> DataFr
 
 
 def apply_failure(runs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
-    """Mark runs failed; the message is stored up to its limit."""
+    """Mark runs failed. The message is stored up to its limit, and whole where the table has ``error_detail``."""
     new = failures.select("id", F.col("error_class").alias("_class"), F.col("error_text").alias("_text"))
     joined = runs.join(new, "id", "left")
     hit = F.col("_class").isNotNull()
@@ -87,7 +89,8 @@ def apply_failure(runs: DataFrame, failures: DataFrame, now: Column) -> DataFram
         "error_code": F.when(hit, F.col("_class")).otherwise(F.col("error_code")),
         "error_message": F.when(hit, F.substring("_text", 1, MESSAGE_LIMIT)).otherwise(F.col("error_message")),
         "processed_at": F.when(hit, now).otherwise(F.col("processed_at")),
-    }).select(*runs.columns)
+    } | ({"error_detail": F.when(hit, F.col("_text")).otherwise(F.col("error_detail"))} if "error_detail" in runs.columns else {})
+    ).select(*runs.columns)
 
 
 PATCHED = ("status", "expected_count", "found_count", "missing_count", "image_count", "message", "candidates")
@@ -146,30 +149,40 @@ def orders_of_complete_sessions(sessions: DataFrame, items: DataFrame) -> DataFr
     return done.join(items, "session_id")
 
 
-def session_lines(sessions: DataFrame, items: DataFrame, missing: DataFrame) -> DataFrame:
-    """Sessions with their items and unresolved missing labels as ordered lines."""
+def _lines(items: DataFrame, missing: DataFrame) -> DataFrame:
     columns = ["session_id", "line_id", "kind", "label_index", "barcode_value", "source_image"]
     held = items.withColumns({"kind": F.lit("item")})
     lost = missing.filter(~F.col("resolved")).withColumns(
         {"kind": F.lit("missing"), "barcode_value": F.lit(None).cast("string")})
-    lines = held.select(*columns).unionByName(lost.select(*columns))
+    return held.select(*columns).unionByName(lost.select(*columns))
+
+
+def session_lines(sessions: DataFrame, items: DataFrame, missing: DataFrame) -> DataFrame:
+    """Sessions with their items and unresolved missing labels as ordered lines."""
+    lines = _lines(items, missing)
     return sessions.select(F.col("id").alias("session_id"), "status", "expected_count").join(
         lines, "session_id", "left")
 
 
-def session_result(sessions: DataFrame, items: DataFrame, missing: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nested result of the requested sessions (a look-up by id, not a report)."""
-    wanted = ids.select(F.col("id").alias("session_id"))
+def session_result(sessions: DataFrame, items: DataFrame, missing: DataFrame, ids: DataFrame | None = None,
+                   block: int = BLOCK) -> DataFrame:
+    """Nested result of sessions (those of ``ids``, or all): items and unresolved missing labels by line.
+
+    One row per session, also without lines, and per further block of lines: all items, then all missing labels.
+    """
+    def wanted(rows: DataFrame, column: str) -> DataFrame:
+        return rows if ids is None else rows.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
+    base = wanted(sessions, "id").withColumnRenamed("id", "session_id")
+    placed = in_blocks(wanted(_lines(items, missing), "session_id"), "session_id", ["kind", "line_id"], block)
 
-    def nested(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        entry = F.struct("line_id", *columns)
-        return rows.join(wanted, "session_id", "left_semi").groupBy("session_id").agg(
-            F.array_sort(F.collect_list(entry)).alias(name))
+    def of(kind: str, *columns: str) -> Column:
+        entry = F.struct("place", "line_id", *columns)
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
 
-    base = sessions.withColumnRenamed("id", "session_id").join(wanted, "session_id", "left_semi")
-    got = base.join(nested(items, "items", "barcode_value", "label_index", "source_image"), "session_id", "left")
-    return got.join(nested(missing.filter(~F.col("resolved")), "missing", "label_index", "source_image"),
-                    "session_id", "left")
+    nested = placed.groupBy("session_id", "block").agg(
+        of("item", "barcode_value", "label_index", "source_image").alias("items"), of("missing", "label_index", "source_image").alias("missing"))
+    return base.join(nested, "session_id", "left").withColumn("block", F.coalesce("block", F.lit(0)))
 
 
 def active_customers(customers: DataFrame) -> DataFrame:
@@ -193,7 +206,8 @@ def publish(rows: DataFrame, path: str, partition_by: list[str] | None = None) -
     """Replace the table at ``path``: write beside it, then swap folders.
 
     Reads of the same path inside ``rows`` stay valid, since the old folder is
-    only set aside after the new one is complete.
+    only set aside after the new one is complete. Between the two renames there is no table at ``path``: a
+    reader that comes just then fails and has to try again.
     """
     spark = rows.sparkSession
     staged, old = f"{path}.staged", f"{path}.old"

@@ -10,7 +10,7 @@ from boxtally.operators import matching, results
 from boxtally.plans import inputs
 from boxtally.plans.catalog import query
 from boxtally.plans.fixtures import build
-from boxtally.plans.geometry_queries import MATCHES, RECOVERY
+from boxtally.plans.geometry_queries import MATCHES, RECOVERY, SHEET
 from boxtally.plans.inputs import flat
 from boxtally.session import cut_lineage
 
@@ -85,6 +85,25 @@ def explode_items(spark, d):
     return results.explode_items(results.nest_items(_items(spark, d)))
 
 
+_SHEET_ITEMS = f"""{_FIRST_ITEMS},
+sheet_items as (select image_id // {SHEET} as sheet, *, case kind when 'found' then 0 when 'missing' then 1 else 2 end as k from items),
+placed as (select *, row_number() over (partition by sheet order by k, label_index nulls first, det_index nulls first,
+  barcode_value nulls first, match_basis nulls first) - 1 as place from sheet_items)"""
+
+
+@query("E1", f"""with {_SHEET_ITEMS}
+select sheet as image_id, place // 512 as block, place, kind, coalesce(label_index, -1) as label_index, coalesce(det_index, -1) as det_index,
+  barcode_value from placed""", _BASE, recursive=True)
+def nest_items_crowded(spark, d):
+    """Photos of well over 512 items as nested rows, and every item with its block and place."""
+    items = _items(spark, d).withColumn("image_id", F.floor(F.col("image_id") / SHEET).cast("long"))
+    nested = results.nest_items(items)
+    rows = [nested.select("image_id", "block", F.lit(kind).alias("kind"), F.inline(kind)) for kind in ("found", "missing", "unassigned")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(
+        "image_id", "block", "place", "kind", F.coalesce("label_index", F.lit(-1)).alias("label_index"),
+        F.coalesce("det_index", F.lit(-1)).alias("det_index"), "barcode_value")
+
+
 _SUMMARY = f"""{RECOVERY}, {items_cte('final', 'all_dets')},
 second_ok as (select * from second where image_id in (select image_id from audited)),
 tried_ok as (select * from tried where image_id in (select image_id from audited)),

@@ -555,14 +555,15 @@ def apply_completion(spark, d):
 
 @query("K4", """
 select id, case when hit then 'failed' else status end as status, case when hit then 'TimeoutError' else error_code end as error_code,
-  case when hit then repeat('x', 500) else error_message end as error_message from (
+  case when hit then repeat('x', 500) else error_message end as error_message, case when hit then repeat('x', 600) end as error_detail from (
   select *, cast(id as bigint) % 5 = 0 as hit from runs) r""", "runs")
 def apply_failure(spark, d):
     runs = build(spark, d, "runs")
     failures = runs.filter(F.col("id").cast("long") % 5 == 0).select(
         "id", F.lit("TimeoutError").alias("error_class"), F.expr("repeat('x', 600)").alias("error_text"))
+    runs = runs.withColumn("error_detail", F.lit(None).cast("string"))
     return tables.apply_failure(runs, failures, F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")).select(
-        "id", "status", "error_code", "error_message")
+        "id", "status", "error_code", "error_message", "error_detail")
 
 
 @query("S5 K5", """
@@ -666,6 +667,26 @@ def session_lines(spark, d):
                         F.coalesce("label_index", F.lit(-1)).alias("label_index"), "barcode_value")
 
 
+@query("J7 S5", """
+with lines as (select session_id, line_id, 0 as k, coalesce(barcode_value, '') as text from session_items
+  union all select session_id, line_id, 1, concat('#', label_index) from session_missing where not resolved),
+placed as (select *, row_number() over (partition by session_id order by k, line_id) - 1 as place from lines)
+select s.id as session_id, s.status, coalesce(place // 3, 0) as block,
+  coalesce(string_agg(case when k = 0 then concat(place, ':', text) end, ',' order by place), '') as items,
+  coalesce(string_agg(case when k = 1 then concat(place, ':', text) end, ',' order by place), '') as missing
+from sessions s left join placed p on p.session_id = s.id group by all""", "sessions session_items session_missing")
+def session_results(spark, d):
+    """Nested results of all sessions, in blocks of three lines."""
+    nested = tables.session_result(*[build(spark, d, t) for t in ("sessions", "session_items", "session_missing")], block=3)
+
+    def told(column, value):
+        return F.coalesce(F.array_join(F.transform(column, lambda e: F.concat_ws(":", e["place"].cast("string"), value(e))), ","), F.lit(""))
+
+    return nested.select(
+        "session_id", "status", "block", told("items", lambda e: F.coalesce(e["barcode_value"], F.lit(""))).alias("items"),
+        told("missing", lambda e: F.concat(F.lit("#"), e["label_index"].cast("string"))).alias("missing"))
+
+
 @query("L4", "select id, name from customers where active", "customers")
 def active_customers(spark, d):
     return tables.active_customers(build(spark, d, "customers"))

@@ -14,7 +14,7 @@ TABLES: dict[str, str] = {
         found_count int, missing_count int, unassigned_count int, recovery_attempted boolean,
         recovery_labels_tried int, recovery_barcodes_found int, recovery_labels_resolved int,
         recovery_succeeded boolean, latency_ms int, primary_issue string, issue_count int,
-        issues {ISSUES}, error_code string, error_message string, pipeline_version string,
+        issues {ISSUES}, error_code string, error_message string, error_detail string, pipeline_version string,
         scanner_version string, vision_prompt_version string, vision_model string,
         recovery_version string, provider_message_id string, sender string,
         created_at timestamp, processed_at timestamp, created_month string""",

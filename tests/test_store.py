@@ -186,11 +186,12 @@ def test_results_nest_and_explode(spark):
     lines = results.reply_lines(items)
     assert [r.line for r in lines.orderBy("line_no").collect()] == ["Found 2 barcodes:", "2. v (f)", "-. w (f)"]
     assert one(results.reply_texts(lines)).reply == "Found 2 barcodes:\n2. v (f)\n-. w (f)\n\nID: 1"
-    assert nested.select("page").first()[0] == 0
+    assert nested.select("block").first()[0] == 0
     many = spark.range(900).selectExpr("1 as image_id", "'found' as kind", "cast(id as int) as label_index", "cast(id as int) as det_index",
                                        "'v' as barcode_value", "'f' as barcode_format", "'x' as match_basis")
-    pages = results.nest_items(many, 100).select(F.size("found").alias("n")).collect()
-    assert sum(p.n for p in pages) == 900 and max(p.n for p in pages) <= 100
+    blocks = results.nest_items(many, 100).orderBy("block").collect()
+    assert [[(i.place, i.label_index) for i in b.found] for b in blocks] == [
+        [(i, i) for i in range(k, k + 100)] for k in range(0, 900, 100)]
     told = results.reply_lines(many, block=16).orderBy("line_no").collect()
     assert told[0].line == "Found 900 barcodes:" and [r.line for r in told[1:]] == [f"{i}. v (f)" for i in range(900)]
     assert [r.line_no for r in told] == list(range(901))
