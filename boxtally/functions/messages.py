@@ -69,9 +69,12 @@ def route_message(type_: Column, mime: Column) -> Column:
 
 def processing_status(*, duplicate: Column, route: Column, media_id: Column, mime: Column,
                       failed: Column, outcome: Column, session_status: Column, pending: Column,
-                      reply_known: Column) -> Column:
+                      reply_known: Column, transcriber: Column | None = None, transcript: Column | None = None) -> Column:
     """How the handling of a message ended; null where nothing is recorded.
 
+    ``transcriber`` is whether voice messages can be read at all, and ``transcript`` what was read of one (null
+    if that failed); a read voice message is answered with the wish for a photo.
+
     ``pending`` is whether the sender has a session waiting for a choice (null
     if it waits without candidates) and ``reply_known`` whether the reply names
     one of the candidates.
@@ -89,9 +92,16 @@ def processing_status(*, duplicate: Column, route: Column, media_id: Column, mim
                  .when(~pending, "completed")
                  .when(reply_known, "selection_resolved")
                  .otherwise("selection_invalid_reply"))
+    said = F.lit(None).cast("string") if transcript is None else transcript
+    audio = (F.when(F.lit(True) if transcriber is None else ~transcriber, "transcriber_unavailable")
+             .when(F.coalesce(media_id, F.lit("")) == "", "missing_media_id")
+             .when(said.isNull(), "transcription_failed")
+             .when(F.trim(said) == "", "empty_transcript")
+             .otherwise("completed"))
     return (F.when(duplicate, "duplicate")
             .when(failed, "failed")
             .when(route == "photo", photo)
+            .when(route == "audio", audio)
             .when(route == "instruction", "unsupported_document_type")
             .when(route == "selection", selection)
             .when(route == "unsupported", "unsupported_message_type"))
@@ -138,3 +148,23 @@ def redact_download(file_name: Column, mime: Column, url: Column) -> dict[str, C
     """A download without its signed address; only the suffix of its target."""
     suffix = F.regexp_extract(file_name, r"(\.[^./]+)$", 1)
     return {"file_name": file_name, "mime_type": mime, "has_url": _has(url), "target_suffix": suffix}
+
+
+def redact_voice(mime: Column, media_id: Column, transcriber: Column) -> dict[str, Column]:
+    """A voice message without the id of its media; the kind of what reads it."""
+    return {"mime_type": mime, "has_media_id": _has(media_id), "transcriber_type": transcriber}
+
+
+def redact_direct_download(file_name: Column, mime: Column, url: Column, transcriber: Column) -> dict[str, Column]:
+    """A download for transcription without its signed address."""
+    return {"file_name": file_name, "mime_type": mime, "has_download_url": _has(url), "transcriber_type": transcriber}
+
+
+def redact_conversion(path: Column) -> dict[str, Column]:
+    """A conversion of a file: only the lower-case suffix of its path."""
+    return {"source_suffix": F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))}
+
+
+def redact_scan(filename: Column, content_type: Column) -> dict[str, Column]:
+    """An uploaded photo without its bytes."""
+    return {"filename": filename, "content_type": content_type}

@@ -60,9 +60,11 @@ def _pair(a: str, va: Column, b: str, vb: Column) -> Column:
 def derive_issues(*, ok: Column, outcome_: Column, audit_ok: Column, missing: Column,
                   scanner: Column, vision: Column, attempted: Column, tried: Column,
                   resolved: Column, decoded: Column, error_code: Column,
-                  error_message: Column, variant: str) -> Column:
+                  error_message: Column, variant: str, missing_labels: Column | None = None) -> Column:
     """Array of issues of a photo.
 
+    ``missing_labels``: the indices of the labels without a code, for the evidence of the missing codes.
+
     ``variant='service'`` puts missing codes before the count mismatch, asks for
     the audit in both, and names other failures PIPELINE_ERROR.
     ``variant='persisted'`` puts the mismatch first, reports missing codes even
@@ -74,12 +76,15 @@ def derive_issues(*, ok: Column, outcome_: Column, audit_ok: Column, missing: Co
     other = F.lit("PIPELINE_ERROR") if service else F.coalesce(error_code, F.lit("UNKNOWN_ERROR"))
     bad_image = (outcome_ == "retryable_error") & ~audit_ok
     text = F.coalesce(error_message, F.lit("Unknown error"))
+    error = F.struct(error_code.alias("code"), error_message.alias("message"))
     failed = F.when(~ok, _issue(F.when(bad_image, "BAD_IMAGE").otherwise(other), "error", text,
-                                _pair("code", error_code, "message", error_message)))
+                                F.to_json(F.struct(error.alias("error")) if service else error)))
+    named = [] if missing_labels is None else [
+        F.coalesce(missing_labels, F.array().cast("array<long>")).alias("label_indices" if service else "missing_labels")]
     lost = F.when((missing > 0) & audit_ok if service else missing > 0, _issue(
         "BARCODE_MISSING", "warning",
         F.format_string("%d label(s) without a decoded barcode", missing),
-        F.to_json(F.struct(missing.alias("missing_count")))))
+        F.to_json(F.struct(missing.alias("missing_count"), *named))))
     differs = F.when(audit_ok & (scanner != vision), _issue(
         "VISION_SCANNER_MISMATCH", "info",
         F.format_string("Scanner decoded %d barcode(s) but vision found %d label(s)", scanner, vision),

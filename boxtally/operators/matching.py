@@ -168,10 +168,12 @@ def unassigned_detections(detections: DataFrame, matches: DataFrame) -> DataFram
 
 def photo_counts(labels: DataFrame, detections: DataFrame, images: DataFrame, recovery: DataFrame | None = None,
                  limit: int = GATHER_LIMIT) -> DataFrame:
-    """``image_id, visible, readings, matched, labels_tried, barcodes_found, labels_resolved`` of each photo with rows.
+    """``image_id, visible, readings, matched, labels_tried, barcodes_found, labels_resolved, missing_labels`` of each photo
+    with rows.
 
     ``labels_tried`` is the number of labels the first choice left over, for which ``recovery`` is the rescan; its
-    readings count only where there were any. Small photos need one shuffle and no written table.
+    readings count only where there were any; ``missing_labels`` lists the labels without a reading, one value per
+    photo by definition. Small photos need one shuffle and no written table.
     """
     frames = [detections] + ([] if recovery is None else [recovery])
     large = crowded_images(labels, *frames, limit=limit)
@@ -181,7 +183,8 @@ def photo_counts(labels: DataFrame, detections: DataFrame, images: DataFrame, re
         return found.select("image_id", F.col("seen").alias("visible"), (F.col("read") + F.col("found")).alias("readings"),
                             F.size("final").cast("long").alias("matched"), F.col("tried").alias("labels_tried"),
                             F.col("found").alias("barcodes_found"),
-                            (F.size("final") - F.size("first")).cast("long").alias("labels_resolved"))
+                            (F.size("final") - F.size("first")).cast("long").alias("labels_resolved"),
+                            F.col("missing").alias("missing_labels"))
 
     if large is None:
         return small(labels, *frames)
@@ -198,7 +201,11 @@ def photo_counts(labels: DataFrame, detections: DataFrame, images: DataFrame, re
     for rows, name in ((many[0], "visible"), (readings, "readings"), (final, "matched")):
         counted = counted.join(rows.groupBy("image_id").agg(F.count(F.lit(1)).alias(name)), "image_id", "left")
     counted = counted.join(counters, "image_id", "left")
-    return small(*few).unionByName(counted.select("image_id", *[F.coalesce(c, zero).alias(c) for c in counted.columns[1:]]))
+    names = [c for c in counted.columns if c != "image_id"]
+    lost = unmatched_labels(many[0], final).groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.col("label_index").cast("long"))).alias("missing_labels"))
+    return small(*few).unionByName(counted.join(lost, "image_id", "left").select(
+        "image_id", *[F.coalesce(c, zero).alias(c) for c in names], F.coalesce("missing_labels", F.array().cast("array<long>")).alias("missing_labels")))
 
 
 def _with_visible(images: DataFrame, counts: DataFrame) -> DataFrame:

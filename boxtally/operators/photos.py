@@ -70,7 +70,7 @@ def matched(photos: DataFrame) -> DataFrame:
     """Add to rows of :func:`gather` the choice after the first scan and after the second.
 
     ``first``; ``tried``: labels it leaves over; ``found``: readings of the second scan, where one was needed;
-    ``final``: the first choice, or the choice among the readings of both scans.
+    ``final``: the first choice, or the choice among the readings of both scans; ``missing``: labels without a reading.
     """
     once = photos.withColumn("pairs", F.when(F.col("image_width").isNull(), F.slice(_none(), 1, 0)).otherwise(_pairs(
         F.col("labels"), F.col("readings"), F.col("image_width"), F.col("image_height"))))
@@ -83,7 +83,10 @@ def matched(photos: DataFrame) -> DataFrame:
         "seen": F.size("labels").cast("long"),
         "read": F.size(F.filter("readings", lambda r: r["det_index"] < second)).cast("long"),
         "found": F.when(again, F.size(F.filter("readings", lambda r: r["det_index"] >= second))).otherwise(0).cast("long"),
-        "final": F.when(again, keep_greedily(F.col("pairs"), _same)).otherwise(F.col("first"))}).drop("labels", "readings", "pairs")
+        "final": F.when(again, keep_greedily(F.col("pairs"), _same)).otherwise(F.col("first"))}).withColumn(
+        "missing", F.array_sort(F.transform(F.filter("labels", lambda label: ~F.exists(
+            "final", lambda m: m["label_index"] == label["label_index"])), lambda label: label["label_index"].cast("long")))).drop(
+        "labels", "readings", "pairs")
 
 
 def _none() -> Column:

@@ -64,7 +64,8 @@ def assemble_items(labels: DataFrame, detections: DataFrame, matches: DataFrame)
 def result_summary(images: DataFrame, items: DataFrame, recovery: DataFrame | None = None) -> DataFrame:
     """Counts, outcome and status of every photo, from its items."""
     kinds = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("found", "missing", "unassigned")]
-    counted = items.groupBy("image_id").agg(*kinds)
+    lost = F.array_sort(F.collect_list(F.when(F.col("kind") == "missing", F.col("label_index").cast("long"))))
+    counted = items.groupBy("image_id").agg(*kinds, lost.alias("missing_labels"))
     if recovery is not None:
         return _summary(images.join(counted, "image_id", "left").join(recovery, "image_id", "left"))
     return _summary(images.join(counted, "image_id", "left").withColumns(
@@ -76,7 +77,7 @@ def result_summary_of_counts(images: DataFrame, counts: DataFrame) -> DataFrame:
     tried = F.col("labels_tried") > 0
     return _summary(images.join(counts.select(
         "image_id", F.col("matched").alias("found_count"), (F.col("visible") - F.col("matched")).alias("missing_count"),
-        (F.col("readings") - F.col("matched")).alias("unassigned_count"),
+        (F.col("readings") - F.col("matched")).alias("unassigned_count"), "missing_labels",
         *[F.when(tried, F.col(c)).alias(c) for c in ("labels_tried", "barcodes_found", "labels_resolved")]), "image_id", "left"))
 
 
@@ -111,7 +112,8 @@ def with_issues(summary: DataFrame, variant: str) -> DataFrame:
         ok=c("ok"), outcome_=c("outcome"), audit_ok=c("audit_available"), missing=c("missing_count"),
         scanner=c("scanner_count"), vision=c("vision_count"), attempted=c("recovery_attempted"),
         tried=c("labels_tried"), resolved=c("labels_resolved"), decoded=c("barcodes_found"),
-        error_code=code, error_message=message, variant=variant)
+        error_code=code, error_message=message, variant=variant,
+        missing_labels=c("missing_labels") if "missing_labels" in summary.columns else None)
     return summary.withColumn("issues", issues).withColumns({
         "first_issue": o.primary_issue(c("issues"), "first"),
         "gravest_issue": o.primary_issue(c("issues"), "severity"),
@@ -204,6 +206,24 @@ def scanner_status(images: DataFrame, detections: DataFrame) -> DataFrame:
         n.alias("count"))
 
 
+def scan_rows(images: DataFrame, detections: DataFrame, timed: bool = True) -> DataFrame:
+    """The printed table of a scan: status, number of codes and time of every photo."""
+    return scanner_status(images, detections).join(images.select("image_id", "elapsed_ms"), "image_id").select(
+        "image_id", "status", F.col("count").alias("barcodes"), _seconds(timed))
+
+
+def audit_rows(images: DataFrame, labels: DataFrame, timed: bool = True) -> DataFrame:
+    """The printed table of an audit: its state, visible and clear labels (a dash where it saw none) and time."""
+    joined = images.join(audit_counts(labels), "image_id", "left")
+    return joined.select("image_id", F.col("audit_state").alias("status"), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in ("visible", "clear")], _seconds(timed))
+
+
+def _seconds(timed: bool) -> Column:
+    shown = F.format_string("%.2fs", F.col("elapsed_ms") / F.lit(1000.0)) if timed else F.lit(None).cast("string")
+    return F.coalesce(shown, F.lit("-")).alias("time")
+
+
 def audit_counts(labels: DataFrame) -> DataFrame:
     """Visible and clear labels per photo."""
     return labels.groupBy("image_id").agg(

@@ -149,6 +149,24 @@ def orders_of_complete_sessions(sessions: DataFrame, items: DataFrame) -> DataFr
     return done.join(items, "session_id")
 
 
+def new_orders(sessions: DataFrame, items: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Order rows of finished sessions that have no order in ``stored`` yet, with their items by line.
+
+    The session is the key of an order, so that a repeated run adds nothing. An order of more than ``block``
+    items has further rows with the next blocks; one without items has an empty list.
+    """
+    done = sessions.filter(F.col("status") == "complete").select(
+        F.col("id").alias("session_id"), "customer_id", "branch_id", "action").join(
+        stored.select("session_id"), "session_id", "left_anti")
+    placed = in_blocks(items.join(done.select("session_id"), "session_id", "left_semi"), "session_id", ["line_id"], block)
+    lists = placed.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(
+        F.struct("place", "line_id", "barcode_value", "label_index"))).alias("items"))
+    none = F.array().cast(lists.schema["items"].dataType)
+    return done.join(lists, "session_id", "left").select(
+        "session_id", "customer_id", "branch_id", "action", F.coalesce("block", F.lit(0)).alias("block"),
+        F.lit("created").alias("status"), F.coalesce("items", none).alias("items"))
+
+
 def _lines(items: DataFrame, missing: DataFrame) -> DataFrame:
     columns = ["session_id", "line_id", "kind", "label_index", "barcode_value", "source_image"]
     held = items.withColumns({"kind": F.lit("item")})

@@ -110,7 +110,8 @@ tried_ok as (select * from tried where image_id in (select image_id from audited
 counted as (select i.image_id, i.elapsed_ms, i.scan_state <> 'error' as ok,
   i.scan_state <> 'error' and i.audit_state = 'ok' as audit_available,
   count(*) filter (kind = 'found') as found_count, count(*) filter (kind = 'missing') as missing_count,
-  count(*) filter (kind = 'unassigned') as unassigned_count
+  count(*) filter (kind = 'unassigned') as unassigned_count,
+  array_to_string(list_sort(list(label_index) filter (kind = 'missing')), ',') as missing_labels
   from images i left join (select * from items where not (kind = 'unassigned' and det_index >= 4611686018427387904
     and image_id not in (select image_id from audited))) x using (image_id) group by all),
 summary as (select c.*, found_count + missing_count as visible_label_count,
@@ -146,21 +147,24 @@ def photo_results(spark, d):
 
 
 _MISSING = """case when missing_count > 0{audit} then concat('BARCODE_MISSING/warning/', missing_count,
-  ' label(s) without a decoded barcode/{{"missing_count":', missing_count, '}}') end"""
+  ' label(s) without a decoded barcode/{{"missing_count":', missing_count, ',"{labels}":[', missing_labels, ']}}') end"""
 _DIFFERS = """case when audit_available and scanner_count <> visible_label_count then concat(
   'VISION_SCANNER_MISMATCH/info/Scanner decoded ', scanner_count, ' barcode(s) but vision found ',
   visible_label_count, ' label(s)/{"scanner_count":', scanner_count, ',"vision_count":', visible_label_count, '}') end"""
 _FAILED = """case when not ok then
-  'BAD_IMAGE/error/cannot identify image file/{"code":"invalid_image","message":"cannot identify image file"}' end"""
+  'BAD_IMAGE/error/cannot identify image file/ERROR' end"""
 _VAIN = """case when recovery_attempted and labels_resolved = 0 then concat('RECOVERY_FAILED/info/Recovery tried ',
   labels_tried, ' label(s) but resolved 0/{"labels_tried":', labels_tried, ',"barcodes_found":', barcodes_found, '}') end"""
 
 
 def _issue_sql(variant: str) -> str:
-    lost = _MISSING.format(audit=" and audit_available" if variant == "service" else "")
+    service = variant == "service"
+    lost = _MISSING.format(audit=" and audit_available" if service else "", labels="label_indices" if service else "missing_labels")
+    error = '{"code":"invalid_image","message":"cannot identify image file"}'
+    failed = _FAILED.replace("ERROR", f'{{"error":{error}}}' if service else error)
     middle = [lost, _DIFFERS] if variant == "service" else [_DIFFERS, lost]
     return f"""with {_SUMMARY},
-listed as (select image_id, list_filter([{_FAILED}, {middle[0]}, {middle[1]}, {_VAIN}], lambda x: x is not null) as l from stated)
+listed as (select image_id, list_filter([{failed}, {middle[0]}, {middle[1]}, {_VAIN}], lambda x: x is not null) as l from stated)
 select image_id, array_to_string(l, ';') as issues, len(l) as issue_count,
   split_part(l[1], '/', 1) as first_issue,
   coalesce(split_part(list_filter(l, lambda x: contains(x, '/error/'))[1], '/', 1),
@@ -351,3 +355,22 @@ select image_id, case when audit_available then concat(found_count, '/', visible
 from stated""", _ALL, recursive=True)
 def summary_rows(spark, d):
     return results.summary_rows(_photo(spark, d))
+
+
+@query("P39 A20", """
+select image_id, case when scan_state = 'error' then 'error' when n > 0 then 'found' else 'not_found' end as status,
+  case when scan_state = 'error' then 0 else coalesce(n, 0) end as barcodes,
+  concat(cast((elapsed_ms + 5) // 10 // 100 as varchar), '.', lpad(cast((elapsed_ms + 5) // 10 % 100 as varchar), 2, '0'), 's') as time
+from images left join (select image_id, count(*) as n from detection_boxes group by 1) c using (image_id)""", _BASE)
+def scan_table(spark, d):
+    return results.scan_rows(inputs.images(spark, d), inputs.detections(spark, d))
+
+
+@query("P39 A19", """
+select image_id, audit_state as status, coalesce(cast(v as varchar), '-') as visible, coalesce(cast(c as varchar), '-') as clear, '-' as time
+from images left join (select image_id, count(*) as v, count(*) filter (status = 'clear') as c from label_boxes
+  where supp % 3 = 0 group by 1) l using (image_id)""", _BASE)
+def audit_table(spark, d):
+    labels = inputs.labels(spark, d).join(build(spark, d, "label_boxes").filter("supp % 3 = 0").select("image_id", "label_index"),
+                                          ["image_id", "label_index"], "left_semi")
+    return results.audit_rows(inputs.images(spark, d), labels, timed=False)

@@ -133,6 +133,8 @@ select id, seq, case when duplicate then 'duplicate' when conv_id % 17 = 0 then
       when session_status = 'needs_user_selection' then 'needs_user_selection'
       when outcome = 'complete' then 'completed' when outcome = 'needs_better_photo' then 'needs_better_photo'
       else 'retryable_error' end
+  when type = 'audio' then case when conv_id % 23 = 0 then 'transcriber_unavailable' when media_id = '' then 'missing_media_id'
+    when conv_id % 7 = 0 then 'transcription_failed' when conv_id % 7 = 1 then 'empty_transcript' else 'completed' end
   when type = 'document' then 'unsupported_document_type'
   when type in ('text', 'interactive') then case when wants and options = 0 then null when not wants then 'completed'
     when reply_known then 'selection_resolved' else 'selection_invalid_reply' end end as status
@@ -146,7 +148,8 @@ def processing_status(spark, d):
     return joined.select("id", "seq", msg.processing_status(
         duplicate=c("duplicate"), route=msg.route_message(c("type"), c("mime_type")), media_id=c("media_id"),
         mime=c("mime_type"), failed=c("conv_id") % 17 == 0, outcome=outcome, session_status=c("session_status"),
-        pending=c("pending"), reply_known=c("reply_known")).alias("status"))
+        pending=c("pending"), reply_known=c("reply_known"), transcriber=c("conv_id") % 23 != 0,
+        transcript=F.when(c("conv_id") % 7 == 1, "  ").when(c("conv_id") % 7 > 1, "hello")).alias("status"))
 
 
 @query("P22 P23", """
@@ -184,6 +187,18 @@ def redact_uploads(spark, d):
                     load["has_url"].alias("has_url"), load["target_suffix"].alias("target_suffix"))
 
 
+@query("P41", """
+select conv_id, turn, audio_mime as mime_type, media_id <> '' as has_media_id, 'Whisper' as transcriber_type,
+  concat('f', conv_id, '.OGG') as file_name, text <> '' as has_download_url, '.ogg' as source_suffix, image_mime as content_type from chat_messages""",
+       "chat_messages")
+def redact_transcriptions(spark, d):
+    c, kind = F.col, F.lit("Whisper")
+    name = F.concat(F.lit("f"), c("conv_id").cast("string"), F.lit(".OGG"))
+    shown = msg.redact_voice(c("audio_mime"), c("media_id"), kind) | msg.redact_direct_download(name, c("audio_mime"), c("text"), kind)
+    shown |= msg.redact_conversion(F.concat(F.lit("/tmp/"), name)) | {"content_type": msg.redact_scan(name, c("image_mime"))["content_type"]}
+    return build(spark, d, "chat_messages").select("conv_id", "turn", *[v.alias(k) for k, v in shown.items()])
+
+
 @query("P44", """
 select doc_id, case doc_id % 5 when 0 then 'image/jpeg' when 1 then 'image/png' when 2 then 'image/webp' when 3 then 'image/heic' end as sniffed,
   case when doc_id % 3 = 2 then 'unsupported_image_type' when octet_length(encode(text)) + 12 > 2000 then 'image_too_large' else 'accepted' end as admission
@@ -607,6 +622,21 @@ def create_orders(spark, d):
         "session_id", "customer_id", "branch_id", "action", "line_id", "barcode_value")
 
 
+@query("K9", """
+with lines as (select session_id, line_id, barcode_value, label_index, row_number() over (partition by session_id order by line_id) - 1 as place from session_items)
+select s.id as session_id, customer_id, branch_id, action, coalesce(place // 2, 0) as block, 'created' as status,
+  coalesce(string_agg(concat(place, ':', barcode_value), ',' order by place) filter (l.session_id is not null), '') as items
+from sessions s left join lines l on l.session_id = s.id
+where s.status = 'complete' and cast(substr(s.id, 2) as bigint) % 3 <> 0 group by all""", "sessions session_items")
+def order_rows(spark, d):
+    """Order rows with their items, in blocks of two; sessions with a stored order are left out."""
+    s = build(spark, d, "sessions")
+    stored = s.filter(F.substring("id", 2, 30).cast("long") % 3 == 0).select(F.col("id").alias("session_id"))
+    orders = tables.new_orders(s, build(spark, d, "session_items"), stored, block=2)
+    text = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["place"].cast("string"), i["barcode_value"])), ",")
+    return orders.withColumn("items", text)
+
+
 @query("K11", "select session_id, line_id from session_missing where session_id not in (select id from sessions where status = 'complete')",
        "sessions session_missing")
 def clear_missing(spark, d):
