@@ -17,7 +17,9 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +29,8 @@ from boxtally.session import scratch_path
 WINDOW_WORDS = 13
 #: A table of terms or anchors up to this many rows (about 64 MB) may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of item texts that may be broadcast, and words of a document whose alignments are one row.
+BROADCAST_BYTES, STRETCH = 32 << 20, 1 << 16
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -101,31 +105,48 @@ def alignments(index: DataFrame, items: DataFrame, window: int = WINDOW_WORDS) -
     return both.select(keys).unionByName(alone.select(keys)).distinct()
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _spans_at(text: Column, item: Column, shift: Column, window: int) -> Column:
+    """Windows of an item that stand in a text when its first word faces the place ``shift``."""
+    from_doc, from_item = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+    here = F.slice(text, from_doc + 1, F.size(item) - from_item)
+    there = F.slice(item, from_item + 1, F.size(item))
+    width = F.least(F.size(item), F.lit(window))
+
+    def spans(same: Column) -> Column:
+        starts = F.when(F.size(same) >= width, F.filter(
+            F.sequence(F.lit(0), F.size(same) - width), lambda s: F.forall(F.slice(same, s + 1, width), lambda x: x)))
+        return F.transform(starts, lambda s: F.struct((from_doc + s).alias("start"), (from_doc + s + width).alias("end")))
+
+    # A text that ends before the item does leaves nothing to compare with.
+    return F.coalesce(_bound(F.zip_with(there, here, lambda a, b: F.coalesce(a == b, F.lit(False))), spans),
+                      F.array().cast("array<struct<start:int,end:int>>"))
+
+
 def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """Exact windows in documents: ``doc_id, text_hash, item_id, spans``.
 
-    ``spans`` lists ``(start, end)`` word places of the item's windows at one alignment.
+    ``spans`` lists ``(start, end)`` word places of the item's windows. All alignments of a document within
+    ``STRETCH`` words come together, by item, so a text is parted into words once per stretch and the work
+    follows the alignments.
     """
-    at = (alignments(index, items, window)
-          .join(broadcast_if_small(items, 20_000), "item_key")
-          .select(F.col("doc_id").alias("found_in"), "item_id", "shift", "words"))
-    own = docs.select("doc_id", "text")
-    pairs = own.join(at, F.col("doc_id").eqNullSafe(F.col("found_in")))
-    from_doc = F.greatest(F.col("shift"), F.lit(0))
-    from_item = F.greatest(-F.col("shift"), F.lit(0))
-    here = F.slice(alnum_words(F.col("text")), from_doc + 1, F.size("words") - from_item)
-    there = F.slice("words", from_item + 1, F.size("words"))
-    same = F.zip_with(there, here, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    width = F.least(F.size("words"), F.lit(window))
-    # explode(array(x)) keeps the optimizer from copying the comparison into every use of it.
-    compared = pairs.select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id",
-                            from_doc.alias("base"), width.alias("width"), F.explode(F.array(same)).alias("same"))
-    first_starts = F.sequence(F.lit(0), F.size("same") - F.col("width"))
-    starts = F.filter(first_starts, lambda s: F.forall(F.slice("same", s + 1, F.col("width")), lambda x: x))
-    return (compared.where(F.size("same") >= F.col("width"))
-            .select("doc_id", "text_hash", "item_id", F.transform(starts, lambda s: F.struct(
-                (F.col("base") + s).alias("start"), (F.col("base") + s + F.col("width")).alias("end"))).alias("spans"))
-            .where(F.size("spans") > 0))
+    size = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()[0]
+    stretch = F.floor(F.col("shift") / STRETCH).alias("stretch")
+    lines = alignments(index, items, window).groupBy("doc_id", stretch, "item_key").agg(F.collect_list("shift").alias("shifts"))
+    lines = (lines.join(F.broadcast(items) if size <= BROADCAST_BYTES else items, "item_key")
+             .groupBy(F.col("doc_id").alias("found_in"), "stretch")
+             .agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("lines")))
+    met = docs.select("doc_id", "text").join(lines, F.col("doc_id").eqNullSafe(F.col("found_in")))
+    # explode(array(x)) keeps the optimizer from copying the split into every use of it.
+    parted = met.select("doc_id", F.xxhash64("text").alias("text_hash"), "lines",
+                        F.explode(F.array(alnum_words(F.col("text")))).alias("own"))
+    found = F.transform("lines", lambda x: F.struct(x["item_id"].alias("item_id"), F.flatten(F.transform(
+        x["shifts"], lambda shift: _spans_at(F.col("own"), x["words"], shift, window))).alias("spans")))
+    return parted.select("doc_id", "text_hash", F.inline(F.filter(found, lambda x: F.size(x["spans"]) > 0)))
 
 
 def near_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
