@@ -113,7 +113,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Train on the bounded sample: each task sends the sparse vectors of its rows, not texts."""
+    """Train on the bounded sample, in one task; only the weights reach the driver.
+
+    The vectors are made where the texts are and sent to that task instead of them.
+    """
     def vectors(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec = Vectors()
         for b in source:
@@ -123,13 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.
                  pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))],
                 ["draw", "quality", "at", "v"])
 
-    sample = training_rows(docs, labels, most).mapInArrow(
-        vectors, "draw long, quality int, at array<int>, v array<float>").toArrow()
-    order = sorted(range(sample.num_rows), key=lambda i: (sample["draw"][i].as_py(), sample["quality"][i].as_py(),
-                                                          len(sample["at"][i])))
-    rows = [((np.asarray(sample["at"][i].values, np.int64), np.asarray(sample["v"][i].values, np.float64)),
-             int(sample["quality"][i].as_py() > 0)) for i in order]
-    return train_ftrl(rows)
+    def learned(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(draw, quality, np.asarray(at.values, np.int64), np.asarray(v.values, np.float64)) for b in source
+                  for draw, quality, at, v in zip(b["draw"].to_pylist(), b["quality"].to_pylist(), b["at"], b["v"])]
+        sample.sort(key=lambda r: (r[0], r[1], len(r[2])))
+        w, bias = train_ftrl([((at, v), int(quality > 0)) for _, quality, at, v in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["w", "bias"])
+
+    sample = training_rows(docs, labels, most).mapInArrow(vectors, "draw long, quality int, at array<int>, v array<float>")
+    row = sample.repartition(1).mapInArrow(learned, "w binary, bias double").first()
+    # Without rows there may be no task either: then all weights are 0.
+    return (np.zeros(2**BITS, np.float32), 0.0) if row is None else (np.frombuffer(row.w, np.float32), row.bias)
 
 
 def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.RecordBatch], list[float]]:
