@@ -39,7 +39,8 @@ _PIECE = 40
 
 
 def words_of(text: str | None) -> list[str]:
-    found = _LETTERS.findall((text or "").lower())
+    # The pattern takes numerals that are no digits (², ½, ①) as well; alone they are no word.
+    found = [w for w in _LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
     if any(len(w) > _PIECE for w in found):
         found = [w[i:i + _PIECE] for w in found for i in range(0, len(w), _PIECE)]
     return found
