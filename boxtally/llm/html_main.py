@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,74 +53,128 @@ FURNITURE_WORDS = set(
     "search share sharing social comment comments reply replies disqus respond discussion pagination pager skip legal "
     "copyright gdpr privacy form complementary contentinfo".split())
 MAIN_WORDS = set("article content main post entry body story text maincontent".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-                  re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_SPECIAL = re.compile(r"[>\"']")
+_NAME = re.compile(r"[^\s/>]*+")
+_ATTR = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _tags(text: str) -> Iterator[tuple[int, str | None, bool, str, str]]:
+    """Marks of a page in order: ``start, end, content, closing, name, attributes``; sent the place to go on from.
+
+    A tag ends at the first > outside quotes; one that never does is text. Where tags end is worked out from
+    the right for all quotes at once, so broken pages of any length take linear time. ``content`` is that of
+    a character-data section; comments and declarations have neither content nor name.
+    """
+    places = [m.start() for m in _SPECIAL.finditer(text)]
+    ends, later = [-1] * (len(places) + 1), {}
+    for i in range(len(places) - 1, -1, -1):
+        c = text[places[i]]
+        ends[i] = places[i] + 1 if c == ">" else ends[later[c] + 1] if c in later else -1
+        later[c] = i
+    last_end, last_data = text.rfind(">"), text.rfind("]]>")
+    name_from, name_to = 0, 0
+    at = text.find("<")
+    while at >= 0:
+        end, content, closing, name, attributes = -1, None, False, "", ""
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            end = len(text) if end < 0 else end + 3
+        elif text.startswith("<![CDATA[", at) and last_data >= at + 9:
+            stop = text.find("]]>", at + 9)
+            end, content = stop + 3, text[at + 9:stop]
+        elif text.startswith(("<!", "<?"), at):
+            end = text.find(">", at + 2) + 1 if last_end >= at + 2 else -1
+        else:
+            closing = text.startswith("</", at)
+            first = at + 1 + closing
+            if first < len(text) and text[first].isascii() and text[first].isalpha():
+                if not name_from <= first < name_to:
+                    name_from, name_to = first, _NAME.match(text, first).end()
+                end = ends[bisect_left(places, name_to)]
+                if end >= 0:
+                    name, attributes = text[first:name_to], text[name_to:end - 1]
+        if end >= 0:
+            to = yield at, end, content, closing, name, attributes
+            at = text.find("<", end if to is None else to)
+        else:
+            at = text.find("<", at + 1)
+
+
 class Page:
     """Elements of a page in document order and its text runs with the element each stands in."""
 
     def __init__(self, html: str | None) -> None:
         self.tag, self.parent, self.attrs = ["#root"], [-1], [frozenset()]
         self.runs: list[tuple[int, str]] = []  # (element, text); "" marks a block break
-        stack, at, text = [0], 0, html or ""
-
-        def data(s: str) -> None:
-            if s:
-                self.runs.append((stack[-1], entities.unescape(s)))
-
-        def leave(depth: int) -> None:
-            for n in stack[depth:]:
-                if self.tag[n] not in INLINE:
-                    self.runs.append((self.parent[n], ""))
-            del stack[depth:]
-
-        while m := _TAG.search(text, at):
-            data(text[at:m.start()])
-            at = m.end()
-            if m[1] is not None:
-                data(m[1])
-            if not m[3]:
-                continue
-            tag = m[3].lower()
-            if m[2]:
-                for d in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[d]] == tag:
-                        leave(d)
-                        break
-                continue
-            block = tag not in INLINE
-            if block:  # a block ends an open paragraph; items end the item before
-                for d in range(len(stack) - 1, 0, -1):
-                    open_ = self.tag[stack[d]]
-                    if open_ == "p":
-                        leave(d)
-                        break
-                    if open_ in CLOSES.get(tag, ()):
-                        leave(d)
-                        break
-                    if open_ not in INLINE:
-                        break
-                self.runs.append((stack[-1], ""))
-            self.tag.append(tag)
-            self.parent.append(stack[-1])
-            self.attrs.append(self._attribute_words(m[4]) if m[4] else frozenset())
-            if tag == "br":
-                self.runs.append((stack[-1], " "))
-            if tag in VOID or m[4].rstrip().endswith("/") and tag in ("svg", "path", "use", "rect", "circle"):
-                continue
-            stack.append(len(self.tag) - 1)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-                stop = end.start() if end else len(text)
-                if text[at:stop].strip():
-                    self.runs.append((stack[-1], text[at:stop]))
-                at = end.end() if end else len(text)
-                leave(len(stack) - 1)
-        data(text[at:])
+        self._stack, self._open = [0], Counter()
+        at, text = 0, html or ""
+        marks = _tags(text)
+        mark = next(marks, None)
+        while mark is not None:
+            start, end, content, closing, name, attributes = mark
+            self._data(text[at:start])
+            at = end
+            if content is not None:
+                self._data(content)
+            if closing and name:
+                self._close(name.lower())
+            elif name:
+                at = self._element(name.lower(), attributes, text, at)
+            try:
+                mark = marks.send(at)
+            except StopIteration:
+                break
+        self._data(text[at:])
+
+    def _data(self, s: str) -> None:
+        if s:
+            self.runs.append((self._stack[-1], entities.unescape(s)))
+
+    def _leave(self, depth: int) -> None:
+        for n in self._stack[depth:]:
+            self._open[self.tag[n]] -= 1
+            if self.tag[n] not in INLINE:
+                self.runs.append((self.parent[n], ""))
+        del self._stack[depth:]
+
+    def _close(self, tag: str) -> None:
+        if self._open[tag] > 0:
+            d = len(self._stack) - 1
+            while self.tag[self._stack[d]] != tag:
+                d -= 1
+            self._leave(d)
+
+    def _element(self, tag: str, attributes: str, text: str, at: int) -> int:
+        """Enter an element; returns the place to go on from, behind the content of raw elements."""
+        stack = self._stack
+        if tag not in INLINE:  # a block ends an open paragraph; items end the item before
+            for d in range(len(stack) - 1, 0, -1):
+                above = self.tag[stack[d]]
+                if above == "p" or above in CLOSES.get(tag, ()):
+                    self._leave(d)
+                    break
+                if above not in INLINE:
+                    break
+            self.runs.append((stack[-1], ""))
+        self.tag.append(tag)
+        self.parent.append(stack[-1])
+        self.attrs.append(self._attribute_words(attributes) if attributes else frozenset())
+        if tag == "br":
+            self.runs.append((stack[-1], " "))
+        if tag in VOID or attributes.rstrip().endswith("/") and tag in ("svg", "path", "use", "rect", "circle"):
+            return at
+        stack.append(len(self.tag) - 1)
+        self._open[tag] += 1
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
+            stop = end.start() if end else len(text)
+            if text[at:stop].strip():
+                self.runs.append((stack[-1], text[at:stop]))
+            at = end.end() if end else len(text)
+            self._leave(len(stack) - 1)
+        return at
 
     @staticmethod
     def _attribute_words(raw: str) -> frozenset[str]:

@@ -261,3 +261,70 @@ def test_find_odd_rows(spark):
     assert out[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert personal_data.find(docs.limit(0)).count() == 0
     assert personal_data.find(spark.createDataFrame([(1, "nothing 12")], "doc_id long, text string")).first().n_added == 0
+
+
+# -- earlier operators: broken pages, numerals, many hits in one text -----------
+
+@pytest.mark.parametrize("page", ["<a b " * 200_000, "<a x='" * 170_000, "<a<" * 300_000, "<a " + "x" * 10**6, "<![CDATA[" * 100_000, "<!" * 500_000,
+                                  "<div>" * 100_000 + "</p>" * 100_000, '<a x="' * 100_000 + ">", "<" * 10**6])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    from boxtally.llm import html_main
+
+    start = time.time()
+    html_main.Page(page)
+    assert time.time() - start < 15
+
+
+def test_marks_of_a_page():
+    from boxtally.llm import html_main
+
+    found = [(m[2], m[3], m[4], m[5]) if len(m) > 5 else m[2:] for m in html_main._tags(
+        "a<b x='>'>c<!-- <i> --></B >d<![CDATA[e<f>]]><!doctype g><1><a \"")]
+    assert found == [(None, False, "b", " x='>'"), (None, False, "", ""), (None, True, "B", " "), ("e<f>", False, "", ""), (None, False, "", "")]
+
+
+def test_numerals_are_no_letters():
+    from boxtally.llm import language
+
+    model = language.Model(["en"], [Counter({"word": 3})])
+    assert language.Scorer(model)("² ½ ① 12 !")[0] == "und" and language.Scorer(model)("x² ½")[0] == "en"
+
+
+def test_many_hits_in_one_text(spark):
+    """Twenty thousand words, each a hit of a one-word item: the text is parted once, not once per hit."""
+    import time
+
+    from boxtally.llm import decontam
+
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "a the b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the the the")], "item_id long, text string")
+    start = time.time()
+    rows = {r.doc_id: r for r in decontam.contamination(docs, items).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[2].n_hit, rows[2].n_items) == (20_000, 2, 1, 1)
+    assert time.time() - start < 60
+
+
+def test_decontamination_equals_brute_force(spark):
+    from boxtally.llm import decontam
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "e", "f", "g"] + [f"w{i}" for i in range(20)]
+    docs = [(i, " ".join(rng.choice(words[:rng.choice([3, 7, 27])]) for _ in range(rng.randrange(0, 80)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(words[:rng.choice([3, 7, 27])]) for _ in range(rng.choice([1, 2, 3, 5, 13, 14, 20])))) for i in range(22)]
+    docs = [(i, f"{t} {items[i % 22][1]} x") if i % 7 == 0 else (i, t) for i, t in docs]
+    want = set()
+    for doc_id, text in docs:
+        own, hit, seen = text.split(), set(), set()
+        for item_id, item in items:
+            item = item.split()
+            n = min(13, len(item))
+            grams = {tuple(item[k:k + n]) for k in range(len(item) - n + 1)}
+            for k in range(len(own) - n + 1):
+                if tuple(own[k:k + n]) in grams:
+                    hit |= set(range(k, k + n))
+                    seen.add(item_id)
+        want.add((doc_id, len(own), len(hit), len(seen)))
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()} == want
