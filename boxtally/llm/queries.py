@@ -34,7 +34,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents come in three batches; a tenth is revised and revised back, another deleted and put back.
 
-    A batch id is replayed as well, so all kinds of deltas run over the whole table and the totals are those of it.
+    The totals are folded on the way and a batch id is replayed, so all kinds of deltas run over the whole table and the
+    totals are those of it.
     """
     docs, rollup = table(spark, sf_dir, "documents"), token_counts.Rollup(spark, scratch_path(spark, "token-rollup"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(30))
@@ -45,6 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = old.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised")))
     rollup.commit("revise-1", token_counts.revised(old, new))
     rollup.commit("delete-1", token_counts.deleted(gone))
+    rollup.fold()
     rollup.commit("revise-2", token_counts.revised(new, old))
     rollup.commit("insert-2", token_counts.inserted(gone))
     rollup.commit("load-1", loads[0])

@@ -2,7 +2,7 @@
 
 Documents that come add their counts, documents that go subtract them, revised ones do both.
 Each batch of changes is reduced to one delta per (source, lang, tokenizer version)
-and committed under its batch id; totals are the sum of all committed deltas. A batch id that is
+and committed under its batch id; totals are the last stored total (a fold) and the deltas committed since. A batch id that is
 committed already is left alone, and a batch that died half-way has no success mark, is
 not read and is written anew, so a replay never counts twice.
 
@@ -123,8 +123,38 @@ class Rollup:
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=")
                       and self.committed(n.removeprefix("batch=")))
 
-    def totals(self) -> DataFrame:
-        paths = [f"{self.root}/batch={b}" for b in self.batches()]
+    def _folds(self) -> list[int]:
+        fs, p = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        found = [int(n.removeprefix("folded=")) for n in names if n.startswith("folded=")]
+        return sorted(n for n in found if fs.exists(self._fs(f"{self.root}/folded={n}/totals/_SUCCESS")[1]))
+
+    def _parts(self) -> tuple[int, list[str], list[str]]:
+        """The newest fold (0: none), the batches in it, and the folders that make up the totals."""
+        newest = max(self._folds(), default=0)
+        inside: list[str] = []
+        if newest:
+            inside = [r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/folded={newest}/ids").collect()]
+        later = sorted(set(self.batches()) - set(inside))
+        paths = [f"{self.root}/batch={b}" for b in later] + ([f"{self.root}/folded={newest}/totals"] if newest else [])
+        return newest, inside + later, paths
+
+    def _sum(self, paths: list[str]) -> DataFrame:
         read = self.spark.read.schema(self.SCHEMA)
         rows = read.parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+    def fold(self) -> None:
+        """Store the totals of all batches so far: later reads take them and only the batches that come after.
+
+        The fold counts once its totals are written whole; the ids of its batches are written before. Batch
+        folders stay as the marks that keep a replay out.
+        """
+        newest, batches, paths = self._parts()
+        to = f"{self.root}/folded={newest + 1}"
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        ids.coalesce(1).write.mode("overwrite").parquet(f"{to}/ids")
+        self._sum(paths).write.mode("overwrite").parquet(f"{to}/totals")
+
+    def totals(self) -> DataFrame:
+        return self._sum(self._parts()[2])

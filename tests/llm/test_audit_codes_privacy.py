@@ -328,3 +328,31 @@ def test_decontamination_equals_brute_force(spark):
         want.add((doc_id, len(own), len(hit), len(seen)))
     got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()} == want
+
+
+def test_folded_totals(spark):
+    from boxtally.llm import token_counts
+    from boxtally.session import scratch_path
+
+    versions = {"w": lambda: lambda t: len(t.split())}
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "fold"))
+
+    def add(batch, rows, sign=token_counts.inserted):
+        return rollup.commit(batch, sign(spark.createDataFrame(rows, "text string, source string, lang string")), versions)
+
+    def now():
+        return sorted((r.source, r.docs, r.tokens) for r in rollup.totals().collect())
+
+    rollup.fold()
+    assert now() == []
+    add("a", [("x y", "s", "l"), ("z", "t", "l")])
+    rollup.fold()
+    assert now() == [("s", 1, 2), ("t", 1, 1)] and len(rollup._parts()[2]) == 1
+    add("b", [("x y", "s", "l")], token_counts.deleted)
+    assert not add("a", [("again", "s", "l")]) and now() == [("s", 0, 0), ("t", 1, 1)]
+    rollup.fold()
+    rollup.fold()
+    assert now() == [("s", 0, 0), ("t", 1, 1)] and rollup.batches() == ["a", "b"] and len(rollup._parts()[2]) == 1
+    # a fold that died before its totals were whole does not count
+    spark.createDataFrame([("lost",)], "batch string").write.parquet(f"{rollup.root}/folded=9/ids")
+    assert now() == [("s", 0, 0), ("t", 1, 1)]
