@@ -29,7 +29,7 @@ def test_changes_equal_a_dictionary(spark, by_month):
     want = {str(i): (f"1995-{i % 6:02d}", "new", i) for i in range(40)}
     table.create(spark.createDataFrame([(k, *v) for k, v in want.items()], SCHEMA))
     versions = {table.version(): dict(want)}
-    for step in range(9):
+    for step in range(9 if by_month else 5):
         ids = [str(rng.randrange(60)) for _ in range(8)]
         keys = spark.createDataFrame([(i,) for i in ids], "id string")
         kind = step % 4
@@ -49,8 +49,8 @@ def test_changes_equal_a_dictionary(spark, by_month):
         versions[table.version()] = dict(want)
         assert rows_of(table.read()) == want
         assert rows_of(table.current(keys)) == {i: want[i] for i in ids if i in want}
-    for version, rows in versions.items():
-        assert rows_of(table.read(version)) == rows
+    for version in list(versions)[1::3]:
+        assert rows_of(table.read(version)) == versions[version]
     table.compact()
     assert not table._state()["log"]
     table.clean()

@@ -154,8 +154,13 @@ def test_photo_counts_by_both_ways(spark, recovered):
     l, d, i, labels, dets = random_photo(spark, 7)
     extra = spark.createDataFrame([(a, li, f"r{li}", "Code128", (b or t)) for a, li, t, b, _ in labels if li % 2],
                                   f"image_id int, det_index int, value string, format string, box {BOX}") if recovered else None
-    counts = {tuple(r) for r in matching.photo_counts(l, d, i, extra, 10_000).collect()}
-    assert {tuple(r) for r in matching.photo_counts(l, d, i, extra, 10).collect()} == counts
+    def counted(limit):
+        rows = matching.photo_counts(l, d, i, extra, limit).collect()
+        assert all(len(r.missing_labels) == r.visible - r.matched for r in rows)
+        return {(*tuple(r)[:-1], tuple(r.missing_labels)) for r in rows}
+
+    counts = counted(10_000)
+    assert counted(10) == counts
     final = matching.with_recovery(l, d, extra, i, 10)[1] if recovered else matching.match_labels(l, d, i)
     assert {r.image_id: r["count"] for r in final.groupBy("image_id").count().collect()} == {r[0]: r[3] for r in counts if r[3]}
     assert sum(r[1] for r in counts) == len(labels)
