@@ -16,6 +16,7 @@ from pyspark.sql.types import VariantType
 from boxtally.functions.rates import avg1, format_latency, pct
 from boxtally.functions.text import meta_bool, meta_int, meta_str, variant_bool, variant_int, variant_str
 
+# The field names of runs, as stored and as metadata carries them.
 GROUP_FIELDS = (
     "pipeline_version", "scanner_version", "recovery_version",
     "vision_prompt_version", "vision_model", "source",

@@ -38,8 +38,8 @@ def examples(docs: DataFrame) -> DataFrame:
 def image_inventory(spark: SparkSession, path: str, *, sniff: bool = False) -> DataFrame:
     """Files below ``path`` with size and media type.
 
-    By name alone no file is opened; ``sniff`` reads the first bytes where the
-    name says nothing.
+    By name alone no file is opened. ``sniff`` judges files whose name says nothing by their first bytes; the
+    source then reads every file whole, so it is for folders of uploads, not for large stores.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
