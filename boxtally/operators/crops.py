@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,52 +77,74 @@ def fold_decode_attempts(attempts: DataFrame) -> DataFrame:
     return kept.withColumn("unresolved", F.col("first_success").isNull()).drop("first_success")
 
 
-#: rounds of a clustering at most, and the step in pixels below which it has settled
-CLUSTER_ROUNDS, SETTLED = 30, 0.5
-
-
-def _nearest(value: Column, centers: Column) -> Column:
-    """Index of the nearest centre, the lower one of equals."""
-    gaps = F.transform(centers, lambda c: F.abs(value - c))
-    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+def _cluster(values: np.ndarray, present: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """1-D k-means of many short rows at once; rows are sorted, absent cells are inf.
 
-
-def cluster_line(values: Column, k: int) -> Column:
-    """``centers, ok, moving``: k-means of a short sorted array of numbers.
-
-    The centres start at even ranks; a centre without members ends it as not ok. The rounds are a fold over a
-    fixed sequence in which a settled row no longer changes.
+    Returns the centres and which rows converged without an empty cluster.
     """
-    starts = F.array(*[F.get(values, F.rint(F.lit(i) * (F.size(values) - 1) / max(k - 1, 1)).cast("int")) for i in range(k)])
-    begin = F.struct(starts.alias("centers"), F.lit(True).alias("ok"), F.lit(True).alias("moving"))
-
-    def moved(state: Column) -> Column:
-        near = F.transform(values, lambda v: F.struct(v.alias("v"), _nearest(v, state["centers"]).alias("c")))
-        groups = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.filter(near, lambda m: m["c"] == c))
-        # An empty group has no mean.
-        means = F.transform(groups, lambda m: F.aggregate(m, F.lit(0.0), lambda n, x: n + x["v"]) / F.nullif(F.size(m), F.lit(0)))
-        return F.struct(means.alias("centers"))
-
-    def judged(state: Column, means: Column) -> Column:
-        whole = ~F.exists(means, lambda c: c.isNull())
-        still = F.forall(F.zip_with(means, state["centers"], lambda a, b: F.abs(a - b)), lambda d: d < SETTLED)
-        return F.struct(F.when(whole, means).otherwise(state["centers"]).alias("centers"), whole.alias("ok"), (whole & ~still).alias("moving"))
-
-    def step(state: Column, _: Column) -> Column:
-        # The means are needed several times: one element of an array, so that they are worked out once.
-        after = F.transform(F.array(moved(state)), lambda m: judged(state, m["centers"]))
-        return F.when(state["moving"], F.get(after, 0)).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CLUSTER_ROUNDS)), begin, step)
-
-
-def _spacing(centers: Column, fallback: Column) -> Column:
-    """Median of the positive gaps between neighbouring centres."""
-    gaps = F.zip_with(F.slice(centers, 2, F.size(centers) - 1), F.slice(centers, 1, F.size(centers) - 1), lambda b, a: b - a)
-    some = F.array_sort(F.filter(gaps, lambda d: d > 0))
-    n = F.size(some)
-    middle = (F.get(some, F.floor((n - 1) / 2).cast("int")) + F.get(some, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, middle).otherwise(fallback)
+    n = present.sum(axis=1)
+    rank = np.rint(np.arange(k)[None, :] * (n - 1)[:, None] / max(k - 1, 1)).astype(int)
+    centers = np.take_along_axis(values, rank, axis=1)
+    ok = np.ones(len(values), dtype=bool)
+    moving = ok.copy()
+    filled = np.where(present, values, 0.0)
+    for _ in range(rounds):
+        if not moving.any():
+            break
+        gap = np.abs(filled[:, :, None] - centers[:, None, :])
+        member = (gap.argmin(axis=2)[:, :, None] == np.arange(k)) & present[:, :, None]
+        size = member.sum(axis=1)
+        ok &= ~(moving & (size == 0).any(axis=1))
+        moving &= ok
+        moved = (filled[:, :, None] * member).sum(axis=1) / np.maximum(size, 1)
+        settled = (np.abs(centers - moved) < 0.5).all(axis=1)
+        centers = np.where(moving[:, None], moved, centers)
+        moving &= ~settled
+    return np.sort(centers, axis=1), ok
+
+
+def _spacing(centers: np.ndarray, fallback: np.ndarray) -> np.ndarray:
+    gaps = np.diff(centers, axis=1)
+    gaps = np.where(gaps > 0, gaps, np.nan)
+    some = ~np.isnan(gaps).all(axis=1)
+    out = fallback.astype(float).copy()
+    out[some] = np.nanmedian(gaps[some], axis=1)
+    return out
+
+
+def _dense(lists: pa.Array) -> np.ndarray:
+    """List values as rows of one matrix, sorted, filled up with inf."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(lists), int(sizes.max())), np.inf)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    out[row, np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _gaps(batches: Iterator[pa.RecordBatch], rows: int, columns: int) -> Iterator[pa.RecordBatch]:
+    """Empty grid cells of all images of a batch at once; nothing is done image by image."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, w, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        xs, ys = _dense(batch.column(3)), _dense(batch.column(4))
+        present = np.isfinite(xs)
+        cx, okx = _cluster(np.sort(xs, axis=1), present, columns)
+        cy, oky = _cluster(np.sort(ys, axis=1), present, rows)
+        col = np.abs(np.where(present, xs, 0.0)[:, :, None] - cx[:, None, :]).argmin(axis=2)
+        row = np.abs(np.where(present, ys, 0.0)[:, :, None] - cy[:, None, :]).argmin(axis=2)
+        taken = np.zeros((len(ids), rows * columns), dtype=bool)
+        image, point = np.nonzero(present)
+        taken[image, row[image, point] * columns + col[image, point]] = True
+        image, cell = np.nonzero(~taken & (okx & oky)[:, None])
+        dx, dy = _spacing(cx, w / columns), _spacing(cy, h / rows)
+        found = (ids[image], w[image], h[image], (cell // columns).astype(np.int32), (cell % columns).astype(np.int32),
+                 cx[image, cell % columns], cy[image, cell // columns], dx[image], dy[image])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_CELL_COLUMNS)
+
+
+_CELL_COLUMNS = ["image_id", "image_width", "image_height", "grid_row", "grid_column", "cx", "cy", "dx", "dy"]
 
 
 def infer_grid_gaps(detections: DataFrame, images: DataFrame, rows: int = TILE_ROWS,
@@ -137,18 +163,10 @@ def infer_grid_gaps(detections: DataFrame, images: DataFrame, rows: int = TILE_R
     points = primary.join(counted, "image_id", "left_semi").groupBy("image_id").agg(
         F.collect_list(center).alias("points"))
     sized = points.join(images.select("image_id", "image_width", "image_height"), "image_id")
-    axes = sized.select("image_id", "image_width", "image_height", "points", *[
-        cluster_line(F.array_sort(F.col("points")[c]), k).alias(c) for c, k in (("x", columns), ("y", rows))])
-    found = axes.filter("x.ok and y.ok").select(
-        "image_id", "image_width", "image_height", "points", F.array_sort("x.centers").alias("cx"), F.array_sort("y.centers").alias("cy"))
-    taken = F.transform("points", lambda p: _nearest(p["y"], F.col("cy")) * columns + _nearest(p["x"], F.col("cx")))
-    free = F.array_except(F.sequence(F.lit(0), F.lit(rows * columns - 1)), taken)
-    row, column = F.floor(F.col("cell") / columns).cast("int"), (F.col("cell") % columns).cast("int")
-    cells = found.select(
-        "*", F.explode(free).alias("cell"), _spacing(F.col("cx"), F.col("image_width") / columns).alias("dx"),
-        _spacing(F.col("cy"), F.col("image_height") / rows).alias("dy")).select(
-        "image_id", "image_width", "image_height", row.alias("grid_row"), column.alias("grid_column"), "dx", "dy",
-        F.get("cx", column).alias("cx"), F.get("cy", row).alias("cy"))
+    lists = sized.select(F.col("image_id").cast("long").alias("image_id"), "image_width", "image_height",
+                         F.col("points.x").alias("xs"), F.col("points.y").alias("ys"))
+    cells = lists.mapInArrow(lambda it: _gaps(it, rows, columns), (
+        "image_id long, image_width int, image_height int, grid_row int, grid_column int, cx double, cy double, dx double, dy double"))
     hw, hh = F.col("dx") * width_ratio / 2, F.col("dy") * height_ratio / 2
     return cells.select("image_id", "grid_row", "grid_column", _window(
         F.col("cx") - hw, F.col("cy") - hh, F.col("cx") + hw, F.col("cy") + hh).alias("box"))
