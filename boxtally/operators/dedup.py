@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxtally.functions import arrays
 from boxtally.functions import geometry as g
 from boxtally.operators.greedy import GATHER_LIMIT, ordered_greedy
 
@@ -39,7 +40,8 @@ def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFr
 
     order = {"area": -g.area(F.col("box")), "ord": F.col("ord")}
     return ordered_greedy(detections, "image_id", order, same_reading, reach=reading_reach, within=["format"],
-                          prepare=collapse, limit=limit)
+                          test=lambda a, b: arrays.same_reading(a, b, MISREAD_TOLERANCE), fields=["value", "format", "box"],
+                          alike=["value", "format", "box"], prepare=collapse, limit=limit)
 
 
 def reading_order(df: DataFrame, box: str = "box") -> DataFrame:

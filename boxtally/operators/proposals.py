@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxtally.functions import arrays
 from boxtally.functions import geometry as g
 from boxtally.operators.greedy import GATHER_LIMIT, ordered_greedy
 
@@ -24,7 +25,8 @@ def suppress_overlaps(scored: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame
 
 def _suppress(rows: DataFrame, prepare, limit: int = GATHER_LIMIT) -> DataFrame:
     order = {"score": -F.col("score"), "ord": F.col("proposal_id")}
-    return ordered_greedy(rows, "image_id", order, overlaps, reach=lambda row: row["box"], prepare=prepare, limit=limit)
+    return ordered_greedy(rows, "image_id", order, overlaps, reach=lambda row: row["box"],
+                          test=arrays.overlaps, fields=["box"], prepare=prepare, limit=limit)
 
 
 def clear_proposals(proposals: DataFrame, images: DataFrame) -> DataFrame:

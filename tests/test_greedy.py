@@ -239,3 +239,40 @@ def test_dedup_moves_rows_once(spark):
     rows = random_readings(1, 60, 0.5)
     df = spark.createDataFrame(rows, f"image_id int, ord int, value string, format string, box {BOX}")
     assert exchanges(spark, lambda: dedup.dedup_detections(df)) == 1
+
+
+def test_array_conflicts_equal_columns(spark):
+    """What tasks judge by arrays is what the column expressions say, also for null values and formats."""
+    import numpy as np
+
+    from boxtally.functions import arrays
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        x, y, u, v = (rng.randrange(0, 90) for _ in range(4))
+        rows.append((i, *[(rng.choice(["1", "2", None]), rng.choice(["Q", "C", None]), (a, b, a + rng.randrange(0, 200), b + rng.randrange(0, 200)))
+                          for a, b in ((x, y), (u, v))]))
+    one = f"struct<value:string,format:string,box:{BOX}>"
+    df = spark.createDataFrame(rows, f"i int, a {one}, b {one}")
+    got = df.select("i", F.coalesce(dedup.same_reading(F.col("a"), F.col("b")), F.lit(False)),
+                    proposals.overlaps(F.col("a"), F.col("b"))).orderBy("i").collect()
+    code = {None: -1, "1": 1, "2": 2, "Q": 1, "C": 2}
+
+    def side(k):
+        return {c: np.array([code[r[k][j]] for r in rows]) for j, c in enumerate(("value", "format"))} | {
+            "box": {c: np.array([r[k][2][j] for r in rows]) for j, c in enumerate(("x1", "y1", "x2", "y2"))}}
+
+    a, b = side(1), side(2)
+    assert arrays.same_reading(a, b, dedup.MISREAD_TOLERANCE).tolist() == [r[1] for r in got]
+    assert arrays.overlaps(a, b).tolist() == [r[2] for r in got]
+
+
+def test_keyed_steps_grow_tasks_with_rows(spark, monkeypatch):
+    """Ten times the rows are dealt to ten times the tasks, so that none holds more of them."""
+    from boxtally import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    df = spark.range(10)
+    assert session.deal(df, 1000, "id").rdd.getNumPartitions() == 10
+    assert session.deal(df, 10_000, "id").rdd.getNumPartitions() == 100
