@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtally.session import cut_lineage
+from boxtally.session import cut_lineage, deal, tasks
 
 BLOCK = 512
 
@@ -21,20 +21,22 @@ def in_blocks(rows: DataFrame, key: str, order: list[str], block: int = BLOCK) -
     numbered inside each range, and shifted by the sizes of the ranges before; no task sees a whole group.
     """
     rows = cut_lineage(rows)
+    total, spark = rows.count(), rows.sparkSession
     large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(key)
-    small = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-    large = cut_lineage(large)
+    small = deal(rows, total, key).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    large, spread = cut_lineage(large), None
     if not large.isEmpty():
-        small = rows.join(large, key, "left_anti").withColumn(
+        small = deal(rows.join(large, key, "left_anti"), total, key).withColumn(
             "place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
         # Written, so that a range has the same rows when it is counted and when it is numbered.
-        ranged = cut_lineage(rows.join(large, key, "left_semi").repartitionByRange(key, *order).withColumn(
+        ranged = cut_lineage(rows.join(large, key, "left_semi").repartitionByRange(tasks(spark, total), key, *order).withColumn(
             "_range", F.spark_partition_id()))
         sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select(key, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
         nth = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)) - 1
-        spread = ranged.withColumn("place", nth).join(starts, [key, "_range"]).withColumn("place", F.col("place") + F.col("_start"))
+        spread = deal(ranged, total, key, "_range").withColumn("place", nth).join(starts, [key, "_range"]).withColumn("place", F.col("place") + F.col("_start"))
         small = small.unionByName(spread.select(*rows.columns, "place"))
     place = F.col("place").cast("long")
-    return small.withColumns({"place": place, "block": F.floor(place / block)})
+    placed = small.withColumns({"place": place, "block": F.floor(place / block)})
+    return placed if spread is None else deal(placed, total, key, "block")
