@@ -10,6 +10,7 @@ from boxtally.functions.outcome import LATENCY_LIMIT_MS
 from boxtally.operators.greedy import GATHER_LIMIT, keep_greedily
 from boxtally.operators.matching import centers, crowded_images, match_pairs, points_in_regions
 from boxtally.operators.metrics import p95_nearest_rank
+from boxtally.session import deal
 
 RECALL_GATE, PRECISION_GATE, OUTCOME_GATE = 0.90, 0.95, 0.80
 
@@ -23,9 +24,10 @@ def value_scores(expected: DataFrame, found: DataFrame, images: DataFrame) -> Da
     Works on ``image_id, value`` rows: both sides are counted per value first,
     so a photo with very many readings is spread over its values.
     """
-    want = expected.select("image_id", "value").distinct().withColumn("wanted", F.lit(1))
-    read = found.groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("reads"))
-    both = want.join(read, ["image_id", "value"], "full")
+    key, rows = ["image_id", "value"], expected.count() + found.count()
+    want = deal(expected.select(*key), rows, *key).distinct().withColumn("wanted", F.lit(1))
+    read = deal(found.select(*key), rows, *key).groupBy(*key).agg(F.count(F.lit(1)).alias("reads"))
+    both = deal(want.join(read, key, "full"), rows, "image_id")
     hit = F.col("wanted").isNotNull() & F.col("reads").isNotNull()
     per_image = both.groupBy("image_id").agg(
         F.count("wanted").alias("expected"), F.count_if(hit).alias("hits"),
