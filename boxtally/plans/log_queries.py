@@ -181,7 +181,7 @@ def logged_sessions(spark, d):
     parents.update(patch, lambda rows: tables.apply_partial_update(rows, patch, F.lit(99).cast("long")))
     named = s.filter(k % 4 == 0).select("id")
     parents.update(named, lambda rows: tables.close_sessions(rows, named, F.lit(99).cast("long")))
-    gone = parents.read().filter("status = 'expired'").select("id")
+    gone = cut_lineage(parents.read().filter("status = 'expired'").select("id"))  # used three times
     for child in children.values():
         child.delete_where("session_id", gone)
     parents.delete(gone)

@@ -1,7 +1,7 @@
 """Stored tables that take changes without being rewritten.
 
 A table is a base and a log. The base is Parquet, one folder per part (a month, or a bucket of the key); the log is
-one folder per change, with the new state of each row that changed or a mark that it is gone. Reading merges:
+one folder per change, with the new state of each row that changed, or its key and a mark that it is gone. Reading merges:
 parts without changes are read as they are, in the others the newest log row of a key replaces its base row. So a
 change costs what it changes, and compaction rewrites the parts that have changes and no other.
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from boxtally.operators.dedup import first_per_key
 from boxtally.operators.tables import new_rows
 
 BUCKETS = 32
@@ -91,7 +92,7 @@ class LoggedTable:
         return self.spark.read.schema(self.schema).parquet(*folders)
 
     def _log(self, state: dict) -> DataFrame:
-        """Newest log row of every key, without those that compaction has taken up."""
+        """Log rows without those that compaction has taken up."""
         schema = StructType(list(self.schema.fields)).add("_seq", "long").add("_gone", "boolean").add("_part", "string")
         if not state["log"]:
             return self.spark.createDataFrame([], schema)
@@ -100,9 +101,12 @@ class LoggedTable:
         if floors:
             floor = F.create_map(*[F.lit(v) for pair in floors.items() for v in pair])
             rows = rows.where(F.col("_seq") > F.coalesce(floor[F.col("_part")].cast("long"), F.lit(0)))
-        if len(state["log"]) == 1:
-            return rows
-        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*rows.columns), "_seq").alias("_row")).select("_row.*")
+        return rows
+
+    def _newest(self, state: dict) -> DataFrame:
+        """Newest log row of every key. A window, since it moves only the columns that its reader takes."""
+        rows = self._log(state)
+        return rows if len(state["log"]) == 1 else first_per_key(rows, self.key, [F.desc("_seq")])
 
     @staticmethod
     def _busy(state: dict) -> set[str]:
@@ -111,12 +115,13 @@ class LoggedTable:
                 if int(seq) > state["base"].get(part, ["", 0])[1]}
 
     def _merged(self, state: dict, keep: Callable[[str], bool] = lambda part: True) -> DataFrame:
-        busy, log = self._busy(state), self._log(state)
+        busy = self._busy(state)
         calm = self._base(state, lambda part: keep(part) and part not in busy)
         if not busy:
             return calm
-        changed = self._base(state, lambda part: keep(part) and part in busy).join(log.select(*self.key), self.key, "left_anti")
-        alive = log.where(~F.col("_gone"))
+        changed = self._base(state, lambda part: keep(part) and part in busy).join(
+            self._log(state).select(*self.key), self.key, "left_anti")
+        alive = self._newest(state).where(~F.col("_gone"))
         wanted = [p for p in busy if keep(p)]
         if len(wanted) < len(busy):
             alive = alive.where(F.col("_part").isin(wanted))
@@ -156,7 +161,8 @@ class LoggedTable:
     def _append(self, state: dict, rows: DataFrame) -> None:
         folder, seq = uuid.uuid4().hex, state["version"] + 1
         to = f"{self.path}/log/{folder}"
-        rows.select(*self.columns, F.lit(seq).cast("long").alias("_seq"), "_gone",
+        columns = [F.col(c) if c in self.key else F.when(~F.col("_gone"), F.col(c)).alias(c) for c in self.columns]
+        rows.select(*columns, F.lit(seq).cast("long").alias("_seq"), "_gone",
                     F.coalesce(self._part(), F.lit("none")).alias("_part")).write.parquet(to)
         parts = sorted(r[0] for r in self.spark.read.schema("_part string").parquet(to).distinct().collect())
         if parts:
