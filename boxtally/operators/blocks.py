@@ -14,15 +14,17 @@ from boxtally.session import cut_lineage, deal, tasks
 BLOCK = 512
 
 
-def in_blocks(rows: DataFrame, key: str, order: list[str], block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, order: list[str], block: int = BLOCK, whole: int = BLOCK) -> DataFrame:
     """Add ``place`` (from 0 within the group, in ``order``) and ``block``.
 
-    Groups of up to one block are numbered by a window. Larger ones are dealt to tasks by ranges of the order,
-    numbered inside each range, and shifted by the sizes of the ranges before; no task sees a whole group.
+    Groups of up to ``whole`` rows, or one block, are numbered by a window, on one shuffle that the reader's grouping
+    by key and block shares. Larger ones are dealt to tasks by ranges of the order, numbered inside each range, and
+    shifted by the sizes of the ranges before; no task sees a whole group.
     """
+    whole = max(block, whole)
     rows = cut_lineage(rows)
     total, spark = rows.count(), rows.sparkSession
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(key)
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select(key)
     small = deal(rows, total, key).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
     large, spread = cut_lineage(large), None
     if not large.isEmpty():
