@@ -4,11 +4,13 @@ import hashlib
 import math
 import os
 import random
+import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,50 @@ def test_lm_prior_counts_the_order_of_words(spark):
     assert log(attention_lm.CLASSES, up) > np.log(0.8) and log(attention_lm.CLASSES, down) < np.log(0.1)
 
 
+def test_lm_windows_of_training_do_not_overlap():
+    """Each id is the target of one window, and windows hold few places that are not learned from."""
+    ids = np.arange(10 * attention_lm.WINDOW + 3) % attention_lm.CLASSES
+    x, target, scored = attention_lm.windows(ids, attention_lm.WINDOW)
+    assert np.array_equal(target[scored], ids) and x[0, 0] == attention_lm.CLASSES
+    assert np.array_equal(x[scored][1:], ids[:-1]) and scored[:-1].all()
+
+
+def test_lm_batches_score_as_one_window_at_a_time():
+    rng = np.random.default_rng(1)
+    prior = attention_lm.Prior(rng.integers(0, 5, (attention_lm.CLASSES + 1, attention_lm.CLASSES)).astype(float))
+    w = {n: v + rng.standard_normal(v.shape).astype(np.float32) * 0.1 for n, v in attention_lm.start_weights().items()}
+    scorer = attention_lm.Scorer(w, prior)
+    texts = [rng.integers(0, attention_lm.CLASSES, n).astype(np.int16) for n in (1, 63, 64, 65, 700, 3)]
+    got = attention_lm.score_classes(scorer, texts, 4)
+    for text, total in zip(texts, got):
+        one = 0.0
+        for x, target, scored in zip(*attention_lm.windows(text)):
+            for at in np.flatnonzero(scored):
+                # Nothing behind a place is seen from it.
+                cut = np.where(np.arange(len(x)) <= at, x, 0)[None]
+                only = (np.arange(len(x)) == at)[None]
+                one += scorer.log_probs(scorer.hidden(cut, only), x[at:at + 1], target[at:at + 1])[0]
+        assert total == pytest.approx(one, rel=1e-4)
+
+
+def test_lm_encodes_whole_batches_as_word_by_word(spark):
+    texts = [" Abc  def\u00a0 x\u2003y\t'S ", None, "", "a\u00a0 \u00a0b", "ÄB\x0bc\x1c12,;d e" * 3, "zwölf 12 Abc's", "\u3000"]
+    enc = attention_lm.Encoder(token_counts.TOKENIZERS)
+    cls = attention_lm.Classes(np.arange(attention_lm.IDS)[::-1])
+    head = attention_lm.Head(pa.array(["abc", "e", "never"]), np.array([5.0, 3, 1]), enc)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = attention_lm.write_classes(docs, cls, 1, head=head).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        lowered = (texts[r.doc_id] or "").translate(str.maketrans({c: c.lower() for c in map(chr, range(65, 91))}))
+        words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+        ids = [i for w in words for i in enc.enc.encode_ordinary(" " + w)] + [attention_lm.END]
+        assert np.frombuffer(r.classes, np.int16).tolist() == cls.of[ids].tolist()
+        assert r.n_tokens == len(words) + 1 and r.known == sum(w in ("abc", "e") for w in words)
+        assert sorted(r.tail) == sorted(w for w in words if w not in ("abc", "e"))
+        assert r.rest == pytest.approx(float(cls.log_share[ids].sum()), rel=1e-5)
+
+
 def test_lm_odd_rows(odd, none):
     rows = attention_lm.score(odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
