@@ -5,8 +5,8 @@ the dimension that is widest there, relative to the whole table, at the weighted
 median: rows below the cut go left. Rows that share the cut's value are ordered by
 a hash of id and text, so a value that a third of all rows share is split as well.
 All nodes of a level are split together: each pass is one aggregate over narrow
-rows to at most nodes x BINS sums, and only those sums and the cuts (fewer than two
-per shard) reach the driver. Splitting ends at the wanted number of leaves: a given one, or as many
+rows to at most nodes x BINS sums, of which one row per node reaches the driver. The cuts of a
+level (fewer than one per shard) go back as a small table, so the plan does not grow with the shards. Splitting ends at the wanted number of leaves: a given one, or as many
 as the total weight needs so that a leaf holds the target bytes.
 
 Defined cases: null text weighs 1 byte and has the checksum of the empty text; null
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,53 +33,59 @@ SLOT_RUN = 20_000
 
 @dataclass(frozen=True)
 class Cut:
-    """Left are the rows with ``dim < at`` or ``dim = at and tie < tie_at``."""
-    dim: str
+    """Left are the rows with ``dim < at`` or ``dim = at and tie < tie_at``; ``dim`` is a place in the list of dimensions."""
+    dim: int
     at: int
     tie_at: int
 
-    def left(self) -> Column:
-        d = F.col(self.dim)
-        return (d < F.lit(self.at)) | ((d == F.lit(self.at)) & (F.col("tie") < F.lit(self.tie_at)))
 
+def _by_node(rows: DataFrame, known: list[dict], types: dict[str, str], how: str) -> DataFrame:
+    """Join what is known of a few nodes (less than twice the leaves) to their rows.
 
-def _bin(value: Column, low: int, width: int) -> Column:
-    return F.floor((value - F.lit(low)) / F.lit(width)).cast("long")
+    It comes as a table: conditions spelled out node by node would double the plan of a pass with each level.
+    """
+    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+    table = pa.Table.from_pylist(known, pa.schema([(c, kinds[t]) for c, t in types.items()]))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), "node", how)
+
+
+def _value(dims: list[str]) -> Column:
+    """The value of a row in the dimension that ``dim`` names."""
+    return F.get(F.array(*dims), F.col("dim"))
 
 
-def _search(rows: DataFrame, goals: dict[int, tuple[str, int, int, int, int, int]]) -> dict[int, Cut]:
+def _search(rows: DataFrame, dims: list[str], goals: dict[int, tuple[int, int, int, int, int]]) -> dict[int, Cut]:
     """Weighted cuts of several nodes at once.
 
     ``goals``: node -> (dimension, lowest, highest, weight to go left, weight of the
-    node, rows). Value ranges shrink by BINS in each pass, first of the dimension, then
-    of the tie among rows with the found value.
+    node). Value ranges shrink by BINS in each pass, first of the dimension, then
+    of the tie among rows with the found value. A pass returns one row per node: the bin in which its goal lies.
     """
-    open_ = {n: {"dim": d, "col": d, "low": lo, "high": hi, "goal": goal, "all": total, "at": None}
-             for n, (d, lo, hi, goal, total, _) in goals.items()}
+    open_ = {n: {"node": n, "dim": d, "tied": False, "low": lo, "high": hi, "goal": goal, "all": total, "at": None}
+             for n, (d, lo, hi, goal, total) in goals.items()}
     done: dict[int, Cut] = {}
+    types = {"tied": "boolean"} | {c: "long" for c in ("node", "dim", "low", "high", "width", "goal", "at")}
+    before = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     while open_:
-        node, bin_, keep = F.col("node"), F.lit(None).cast("long"), F.lit(False)
-        for n, s in open_.items():
+        for s in open_.values():
             s["width"] = max(1, -(-(s["high"] - s["low"] + 1) // BINS))
-            within = (node == n) & F.col(s["col"]).between(s["low"], s["high"])
-            if s["col"] == "tie":
-                within = within & (F.col(s["dim"]) == s["at"])
-            bin_ = F.when(within, _bin(F.col(s["col"]), s["low"], s["width"])).otherwise(bin_)
-            keep = keep | within
-        sums = (rows.where(keep).select("node", bin_.alias("bin"), "weight").groupBy("node", "bin")
-                .agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect())
+        asked = _by_node(rows.select("node", "weight", "tie", *dims), [{c: s[c] for c in types} for s in open_.values()], types, "inner")
+        binned = (asked.withColumn("value", _value(dims)).where("not tied or value = at")
+                  .withColumn("value", F.when(F.col("tied"), F.col("tie")).otherwise(F.col("value"))).where("value between low and high")
+                  .select("node", "goal", "weight", F.expr("(value - low) div width").alias("bin")))
+        sums = (binned.groupBy("node", "goal", "bin").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+                .withColumn("below", F.coalesce(F.sum("w").over(before), F.lit(0))))
+        met_at = F.min(F.when(F.col("below") + F.col("w") > F.col("goal"), F.struct("bin", "w", "n", "below")))
+        found = {r.node: r for r in sums.groupBy("node").agg(F.sum("w").alias("w"), met_at.alias("met")).collect()}
         for n in list(open_):
-            s, below, met = open_[n], 0, None
-            for r in sorted((r for r in sums if r.node == n), key=lambda r: r.bin):
-                if below + r.w > s["goal"]:
-                    met = r
-                    break
-                below += r.w
-            s["goal"] -= below
-            tied = s["col"] == "tie"
+            s, r = open_[n], found.get(n)
+            met = r.met if r else None
+            tied = s["tied"]
             if met is None:  # everything fits on the left
+                s["goal"] -= r.w if r else 0
                 edge = s["high"] + 1
             else:
+                s["goal"] -= met.below
                 low = s["low"] + met.bin * s["width"]
                 # A bin with one row, or hardly any weight, goes to the side where more of it fits.
                 if met.n > 1 and met.w > TOLERANCE * s["all"]:
@@ -86,7 +93,7 @@ def _search(rows: DataFrame, goals: dict[int, tuple[str, int, int, int, int, int
                         s |= {"low": low, "high": min(s["high"], low + s["width"] - 1)}
                         continue
                     if not tied:
-                        s |= {"col": "tie", "at": low, "low": 0, "high": 2**62 - 1}
+                        s |= {"tied": True, "at": low, "low": 0, "high": 2**62 - 1}
                         continue
                 edge = low + (s["width"] if 2 * s["goal"] >= met.w else 0)
             done[n] = Cut(s["dim"], s["at"], edge) if tied else Cut(s["dim"], edge, -2**63)
@@ -98,15 +105,16 @@ def kd_tree(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
     """Add ``node``: the leaf (0 to ``leaves`` - 1) of each row.
 
     ``rows`` has the long columns ``dims``, ``weight`` and ``tie`` (0 to 2**62 - 1). Any number of leaves
-    works: a node that stands for k of them sends k // 2 shares of its weight left.
+    works: a node that stands for k of them sends k // 2 shares of its weight left. The plan grows with the number
+    of levels, one small join each.
     """
+    columns = rows.columns
     spans = [f(c).alias(f"{k}_{c}") for c in dims for k, f in (("lo", F.min), ("hi", F.max))]
     open_ = {0: leaves}  # first leaf of a node -> leaves it stands for
     rows = rows.withColumn("node", F.lit(0).cast("long"))
     whole = None
     while max(open_.values()) > 1:
-        stats = {r.node: r for r in rows.groupBy("node").agg(F.sum("weight").alias("w"), F.count("*").alias("n"),
-                                                            *spans).collect()}
+        stats = {r.node: r for r in rows.groupBy("node").agg(F.sum("weight").alias("w"), *spans).collect()}
         if not stats:
             break
         whole = whole or stats[0]
@@ -120,17 +128,19 @@ def kd_tree(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
                 return (s[f"hi_{c}"] - s[f"lo_{c}"]) / max(1, whole[f"hi_{c}"] - whole[f"lo_{c}"])
 
             d = max(dims, key=spread)
-            goals[n] = (d, s[f"lo_{d}"], s[f"hi_{d}"], s.w * (k // 2) // k, s.w, s.n)
-        cuts = _search(rows, goals)
-        node, after = F.col("node"), {}
+            goals[n] = (dims.index(d), s[f"lo_{d}"], s[f"hi_{d}"], s.w * (k // 2) // k, s.w)
+        cuts = [{"node": n, "dim": c.dim, "at": c.at, "tie_at": c.tie_at, "step": open_[n] // 2}
+                for n, c in _search(rows, dims, goals).items()]
+        cut = _by_node(rows, cuts, dict.fromkeys(("node", "dim", "at", "tie_at", "step"), "long"), "left")
+        value, at = _value(dims), F.col("at")
+        left = F.col("dim").isNull() | (value < at) | ((value == at) & (F.col("tie") < F.col("tie_at")))
+        rows = cut.select(*columns, F.when(left, F.col("node")).otherwise(F.col("node") + F.col("step")).alias("node"))
+        after = {}
         for n, k in open_.items():
             after[n] = k // 2 if k > 1 else 1
             if k > 1:
                 after[n + k // 2] = k - k // 2
-        moved = node
-        for n, c in cuts.items():
-            moved = F.when(node == n, F.when(c.left(), n).otherwise(n + open_[n] // 2)).otherwise(moved)
-        rows, open_ = rows.withColumn("node", moved.cast("long")), after
+        open_ = after
     return rows
 
 

@@ -495,3 +495,16 @@ def test_pipeline(spark, sf_dir):
             assert rows.count() < before and rows.distinct().count() == rows.count()
     placed = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir)
     assert placed.count() == rows.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_sharding_plan_grows_with_levels_alone(spark, sf_dir):
+    """Four times the shards are two levels more, and no condition per shard in the plan."""
+    rows = sharding.narrow(table(spark, sf_dir, "documents")).withColumn("weight", F.col("size"))
+
+    def plan(leaves):
+        tree = sharding.kd_tree(rows, ["by_id", "size", "by_source", "by_lang"], leaves)
+        return tree, len(tree.groupBy("node").count()._jdf.queryExecution().optimizedPlan().toString())
+
+    few, many = plan(4), plan(16)
+    assert many[1] < 3 * few[1]
+    assert {r.node for r in many[0].select("node").distinct().collect()} == set(range(16))
