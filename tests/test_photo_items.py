@@ -54,3 +54,19 @@ def test_items_in_a_row_are_those_of_joins(spark, odd, limit):
 
 def test_items_take_one_shuffle(spark, sf_dir):
     assert shuffles(REGISTRY["assemble_items"].run(spark, sf_dir)) == 1
+
+
+def test_nested_items_and_replies_in_a_row_are_those_of_rows(spark, odd):
+    """Blocks of a small photo are cut, and its lines numbered, as windows over item rows do it."""
+    items = results.photo_items(*odd, limit=9)
+    assert items.many is not None
+    few = results.PhotoItems(items.few, None)
+    rows = few.rows().localCheckpoint()
+    for got, want in ((results.nest_photos(few, 3), results.nest_items(rows, 3)), (results.explode_items(results.nest_photos(few, 3)), results.explode_items(results.nest_items(rows, 3)))):
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["explode_items"])
+def test_nested_items_and_replies_take_one_shuffle(spark, sf_dir, name):
+    assert shuffles(REGISTRY[name].run(spark, sf_dir)) == 1
