@@ -62,11 +62,12 @@ def test_nested_items_and_replies_in_a_row_are_those_of_rows(spark, odd):
     assert items.many is not None
     few = results.PhotoItems(items.few, None)
     rows = few.rows().localCheckpoint()
-    for got, want in ((results.nest_photos(few, 3), results.nest_items(rows, 3)), (results.explode_items(results.nest_photos(few, 3)), results.explode_items(results.nest_items(rows, 3)))):
+    for got, want in ((results.nest_photos(few, 3), results.nest_items(rows, 3)), (results.reply_photos(few), results.reply_lines(rows)),
+                      (results.explode_items(results.nest_photos(few, 3)), results.explode_items(results.nest_items(rows, 3)))):
         assert got.dtypes == want.dtypes
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["explode_items"])
+@pytest.mark.parametrize("name", ["explode_items", "reply_lines"])
 def test_nested_items_and_replies_take_one_shuffle(spark, sf_dir, name):
     assert shuffles(REGISTRY[name].run(spark, sf_dir)) == 1
