@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import arrays
 from boxtally.functions import geometry as g
-from boxtally.operators.greedy import GATHER_LIMIT, ordered_greedy
+from boxtally.operators.greedy import FOLD_LIMIT, ordered_greedy
 
 #: readings of different values this near each other are one misread code
 MISREAD_TOLERANCE = 15
@@ -27,7 +27,7 @@ def reading_reach(row: Column) -> Column:
     return g.pad(b, grow, grow)
 
 
-def dedup_detections(detections: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
+def dedup_detections(detections: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
     """Keep the largest reading of each printed code of an image.
 
     Order: area descending, then input order (``ord``). A later reading is never

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.functions import arrays
 from boxtally.functions import geometry as g
-from boxtally.operators.greedy import GATHER_LIMIT, ordered_greedy
+from boxtally.operators.greedy import FOLD_LIMIT, ordered_greedy
 
 TOP_PROPOSALS = 24
 PADDING_RATIO = 0.12
@@ -18,12 +18,12 @@ def overlaps(a: Column, b: Column) -> Column:
     return (g.iou(x, y) >= 0.35) | (g.containment(x, y) >= 0.75) | (g.containment(y, x) >= 0.75)
 
 
-def suppress_overlaps(scored: DataFrame, limit: int = GATHER_LIMIT) -> DataFrame:
+def suppress_overlaps(scored: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
     """Keep the best-scored of overlapping boxes; equal scores keep input order."""
     return _suppress(scored, lambda df: df, limit)
 
 
-def _suppress(rows: DataFrame, prepare, limit: int = GATHER_LIMIT) -> DataFrame:
+def _suppress(rows: DataFrame, prepare, limit: int = FOLD_LIMIT) -> DataFrame:
     order = {"score": -F.col("score"), "ord": F.col("proposal_id")}
     return ordered_greedy(rows, "image_id", order, overlaps, reach=lambda row: row["box"],
                           test=arrays.overlaps, fields=["box"], prepare=prepare, limit=limit)

@@ -276,3 +276,23 @@ def test_keyed_steps_grow_tasks_with_rows(spark, monkeypatch):
     df = spark.range(10)
     assert session.deal(df, 1000, "id").rdd.getNumPartitions() == 10
     assert session.deal(df, 10_000, "id").rdd.getNumPartitions() == 100
+
+
+def test_groups_of_a_hundred_rows_are_not_folded(spark, monkeypatch):
+    """A fold compares a row with all kept before it, so only groups of tens of rows are folded."""
+    from boxtally.operators import greedy, proposals
+
+    rows = spark.range(250).selectExpr(
+        "id % 2 + if(id < 240, 0, 2) as image_id", "id as proposal_id", "pmod(hash(id), 90) / 10D as score", "cast(pmod(hash(id, 1), 2000) as int) as x",
+        "cast(pmod(hash(id, 2), 2000) as int) as y").selectExpr(
+        "image_id", "proposal_id", "score", "named_struct('x1', x, 'y1', y, 'x2', x + 300, 'y2', y + 200) as box").localCheckpoint()
+    folded = sorted(map(repr, proposals.suppress_overlaps(rows, limit=512).collect()))
+    sizes, settled = [], greedy.settle_groups
+
+    def watched(df, key, *rest, **named):
+        sizes.extend(r["count"] for r in df.groupBy(key).count().collect())
+        return settled(df, key, *rest, **named)
+
+    monkeypatch.setattr(greedy, "settle_groups", watched)
+    assert sorted(map(repr, proposals.suppress_overlaps(rows).collect())) == folded
+    assert sizes == [120, 120]
