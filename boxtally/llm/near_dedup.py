@@ -10,10 +10,16 @@ in fewer than MATCHES coordinates with a chance of about 8 in a hundred million.
 confirmed on the full shingle sets (of 64-bit hashes of shingles), which are made again from the texts of the
 documents in candidate pairs, and of no other.
 
+In a large corpus most pairs of a list agree in that one token by chance. So each posting carries the last two
+bits of all coordinates: where two signatures agree in MATCHES coordinates, these differ in no more than the others,
+and pairs that differ in more are dropped where they meet, before any signature or set is moved for them. Of pairs
+that agree in one coordinate alone about 5 in a million get past that.
+
 Documents with equal sets are one class before any posting, so groups of exact copies
 never make pairs. Lists of near copies would still hold the square of their length. So of a long
 list only a head faces the others at first, and members that are connected by then need no
-comparison with each other. Pairs of different components that remain are ruled out, or linked, by what
+comparison with each other. Of lists up to MIDDLE_LIST those members go that differ by their bits from all of another
+component. Pairs of different components that remain are ruled out, or linked, by what
 their sets have other than most of their list has (``_rest_of_lists``); few are left to be confirmed, and no link
 between components is lost.
 
@@ -42,6 +48,8 @@ COORDINATES = 64
 MATCHES = 33
 #: Lists up to this length are compared in full at once.
 SHORT_LIST = 8
+#: Of longer lists up to this length that their heads do not connect, members without a partner by bits are dropped.
+MIDDLE_LIST = 256
 #: Heads of longer lists that a class faces at first; all other pairs are left to the deltas, so no link depends on it.
 HEADS = 3
 #: Ids of documents (8 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
@@ -183,6 +191,19 @@ def _agree(a: str, b: str) -> Column:
     return same >= MATCHES
 
 
+def _bits(bit: int) -> Column:
+    """One bit of each coordinate of a signature, the first coordinate lowest."""
+    one = F.transform("signature", lambda v, i: F.call_function(
+        "shiftleft", F.shiftright(v, bit).bitwiseAND(F.lit(1)).cast("long"), i))
+    return F.aggregate(one, F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(b))
+
+
+def _may_agree(a: str, b: str) -> Column:
+    """Whether signatures with these bits can agree in enough coordinates."""
+    apart = F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low")).bitwiseOR(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
+    return F.bit_count(apart) <= COORDINATES - MATCHES
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that agree in enough coordinates."""
     def sig(c):
@@ -242,15 +263,24 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     able = classes.where(F.col("n") * (100 - percent) >= percent)
     posts = cut_lineage(_postings(able, COORDINATES - MATCHES + 1))
     lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
-    posts = cut_lineage(posts.join(lists, "token"))
+    bits = classes.select("id", _bits(0).alias("low"), _bits(1).alias("high"))
+    posts = cut_lineage(posts.join(lists, "token").join(bits, "id"))
     short = posts.where(F.col("len") <= SHORT_LIST)
     long_ = posts.where(F.col("len") > SHORT_LIST)
-    here = short.select("token", F.col("id").alias("a"), F.col("n").alias("na"))
-    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = here.join(other, "token").where((F.col("a") < F.col("b")) & _within_reach("na", "nb", percent)).select("a", "b")
+
+    def meeting(lists: DataFrame, *more: str) -> DataFrame:
+        """The pairs of each list that can be similar enough, by sizes and bits."""
+        def side(c):
+            return lists.select("token", F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "low", "high", *more)])
+
+        return side("a").join(side("b"), "token").where(
+            (F.col("a") < F.col("b")) & _within_reach("a_n", "b_n", percent) & _may_agree("a_", "b_"))
+
+    pairs = meeting(short).select("a", "b")
     # The head of a list is the member with the fewest tokens of its own. A class faces the HEADS best of its lists.
-    heads = long_.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("h"))
-    facing = (long_.join(heads, "token").where((F.col("id") != F.col("h.id")) & _within_reach("n", "h.n", percent))
+    heads = long_.groupBy("token").agg(F.min(F.struct("alone", "id", "n", "low", "high")).alias("h"))
+    faced = long_.join(heads, "token").withColumns({"h_low": F.col("h.low"), "h_high": F.col("h.high")})
+    facing = (faced.where((F.col("id") != F.col("h.id")) & _within_reach("n", "h.n", percent) & _may_agree("", "h_"))
               .groupBy("id").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HEADS).alias("hs"))
               .select("id", F.explode("hs.id").alias("h"))
               .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")))
@@ -260,14 +290,18 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, known: DataFrame, word
     comp = components(links)
     # A list is finished when all of it is connected.
     active = (long_.join(comp.withColumnRenamed("component", "comp"), "id", "left")
-              .select("token", "id", "n", F.coalesce("comp", "id").alias("comp")))
+              .select("token", "id", "n", "len", "low", "high", F.coalesce("comp", "id").alias("comp")))
     open_ = cut_lineage(active.join(active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                                     .where("lo <> hi").select("token"), "token"))
     if not open_.take(1):
         return comp
-    sets = _sets_of(texts, open_.select("id"), words)
-    sure, rest = _rest_of_lists(open_, sets, percent)
-    more = cut_lineage(_confirmed(_agreeing(rest, classes), sets, percent))
+    met = meeting(open_.where(F.col("len") <= MIDDLE_LIST), "comp").where("a_comp <> b_comp")
+    partnered = met.select("token", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rest = cut_lineage(open_.join(partnered, ["token", "id"], "left_semi").unionByName(
+        open_.where(F.col("len") > MIDDLE_LIST)).select("token", "id", "n", "comp"))
+    sets = _sets_of(texts, rest.select("id"), words)
+    sure, pairs = _rest_of_lists(rest, sets, percent)
+    more = cut_lineage(_confirmed(_agreeing(pairs, classes), sets, percent))
     return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
                       .unionByName(sure).unionByName(more))
 

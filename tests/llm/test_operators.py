@@ -109,6 +109,23 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, short_list, heads):
     assert got == _near_brute(rows, 2, 80)
 
 
+def test_pairs_by_chance_are_dropped_by_bits(spark):
+    """Bits drop no pair that agrees in MATCHES coordinates, and nearly all that agree in one."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(400):
+        a = rng.integers(-2**31, 2**31, near_dedup.COORDINATES)
+        b = rng.integers(-2**31, 2**31, near_dedup.COORDINATES)
+        same = rng.permutation(near_dedup.COORDINATES)[:near_dedup.MATCHES if k % 2 else 1]
+        b[same] = a[same]
+        rows.append((k % 2 == 1, a.tolist(), b.tolist()))
+    pairs = spark.createDataFrame(rows, "similar boolean, a array<int>, b array<int>")
+    for c in "ab":
+        pairs = pairs.withColumn("signature", F.col(c)).withColumns({f"{c}_low": near_dedup._bits(0), f"{c}_high": near_dedup._bits(1)})
+    met = Counter(r.similar for r in pairs.where(near_dedup._may_agree("a_", "b_")).collect())
+    assert met[True] == 200 and met[False] <= 1
+
+
 def test_near_dedup_odd_rows(odd, none):
     rows = near_dedup.near_components(odd).collect()
     assert len(rows) == len(ODD)
